@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from reelfold import schemas as S
 from reelfold.functions import variants as V
+from reelfold.functions.ids import parse_uuid
 
 
 def message_json(message_id: Column | str, msg: Column | str) -> Column:
@@ -20,11 +21,8 @@ def parse_command(v: Column) -> Column:
 
     Both fields must be strings and the id a UUID; otherwise only ``error`` is set.
     """
-    from reelfold.functions.ids import parse_uuid
-
-    text_id = F.when(V.kind(v, "$.id") == V.STRING, F.try_variant_get(v, "$.id", "string"))
-    msg = F.when(V.kind(v, "$.msg") == V.STRING, F.try_variant_get(v, "$.msg", "string"))
-    uuid = parse_uuid(text_id)
+    uuid = parse_uuid(V.extract(v, "$.id", V.STRING, None).value)
+    msg = V.extract(v, "$.msg", V.STRING, None).value
     valid = F.coalesce(uuid.isNotNull() & msg.isNotNull(), F.lit(False))
     return F.struct(
         F.when(valid, uuid).alias("id"),

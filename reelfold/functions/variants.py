@@ -16,7 +16,15 @@ MISSING, NULL = "missing", "null"
 STRING, NUMBER, BOOLEAN, OBJECT, ARRAY = "string", "number", "boolean", "object", "array"
 INT, DOUBLE, LONG = "int", "double", "long"
 
-_KIND_OF = {INT: NUMBER, DOUBLE: NUMBER, LONG: NUMBER, STRING: STRING, OBJECT: OBJECT, ARRAY: ARRAY}
+# first word of ``schema_of_variant`` for every type JSON text can produce
+_KINDS = {
+    "VOID": NULL, "STRING": STRING, "BOOLEAN": BOOLEAN, "OBJECT": OBJECT, "ARRAY": ARRAY,
+    "BIGINT": NUMBER, "DECIMAL": NUMBER, "DOUBLE": NUMBER, "FLOAT": NUMBER,
+}
+_WORDS = {
+    INT: "BIGINT|DECIMAL|DOUBLE|FLOAT", LONG: "BIGINT|DECIMAL|DOUBLE|FLOAT",
+    DOUBLE: "BIGINT|DECIMAL|DOUBLE|FLOAT", STRING: "STRING", OBJECT: "OBJECT", ARRAY: "ARRAY",
+}
 _SPARK_TYPE = {STRING: "string", DOUBLE: "double", OBJECT: "variant", ARRAY: "array<variant>"}
 
 
@@ -28,26 +36,24 @@ class Extracted:
     error: Column
 
 
+def _schema(v: Column, path: str) -> Column:
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
 def kind(v: Column, path: str = "$") -> Column:
     """``missing``, ``null``, ``string``, ``number``, ``boolean``, ``object`` or ``array``."""
-    schema = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-    return (
-        F.when(schema.isNull(), F.lit(MISSING))
-        .when(schema == "VOID", F.lit(NULL))
-        .when(schema == "STRING", F.lit(STRING))
-        .when(schema == "BOOLEAN", F.lit(BOOLEAN))
-        .when(schema.startswith("OBJECT"), F.lit(OBJECT))
-        .when(schema.startswith("ARRAY"), F.lit(ARRAY))
-        .otherwise(F.lit(NUMBER))
-    )
-
-
-def json_number(v: Column, path: str = "$") -> Column:
-    """Whole part of a JSON number as decimal(38,0); null beyond 38 digits."""
-    return F.coalesce(
-        truncate(F.try_variant_get(v, path, "decimal(38,18)")),
-        F.try_variant_get(v, path, "decimal(38,0)"),
-    )
+    names = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
+    word = F.regexp_extract(_schema(v, path), "^[A-Z]+", 0)
+    return F.coalesce(F.try_element_at(names, word), F.lit(MISSING))
+
+
+def has_kind(v: Column, path: str, type_name: str) -> Column:
+    """Whether the field is there with the given type."""
+    return F.coalesce(_schema(v, path).rlike(f"^({_WORDS[type_name]})"), F.lit(False))
+
+
+def is_missing(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, "variant").isNull()
 
 
 def json_int(v: Column, path: str = "$", wrap: bool = False) -> Column:
@@ -55,64 +61,59 @@ def json_int(v: Column, path: str = "$", wrap: bool = False) -> Column:
 
     Out of range gives null (callers report it); with ``wrap`` the low 32 bits are kept instead.
     """
-    whole = json_number(v, path)
-    if wrap:
-        return wrap_int(whole)
-    return F.when(whole.between(-2147483648, 2147483647), whole.cast("int"))
+    exact = F.try_variant_get(v, path, "decimal(38,18)")
+    if not wrap:
+        return exact.try_cast("int")
+    # beyond 20 whole digits there is no room for a fraction, and none is needed
+    return wrap_int(F.coalesce(truncate(exact), F.try_variant_get(v, path, "decimal(38,0)")))
 
 
 def _typed(v: Column, path: str, type_name: str, wrap: bool) -> Column:
+    """The field's value where it has the type, else null."""
     if type_name == INT:
-        return json_int(v, path, wrap)
-    if type_name == LONG:
-        whole = json_number(v, path)
-        low, high = F.lit("-9223372036854775808"), F.lit("9223372036854775807")
-        in_range = (whole >= low.cast("decimal(38,0)")) & (whole <= high.cast("decimal(38,0)"))
-        return F.when(in_range, whole.cast("bigint"))
-    return F.try_variant_get(v, path, _SPARK_TYPE[type_name])
+        value = json_int(v, path, wrap)
+    elif type_name == LONG:
+        value = F.try_variant_get(v, path, "decimal(38,18)").try_cast("bigint")
+    else:
+        value = F.try_variant_get(v, path, _SPARK_TYPE[type_name])
+    return F.when(has_kind(v, path, type_name), value)
 
 
 def extract(
-    v: Column, path: str, type_name: str, default, report: str | None = None,
-    missing_report: str | None = None, wrap: bool = False,
+    v: Column, path: str, type_name: str, default, report: str | None = None, wrap: bool = False
 ) -> Extracted:
     """Required field: missing or of another type gives the default and an error name.
 
-    ``report`` names a field of the wrong type (default: the last path segment) and
-    ``missing_report`` a missing one where the two differ.
+    A missing field is reported by the last path segment, a mistyped one by ``report`` if given.
     """
     name = path.rsplit(".", 1)[-1]
-    found = kind(v, path)
-    value = F.when(found == _KIND_OF[type_name], _typed(v, path, type_name, wrap))
-    error = F.when(found == MISSING, F.lit(missing_report or name)).when(
-        value.isNull(), F.lit(report or name)
-    )
-    return Extracted(F.coalesce(value, _default(default, type_name)), error)
+    value = _typed(v, path, type_name, wrap)
+    wrong = F.lit(name)
+    if report is not None:
+        wrong = F.when(is_missing(v, path), F.lit(name)).otherwise(F.lit(report))
+    return Extracted(_or_default(value, default, type_name), F.when(value.isNull(), wrong))
 
 
 def extract_optional(
-    v: Column, path: str, type_name: str, default, strict: bool = True,
-    report: str | None = None, wrap: bool = False,
+    v: Column, path: str, type_name: str, default, strict: bool = True, wrap: bool = False
 ) -> Extracted:
     """Optional field: missing gives the default silently.
 
     Another type is an error when ``strict``, and silently the default otherwise.
     """
-    found = kind(v, path)
-    value = F.when(found == _KIND_OF[type_name], _typed(v, path, type_name, wrap))
-    name = F.lit(report or path.rsplit(".", 1)[-1])
-    wrong = value.isNull() & (found != MISSING)
-    if not strict:
-        # a number out of int range is still worth reporting, another type is not
-        wrong = value.isNull() & (found == _KIND_OF[type_name])
-    return Extracted(F.coalesce(value, _default(default, type_name)), F.when(wrong, name))
-
-
-def _default(default, type_name: str) -> Column:
-    if isinstance(default, Column):
-        return default
-    spark_type = {INT: "int", LONG: "bigint", DOUBLE: "double"}.get(type_name, "string")
-    return F.lit(default).cast(_SPARK_TYPE.get(type_name, spark_type))
+    value = _typed(v, path, type_name, wrap)
+    name = F.lit(path.rsplit(".", 1)[-1])
+    error = F.lit(None).cast("string")
+    if strict:
+        error = F.when(value.isNull() & ~is_missing(v, path), name)
+    return Extracted(_or_default(value, default, type_name), error)
+
+
+def _or_default(value: Column, default, type_name: str) -> Column:
+    if default is None:
+        return value
+    spark_type = {INT: "int", LONG: "bigint"}.get(type_name) or _SPARK_TYPE[type_name]
+    return F.coalesce(value, F.lit(default).cast(spark_type))
 
 
 def collect_errors(*errors: Column) -> Column:

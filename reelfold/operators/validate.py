@@ -18,6 +18,17 @@ def parse_body(df: DataFrame, raw: str = "raw", out: str = "body") -> DataFrame:
     return df.withColumn(out, F.try_parse_json(raw))
 
 
+def evaluate_once(df: DataFrame, columns: dict[str, Column], keep: list[str]) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    The optimizer moves a filter on computed columns below them and repeats their whole
+    expressions in the filter, here every JSON lookup. It does not move one below a generator, so
+    the columns are built as the single row of one.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(*keep, F.inline(F.array(row)))
+
+
 # --- tracks -------------------------------------------------------------------------------------
 
 
@@ -57,8 +68,7 @@ def read_video(v: Column, path: str = "$.video", wrap: bool = False) -> Track:
     prefix; a ``size`` that is missing or not an object is reported as ``size``.
     """
     frame_rate = V.extract(v, f"{path}.frame_rate", V.DOUBLE, 0.0)
-    size_kind = V.kind(v, f"{path}.size")
-    has_size = size_kind == V.OBJECT
+    has_size = V.has_kind(v, f"{path}.size", V.OBJECT)
     size_error = F.when(~has_size, F.lit("size"))
     height = V.extract(v, f"{path}.size.height", V.INT, 0, report="size.height", wrap=wrap)
     width = V.extract(v, f"{path}.size.width", V.INT, 0, report="size.width", wrap=wrap)
@@ -100,48 +110,46 @@ def read_preferences(df: DataFrame, body: str = "body", wrap: bool = False) -> D
     """
     v = F.col(body)
     audio, video = read_audio(v, wrap=wrap), read_video(v, wrap=wrap)
-    kinds = df.withColumn(
-        "_k",
-        F.struct(
-            *[V.kind(v, f"$.{f}").alias(f) for f in ("id", "extension", "format", "audio", "video")]
-        ),
+    text = df.select(
+        *[F.col(c) for c in df.columns],
+        parse_uuid(V.extract(v, "$.id", V.STRING, None).value).alias("id"),
+        V.extract(v, "$.extension", V.STRING, None).value.alias("extension"),
+        V.extract(v, "$.format", V.STRING, None).value.alias("format"),
+        V.kind(v, "$.audio").alias("_audio"),
+        V.kind(v, "$.video").alias("_video"),
     )
-    has_audio, has_video = F.col("_k.audio") == V.OBJECT, F.col("_k.video") == V.OBJECT
-    id_text = F.when(F.col("_k.id") == V.STRING, F.try_variant_get(v, "$.id", "string"))
+    has_audio, has_video = F.col("_audio") == V.OBJECT, F.col("_video") == V.OBJECT
     shaped = (
-        (F.col("_k.extension") == V.STRING)
-        & (F.col("_k.format") == V.STRING)
-        & parse_uuid(id_text).isNotNull()
-        & F.col("_k.audio").isin(V.OBJECT, V.MISSING)
-        & F.col("_k.video").isin(V.OBJECT, V.MISSING)
+        F.col("id").isNotNull() & F.col("extension").isNotNull() & F.col("format").isNotNull()
+        & F.col("_audio").isin(V.OBJECT, V.MISSING) & F.col("_video").isin(V.OBJECT, V.MISSING)
         & (has_audio | has_video)
     )
     none = F.array().cast("array<string>")
-    read = kinds.select(
-        *[F.col(c) for c in df.columns],
-        F.coalesce(shaped, F.lit(False)).alias("_shaped"),
-        parse_uuid(id_text).alias("id"),
-        F.try_variant_get(v, "$.extension", "string").alias("extension"),
-        F.try_variant_get(v, "$.format", "string").alias("format"),
-        F.when(has_audio, audio.value).alias("audio"),
-        F.when(has_video, video.value).alias("video"),
-        F.concat(
-            F.when(has_audio, audio.errors).otherwise(none),
-            F.when(has_video, video.errors).otherwise(none),
-        ).alias("_errors"),
-        _progress(v).alias("progress"),
-    )
+    read = evaluate_once(
+        text,
+        {
+            "_shaped": shaped,
+            "_id": F.col("id"), "_extension": F.col("extension"), "_format": F.col("format"),
+            "audio": F.when(has_audio, audio.value),
+            "video": F.when(has_video, video.value),
+            "_errors": F.concat(
+                F.when(has_audio, audio.errors).otherwise(none),
+                F.when(has_video, video.errors).otherwise(none),
+            ),
+            "progress": _progress(v),
+            "file_name": F.lit(""),
+        },
+        df.columns,
+    ).withColumnsRenamed({"_id": "id", "_extension": "extension", "_format": "format"})
     return _with_verdict(
-        read.withColumn("file_name", F.lit("")), df.columns,
+        read, df.columns,
         ["id", "extension", "format", "file_name", "progress", "audio", "video"],
     )
 
 
 def _progress(v: Column) -> Column:
     """The progress id sent, or one derived from the body where it is missing or bad."""
-    sent = F.when(
-        V.kind(v, "$.progress_id") == V.STRING, F.try_variant_get(v, "$.progress_id", "string")
-    )
+    sent = V.extract_optional(v, "$.progress_id", V.STRING, None).value
     return F.coalesce(
         parse_uuid(sent), uuid_shaped(F.concat(F.lit("progress:"), F.to_json(v)))
     )
@@ -171,13 +179,13 @@ def read_media(df: DataFrame, body: str = "body", wrap: bool = False) -> DataFra
     )
     duration = V.extract(v, "$.duration", V.INT if wrap else V.LONG, 0, wrap=wrap)
     shaped = (
-        (V.kind(v, "$.info") == V.OBJECT)
-        & (V.kind(v, "$.duration") == V.NUMBER)
-        & (V.kind(v, "$.format") == V.STRING)
-        & (V.kind(v, "$.audio") == V.OBJECT)
+        V.has_kind(v, "$.info", V.OBJECT)
+        & V.has_kind(v, "$.duration", V.LONG)
+        & V.has_kind(v, "$.format", V.STRING)
+        & V.has_kind(v, "$.audio", V.OBJECT)
         & V.kind(v, "$.video").isin(V.OBJECT, V.MISSING)
     )
-    has_video = V.kind(v, "$.video") == V.OBJECT
+    has_video = V.has_kind(v, "$.video", V.OBJECT)
     info = F.struct(
         name.value.alias("file_name"),
         F.when(content_error.isNull(), content_type_default(content_type.value))
@@ -187,19 +195,22 @@ def read_media(df: DataFrame, body: str = "body", wrap: bool = False) -> DataFra
         media_id.alias("id"),
     )
     none = F.array().cast("array<string>")
-    read = df.select(
-        *[F.col(c) for c in df.columns],
-        F.coalesce(shaped, F.lit(False)).alias("_shaped"),
-        info.alias("info"),
-        duration.value.cast("bigint").alias("duration"),
-        F.try_variant_get(v, "$.format", "string").alias("format"),
-        audio.value.alias("audio"),
-        F.when(has_video, video.value).alias("video"),
-        F.concat(
-            V.collect_errors(name.error, id_error, content_error, duration.error),
-            audio.errors,
-            F.when(has_video, video.errors).otherwise(none),
-        ).alias("_errors"),
+    read = evaluate_once(
+        df,
+        {
+            "_shaped": shaped,
+            "info": info,
+            "duration": duration.value.cast("bigint"),
+            "format": F.try_variant_get(v, "$.format", "string"),
+            "audio": audio.value,
+            "video": F.when(has_video, video.value),
+            "_errors": F.concat(
+                V.collect_errors(name.error, id_error, content_error, duration.error),
+                audio.errors,
+                F.when(has_video, video.errors).otherwise(none),
+            ),
+        },
+        df.columns,
     )
     return _with_verdict(read, df.columns, ["info", "duration", "format", "audio", "video"])
 
@@ -273,8 +284,7 @@ def form_get(form: Column, key: str, default: str) -> Column:
 
 def read_codec_lists(v: Column) -> Column:
     """Struct ``(encoders, decoders, error)`` from arrays of the same names."""
-    both = (V.kind(v, "$.encoders") == V.ARRAY) & (V.kind(v, "$.decoders") == V.ARRAY)
-    both = F.coalesce(both, F.lit(False))
+    both = V.has_kind(v, "$.encoders", V.ARRAY) & V.has_kind(v, "$.decoders", V.ARRAY)
     return F.struct(
         F.when(both, F.try_variant_get(v, "$.encoders", "array<string>")).alias("encoders"),
         F.when(both, F.try_variant_get(v, "$.decoders", "array<string>")).alias("decoders"),
