@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reelfold import schemas as S
 from reelfold.functions.ids import parse_uuid
 from reelfold.functions.names import file_type
+from reelfold.operators.skew import join_unique
 
 CATALOG_COLUMNS = ["file", "status", "commit_ts", "persistence_id", "seq_nr"]
 SEARCHED = ("file.file_id", "file.file_name", "file.content_type", "file.full_path", "status")
@@ -86,9 +87,10 @@ def catalog_json(catalog: DataFrame) -> DataFrame:
 def lookup_result(ids: DataFrame, state: DataFrame, id_column: str = "id") -> DataFrame:
     """One JSON document per asked id: the file and its status, or the not-found answer."""
     found = state.filter(F.col("file.file_id").isNotNull()).select(
-        F.col("persistence_id").alias("_id"), "file", "status"
+        F.col("persistence_id").alias("_id"), "file", "status", F.lit(True).alias("_found")
     )
-    joined = ids.join(found, parse_uuid(id_column) == F.col("_id"), "left")
+    asked = ids.withColumn("_id", parse_uuid(id_column))
+    joined = join_unique(asked, found, "_id", spread_by=[id_column])
     journal = F.struct(
         F.col("file.file_name").alias("file_name"),
         F.col("file.full_path").alias("file_path"),
@@ -102,8 +104,8 @@ def lookup_result(ids: DataFrame, state: DataFrame, id_column: str = "id") -> Da
     )
     return joined.select(
         F.col(id_column).alias("id"),
-        F.col("_id").isNotNull().alias("found"),
-        F.when(F.col("_id").isNotNull(), hit).otherwise(miss).alias("body"),
+        F.col("_found").isNotNull().alias("found"),
+        F.when(F.col("_found").isNotNull(), hit).otherwise(miss).alias("body"),
     )
 
 

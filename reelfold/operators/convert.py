@@ -11,21 +11,23 @@ from reelfold.functions.guards import (
 from reelfold.functions.ids import uuid_shaped
 from reelfold.functions.names import generate_name
 from reelfold.operators.media import with_file_name
+from reelfold.operators.skew import join_unique
 
 
 def requests_with_state(requests: DataFrame, state: DataFrame) -> DataFrame:
     """Each request with its source file: ``outcome`` found, not_found or unknown.
 
-    ``reply`` is the JSON answer where no conversion can start. State has one row per id; many
-    requests for one id are split by AQE's skew join, and requests without an id are spread by a
-    key of their own instead of meeting in one partition.
+    ``reply`` is the JSON answer where no conversion can start. The requests are counted by id
+    before they are joined, so hand in a stored frame rather than one that parses on each pass.
     """
-    spread = F.concat(F.lit("-"), F.xxhash64("request_key").cast("string"))
     sources = state.filter(F.col("file.file_id").isNotNull()).select(
-        F.col("persistence_id").alias("_key"),
+        F.col("persistence_id").alias("_source_id"),
         F.col("file").alias("source"), F.col("status").alias("source_status"),
     )
-    joined = requests.withColumn("_key", F.coalesce("id", spread)).join(sources, "_key", "left")
+    joined = join_unique(
+        requests.withColumn("_source_id", F.col("id")), sources, "_source_id",
+        spread_by=["request_key"],
+    )
     outcome = (
         F.when(F.col("id").isNull(), F.lit("unknown"))
         .when(F.col("source").isNull(), F.lit("not_found"))
@@ -35,17 +37,20 @@ def requests_with_state(requests: DataFrame, state: DataFrame) -> DataFrame:
     reply = F.when(F.col("outcome") == "unknown", F.lit('{"error":"unknown"}')).when(
         F.col("outcome") == "not_found", not_found
     )
-    return joined.drop("_key").withColumn("outcome", outcome).withColumn("reply", reply)
+    return joined.withColumn("outcome", outcome).withColumn("reply", reply)
 
 
 def resolve_path(files: DataFrame, converted: DataFrame, uploaded: DataFrame) -> DataFrame:
     """Add ``path`` and ``origin``: the converted file if it exists, else the uploaded one.
 
     The listings hold ``file_name, path``. They are folded to one row per name first, so the files
-    shuffle once; whether that side is broadcast is left to Catalyst's size check.
+    shuffle once.
     """
-    listed = converted.select("file_name", F.col("path").alias("_converted"), F.lit(None).cast("string").alias("_uploaded")).unionByName(
-        uploaded.select("file_name", F.lit(None).cast("string").alias("_converted"), F.col("path").alias("_uploaded"))
+    absent = F.lit(None).cast("string")
+    listed = converted.select(
+        "file_name", F.col("path").alias("_converted"), absent.alias("_uploaded")
+    ).unionByName(
+        uploaded.select("file_name", absent.alias("_converted"), F.col("path").alias("_uploaded"))
     )
     by_name = listed.groupBy("file_name").agg(
         F.min("_converted").alias("_converted"), F.min("_uploaded").alias("_uploaded")
@@ -54,7 +59,7 @@ def resolve_path(files: DataFrame, converted: DataFrame, uploaded: DataFrame) ->
         F.col("_uploaded").isNotNull(), F.lit("uploaded")
     )
     return (
-        files.join(by_name, "file_name", "left")
+        join_unique(files, by_name, "file_name")
         .withColumn("path", F.coalesce("_converted", "_uploaded"))
         .withColumn("origin", origin)
         .drop("_converted", "_uploaded")
@@ -81,7 +86,7 @@ def attempts_with_outcome(attempts: DataFrame, outcomes: DataFrame) -> DataFrame
         .when(F.col("ok"), F.lit(S.STATUS_COMPLETE))
         .otherwise(F.lit(S.STATUS_FAILED))
     )
-    return attempts.join(outcomes, "file_id", "left").withColumn("status", status).drop("ok")
+    return join_unique(attempts, outcomes, "file_id").withColumn("status", status).drop("ok")
 
 
 def file_record(

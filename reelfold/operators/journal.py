@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from reelfold import schemas as S
-from reelfold.operators.skew import HOT_ROWS, carry_forward, number_rows
+from reelfold.operators.skew import HOT_ROWS, carry_forward, join_unique, number_rows
 
 SLICE_EVENTS = 1_000_000
 
@@ -130,11 +130,13 @@ def keep_latest(snapshots: DataFrame, keep: int = S.SNAPSHOT_KEEP) -> DataFrame:
     )
 
 
-def tail_events(journal: DataFrame, snapshots: DataFrame) -> DataFrame:
+def tail_events(
+    journal: DataFrame, snapshots: DataFrame, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Events newer than the entity's newest snapshot; all of them where it has none."""
     heads = snapshots.groupBy("persistence_id").agg(F.max("seq_nr").alias("_head"))
     return (
-        journal.join(heads, "persistence_id", "left")
+        join_unique(journal, heads, "persistence_id", hot_rows=hot_rows)
         .filter(F.col("seq_nr") > F.coalesce("_head", F.lit(0)))
         .drop("_head")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reelfold.functions.guards import percent
+from reelfold.operators.skew import join_unique
 
 EVERYONE = "*"
 
@@ -20,7 +21,7 @@ def consumer_add(consumers: DataFrame, added: DataFrame) -> DataFrame:
 
 def consumer_remove(consumers: DataFrame, removed: DataFrame) -> DataFrame:
     """Drop every registration of the removed refs."""
-    return consumers.join(removed.select("ref").distinct(), "ref", "left_anti")
+    return join_unique(consumers, removed.select("ref").distinct(), "ref", "left_anti")
 
 
 def active_registrations(registered: DataFrame, terminated: DataFrame) -> DataFrame:

@@ -46,6 +46,32 @@ def bounded_side(df: DataFrame, max_rows: int = HOT_SHARE) -> tuple[DataFrame, i
     return (F.broadcast(kept) if rows <= max_rows else kept), rows
 
 
+def join_unique(
+    left: DataFrame, right: DataFrame, key: str, how: str = "left",
+    spread_by: list[str] | None = None, hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """``left`` joined with a side of one row per key, whatever share of ``left`` one key holds.
+
+    AQE splits a skewed join only where both sides arrive straight from a shuffle, which an
+    aggregated side does not. So the keys are counted first (one narrow pass): rows of hot keys
+    meet their few partner rows by broadcast and never shuffle, the others join as Spark sees fit.
+    Null keys match nothing; ``spread_by`` names columns to scatter them by, where there may be
+    many.
+    """
+    if spread_by:
+        scattered = F.concat(F.lit("\0"), F.xxhash64(*spread_by).cast("string"))
+        left = left.withColumn("_join", F.coalesce(F.col(key), scattered))
+        right = right.withColumnRenamed(key, "_join")
+        return join_unique(left, right, "_join", how, None, hot_rows).drop("_join")
+    found = hot_keys(left.filter(F.col(key).isNotNull()), key, hot_rows)
+    if found is None:
+        return left.join(right, key, how)
+    hot = F.broadcast(found[0])  # fewer than HOT_SHARE ids, and one partner row for each
+    partners = F.broadcast(right.join(hot, key, "left_semi"))
+    cold = left.join(hot, key, "left_anti").join(right, key, how)
+    return cold.unionByName(left.join(hot, key, "left_semi").join(partners, key, how))
+
+
 def number_rows(
     df: DataFrame, key: str, order: list[str], out: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:

@@ -15,6 +15,7 @@ from reelfold.operators.convert import (
 from reelfold.operators.jobs import probe_files, run_conversions
 from reelfold.operators.media import describe, preferences_json, to_preferences
 from reelfold.operators.validate import quarantine, read_preferences
+from reelfold.session import materialize
 from reelfold.sources.files import limit_size
 
 
@@ -64,9 +65,13 @@ class Conversion:
 
 
 def convert(requests: DataFrame, state: DataFrame) -> Conversion:
-    """Parsed requests ``(request_key, ts, raw, body)`` and current state to plans."""
-    valid, rejected = quarantine(read_preferences(requests))
-    planned, refused = plan_conversion(valid.drop("body", "raw"), state)
+    """Parsed requests ``(request_key, ts, raw, body)`` and current state to plans.
+
+    Bodies are parsed once; plans, refusals and rejections read the stored verdicts.
+    """
+    judged = materialize(read_preferences(requests).drop("body"), "judged")
+    valid, rejected = quarantine(judged)
+    planned, refused = plan_conversion(valid.drop("raw"), state)
     return Conversion(planned, refused, rejected)
 
 

@@ -343,6 +343,7 @@ res AS (
 
 # --- sources and sinks --------------------------------------------------------------------------
 
+ORACLES["s1_scan_files"] = f"WITH {FILES} SELECT file_id, length FROM f"
 ORACLES["s2_limit_size"] = f"""WITH {FILES}
 SELECT file_id, length, CASE WHEN length <= 10000 THEN 'accepted' ELSE 'rejected' END AS verdict FROM f"""
 ORACLES["s3_reassemble_chunks"] = f"""WITH {CHUNKS}
@@ -729,6 +730,7 @@ ORACLES["t5_route_stream"] = f"""WITH {REG}, {MSG}
 SELECT id, ref, msg, ts FROM msgs JOIN (SELECT DISTINCT id, ref FROM reg) USING (id)
 WHERE event_id % 10 <> 0
 UNION ALL SELECT CAST(NULL AS VARCHAR), '*', msg, ts FROM msgs WHERE event_id % 10 = 0"""
+ORACLES["t6_intake_stream"] = ORACLES["s1_scan_files"]
 ORACLES["t6_chunk_stream"] = f"""WITH {CHUNKS}
 SELECT file_id, count(*) AS n_chunks, CAST(sum(octet_length(encode(text))) AS BIGINT) AS length,
   count(DISTINCT chunk_no) = max(chunk_no) + 1 AS complete FROM ch GROUP BY file_id"""

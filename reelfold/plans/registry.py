@@ -13,7 +13,7 @@ from reelfold.operators import (
     catalog as C, convert as P, jobs, journal as J, media, routing as R, validate as W,
 )
 from reelfold.plans import bindings as B
-from reelfold.session import scratch_path
+from reelfold.session import materialize, scratch_path
 from reelfold.sources import events as E, files as FS, json_lines as JL
 from reelfold.sources.requests import scan_requests
 from reelfold.streaming import (
@@ -64,10 +64,21 @@ def joined(column: str) -> Column:
 # --- sources and sinks --------------------------------------------------------------------------
 
 
+def _written_files(spark, d) -> str:
+    """The documents as files below a fresh folder."""
+    out = scratch_path(spark, "files")
+    written = FS.write_files(FS.chunk_files(B.files(spark, d), 10_000, keep_empty=True), out)
+    written.write.format("noop").mode("overwrite").save()
+    return out
+
+
+def _listed(found: DataFrame) -> DataFrame:
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file_id"), "length")
+
+
 @query
 def s1_scan_files(spark, d):
-    found = FS.scan_files(spark, d, "*.parquet")
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    return _listed(FS.scan_files(spark, _written_files(spark, d)))
 
 
 @query
@@ -159,10 +170,9 @@ def s10_to_json_lines(spark, d):
 
 @query
 def s11_write_files(spark, d):
-    out = scratch_path(spark, "files")
-    written = FS.write_files(FS.chunk_files(B.files(spark, d), 10_000, keep_empty=True), out)
-    written.write.format("noop").mode("overwrite").save()
-    return FS.scan_files(spark, out).select(
+    """Write, read back: the bytes of every file."""
+    found = FS.scan_files(spark, _written_files(spark, d))
+    return found.select(
         F.element_at(F.split("path", "/"), -1).alias("file_id"), "length",
         F.md5("content").alias("digest"),
     )
@@ -227,8 +237,13 @@ def p9_codec_json(spark, d):
 
 
 def _valid_requests(spark, d) -> DataFrame:
+    """Accepted requests as a stored table: planning reads them more than once."""
     valid, _ = W.quarantine(W.read_preferences(B.requests(spark, d)))
-    return valid.drop("raw", "body")
+    return materialize(valid.drop("raw", "body"), "requests")
+
+
+def _stored_journal(spark, d) -> DataFrame:
+    return materialize(B.journal(spark, d), "journal")
 
 
 def _plan(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -283,7 +298,7 @@ def f1_search(spark, d):
 
 @query
 def f1_search_literal(spark, d):
-    """Percent and underscore are ordinary characters; the URLs of the pages hold neither rule."""
+    """``%`` is an ordinary character, not a wildcard."""
     catalog = B.table(spark, d, "pages").select(
         F.struct(
             F.col("url").alias("file_name"), F.lit("pages").alias("full_path"),
@@ -472,12 +487,12 @@ def _flat_snapshot(df: DataFrame) -> DataFrame:
 
 @query
 def a3_snapshot(spark, d):
-    return _flat_snapshot(J.snapshot(B.journal(spark, d), every=20))
+    return _flat_snapshot(J.snapshot(_stored_journal(spark, d), every=20))
 
 
 @query
 def a4_restore(spark, d):
-    events = B.journal(spark, d)
+    events = _stored_journal(spark, d)
     taken = J.snapshot(events, every=20)
     return J.restore(taken, J.tail_events(events, taken)).select(
         "persistence_id", *flat_file(), "status"
@@ -523,7 +538,7 @@ def w2_keep_latest(spark, d):
 
 @query
 def w3_running_state(spark, d):
-    return J.running_state(B.journal(spark, d)).select(
+    return J.running_state(_stored_journal(spark, d)).select(
         "persistence_id", "seq_nr", *flat_file(), "status"
     )
 
@@ -1004,11 +1019,8 @@ def t5_route_stream(spark, d):
 
 @query
 def t6_intake_stream(spark, d):
-    found = intake.intake_stream(spark, d, 5, "*.parquet")
-    out = collect_stream(
-        found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length"), "append"
-    )
-    return spark.read.parquet(out).drop("batch_id")
+    found = intake.intake_stream(spark, _written_files(spark, d), 300)
+    return spark.read.parquet(collect_stream(_listed(found), "append")).drop("batch_id")
 
 
 @query

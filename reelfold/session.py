@@ -60,3 +60,15 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+    """``df`` written once as Parquet on shared storage and read back.
+
+    For frames that several passes read: later passes prune columns and push filters into the
+    copy, and a lost executor costs no recomputation.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reelfold.functions.ids import event_tag
 from reelfold.operators.journal import assign_seq
+from reelfold.operators.skew import join_unique
 
 JOURNAL_COLUMNS = [
     "persistence_id", "seq_nr", "ts", "event_date", "tag", "event_type", "file", "status",
@@ -21,7 +22,7 @@ def number_after(events: DataFrame, journal: DataFrame | None = None, **options)
     if journal is not None:
         heads = journal.groupBy("persistence_id").agg(F.max("seq_nr").alias("_head"))
         numbered = (
-            numbered.join(heads, "persistence_id", "left")
+            join_unique(numbered, heads, "persistence_id")
             .withColumn("seq_nr", F.col("seq_nr") + F.coalesce("_head", F.lit(0)))
             .drop("_head")
         )

@@ -15,6 +15,7 @@ from reelfold.operators.skew import bounded_side
 
 # Bytes of one file that may meet in one row; larger files stay chunk rows.
 ASSEMBLE_BYTES = 256 * 1024 * 1024
+ASSEMBLE_CHUNKS = 100_000
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -115,8 +116,10 @@ def file_sizes(chunks: DataFrame, chunk_bytes: int | None = None) -> DataFrame:
 def oversize_files(
     chunks: DataFrame, max_bytes: int = ASSEMBLE_BYTES, chunk_bytes: int | None = None
 ) -> DataFrame:
-    """Files too large for one row. At most total bytes / ``max_bytes`` of them exist."""
-    return file_sizes(chunks, chunk_bytes).filter(F.col("length") > max_bytes)
+    """Files with too many bytes or chunks for one row."""
+    return file_sizes(chunks, chunk_bytes).filter(
+        (F.col("length") > max_bytes) | (F.col("n_chunks") > ASSEMBLE_CHUNKS)
+    )
 
 
 def reassemble_chunks(
@@ -153,15 +156,21 @@ def _assemble(chunks: DataFrame) -> DataFrame:
     )
 
 
-def write_files(chunks: DataFrame, out_dir: str, tasks: int | None = None) -> DataFrame:
-    """Write each file's chunks in order to ``out_dir/<file_id>``; result ``(file_id, path, length)``.
+def write_files(
+    chunks: DataFrame, out_dir: str, tasks: int | None = None, chunks_per_part: int | None = None
+) -> DataFrame:
+    """Write files to ``out_dir`` in chunk order; result ``(file_id, path, length)``.
 
-    The rows of a task arrive sorted and are appended as they come, so memory holds one batch
-    however large a file is. Bytes go to a name of this attempt, renamed when the file is done.
-    ``out_dir`` is a URI or path that all executors share.
+    A file becomes ``out_dir/<file_id>``. With ``chunks_per_part`` it becomes a folder of numbered
+    parts instead, which different tasks write, for files too large for one task. Rows arrive
+    sorted and are appended as they come, so memory holds one batch. Bytes go to a name of this
+    attempt, renamed when done. ``out_dir`` is a URI or path that all executors share.
     """
-    keys = ["file_id"]
-    ordered = distinct_chunks(chunks)
+    part = F.lit(0).cast("bigint")
+    if chunks_per_part:
+        part = F.floor(F.col("chunk_no") / chunks_per_part)
+    ordered = distinct_chunks(chunks).withColumn("_part", part)
+    keys = ["file_id", "_part"]
     spread = ordered.repartition(tasks, *keys) if tasks else ordered.repartition(*keys)
     schema = "file_id string, path string, length bigint"
     fields = to_arrow_schema(S.struct_type(schema))
@@ -173,23 +182,28 @@ def write_files(chunks: DataFrame, out_dir: str, tasks: int | None = None) -> Da
 
         def finish():
             sink.close()
-            system.move(temp, posixpath.join(base, current))
-            row = {"file_id": current, "path": posixpath.join(base, current), "length": length}
+            file_id, number = current
+            target = posixpath.join(base, file_id)
+            if chunks_per_part:
+                system.create_dir(target, recursive=True)
+                target = posixpath.join(target, f"part-{number:08d}")
+            system.move(temp, target)
+            row = {"file_id": file_id, "path": target, "length": length}
             return pa.RecordBatch.from_pylist([row], schema=fields)
 
         for batch in batches:
-            ids, data = batch.column("file_id"), batch.column("data")
+            ids, numbers, data = (batch.column(c) for c in ("file_id", "_part", "data"))
             for i in range(batch.num_rows):
-                file_id = ids[i].as_py()
-                if file_id != current:
+                group = (ids[i].as_py(), numbers[i].as_py())
+                if group != current:
                     if current is not None:
                         yield finish()
-                    current, length = file_id, 0
-                    temp = posixpath.join(base, f".{uuid.uuid4().hex}-{file_id}")
+                    current, length = group, 0
+                    temp = posixpath.join(base, f".{uuid.uuid4().hex}")
                     sink = system.open_output_stream(temp)
                 sink.write(data[i].as_buffer())
                 length += len(data[i].as_buffer())
         if current is not None:
             yield finish()
 
-    return spread.sortWithinPartitions("file_id", "chunk_no").mapInArrow(run, schema)
+    return spread.sortWithinPartitions("file_id", "_part", "chunk_no").mapInArrow(run, schema)
