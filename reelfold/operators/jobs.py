@@ -6,11 +6,13 @@ collects one row per file.
 
 from __future__ import annotations
 
-import os
+import posixpath
 import uuid
 from collections.abc import Callable
+from typing import BinaryIO
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -29,30 +31,32 @@ PROBED = (
 
 
 def run_conversions(
-    plan: DataFrame, convert_fn: Callable[[dict, str, Callable[[int], None]], None], out_dir: str,
-    tasks: int | None = None,
+    plan: DataFrame, convert_fn: Callable[[dict, BinaryIO, Callable[[int], None]], None],
+    out_dir: str, tasks: int | None = None,
 ) -> DataFrame:
-    """Run ``convert_fn(plan_row, output_path, on_permil)`` per file; one result row each.
+    """Run ``convert_fn(plan_row, output, on_permil)`` per file; one result row each.
 
-    ``out_dir`` is a folder all executors share. The output goes to a name of this attempt and is
-    renamed when done, so a retried or speculative task never leaves half a file under the real
-    name. Any exception, or a plan that is already wrong, gives ``failed`` with the error text.
+    ``output`` is an open binary stream below ``out_dir``, a URI or path that all executors share.
+    It has a name of this attempt and is renamed when done, so a retried or speculative task never
+    leaves half a file under the real name. Any exception, or a plan that is already wrong, gives
+    ``failed`` with the error text and no file.
     """
     fields = to_arrow_schema(S.struct_type(CONVERTED))
     complete, failed = S.STATUS_COMPLETE, S.STATUS_FAILED
 
-    def convert(row: dict) -> dict:
+    def convert(row: dict, system: pafs.FileSystem, base: str) -> dict:
         permils: list[int] = []
         status, error = complete, row["plan_error"]
         if error is None:
-            temp = os.path.join(out_dir, f".{uuid.uuid4().hex}-{row['new_name']}")
+            temp = posixpath.join(base, f".{uuid.uuid4().hex}")
             try:
-                convert_fn(row, temp, permils.append)
-                os.replace(temp, os.path.join(out_dir, row["new_name"]))
+                with system.open_output_stream(temp) as output:
+                    convert_fn(row, output, permils.append)
+                system.move(temp, posixpath.join(base, row["new_name"]))
             except Exception as exc:  # the caller's function may raise anything
                 error = f"{type(exc).__name__}: {exc}"
-                if os.path.exists(temp):
-                    os.remove(temp)
+                if system.get_file_info(temp).type != pafs.FileType.NotFound:
+                    system.delete_file(temp)
         if error is not None:
             status = failed
         return {
@@ -61,9 +65,11 @@ def run_conversions(
         }
 
     def run(batches):
+        system, base = pafs.FileSystem.from_uri(out_dir)
+        system.create_dir(base, recursive=True)
         for batch in batches:
             for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist([convert(row)], schema=fields)
+                yield pa.RecordBatch.from_pylist([convert(row, system, base)], schema=fields)
 
     spread = plan.repartition(tasks, "file_id") if tasks else plan.repartition("file_id")
     return spread.mapInArrow(run, CONVERTED)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -876,8 +875,8 @@ def stub_encoder():
     def encode(row, output, on_permil):
         import json
 
-        with open(output, "w", encoding="utf-8") as out:
-            json.dump({"source": row["source_name"], "format": row["format"]}, out)
+        settings = {"source": row["source_name"], "format": row["format"]}
+        output.write(json.dumps(settings).encode())
         on_permil(290)
         if row["format"] == "ogg":
             raise ValueError("unsupported format ogg")
@@ -888,7 +887,6 @@ def stub_encoder():
 
 def _conversions(spark, d) -> DataFrame:
     out = scratch_path(spark, "converted")
-    os.makedirs(out, exist_ok=True)
     plan = _plan(spark, d)[0].withColumn("progress", F.col("file_id"))
     return jobs.run_conversions(plan, stub_encoder(), out)
 
