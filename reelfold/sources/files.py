@@ -20,7 +20,10 @@ BINARY_FILE = "path string, modificationTime timestamp, length bigint, content b
 
 
 def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Files below ``path``; content is read only where it is selected."""
+    """Files below ``path``; content is read only where it is selected.
+
+    Spark's file listing leaves out files of no bytes.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
