@@ -17,12 +17,11 @@ def _col(value: Column | str) -> Column:
 
 def uuid_shaped(key: Column | str) -> Column:
     """A stable id in UUID form, derived from ``key``."""
-    digest = F.md5(_col(key).cast("string"))
-    groups, start = [], 1
-    for width in UUID_GROUPS:
-        groups.append(F.substring(digest, start, width))
-        start += width
-    return F.concat_ws("-", *groups)
+    text = F.md5(_col(key).cast("string"))
+    # dashes are inserted one by one so that the digest is computed once
+    for position in (9, 14, 19, 24):
+        text = F.overlay(text, F.lit("-"), position, 0)
+    return text
 
 
 def parse_uuid(text: Column | str) -> Column:
@@ -36,8 +35,9 @@ def parse_uuid(text: Column | str) -> Column:
         F.lower(F.right(F.lpad(F.get(parts, F.lit(i)), 36, "0"), F.lit(width)))
         for i, width in enumerate(UUID_GROUPS)
     ]
-    valid = text.rlike(LOOSE_UUID) & (F.length(text) <= 36)
-    return F.when(valid, F.concat_ws("-", *groups))
+    loose = text.rlike(LOOSE_UUID) & (F.length(text) <= 36)
+    # nearly all ids are canonical and need no padding
+    return F.when(text.rlike(CANONICAL_UUID), F.lower(text)).when(loose, F.concat_ws("-", *groups))
 
 
 def route_id_valid(text: Column | str) -> Column:

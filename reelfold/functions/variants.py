@@ -6,9 +6,10 @@ so every reader looks at the type of the field first.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reelfold.functions.guards import truncate, wrap_int
 
@@ -116,6 +117,73 @@ def _or_default(value: Column, default, type_name: str) -> Column:
     return F.coalesce(value, F.lit(default).cast(spark_type))
 
 
+@dataclass(frozen=True)
+class Field:
+    """A field to read: see :func:`extract` and :func:`extract_optional` for the rules."""
+
+    path: str
+    type_name: str
+    default: object = None
+    required: bool = True
+    strict: bool = True
+    report: str | None = None
+
+
+def read_fields(
+    df: DataFrame, body: str, fields: Mapping[str, Field], wrap: bool = False
+) -> tuple[DataFrame, dict[str, Extracted]]:
+    """Look up many fields of one document: a wider frame, and columns over it.
+
+    The lookups are made in two projections that everything later refers to, so each happens once
+    per row; written into the rules themselves they would run again in every branch. Object fields
+    give true instead of a value.
+    """
+    keep = [F.col(c) for c in df.columns]
+    found = df.select(
+        *keep,
+        *[F.expr(f"try_variant_get({body}, '{f.path}', 'variant') AS _r_{n}") for n, f in fields.items()],
+    )
+    read = found.select(
+        *keep,
+        *[_read_typed(n, f, wrap).alias(f"_v_{n}") for n, f in fields.items()],
+        *[F.expr(f"_r_{n} IS NULL AS _m_{n}") for n in fields],
+    )
+    return read, {n: _judge(n, f) for n, f in fields.items()}
+
+
+_SQL_TYPED = {
+    INT: "TRY_CAST(try_variant_get({r}, '$', 'decimal(38,18)') AS INT)",
+    LONG: "TRY_CAST(try_variant_get({r}, '$', 'decimal(38,18)') AS BIGINT)",
+    DOUBLE: "try_variant_get({r}, '$', 'double')",
+    STRING: "try_variant_get({r}, '$', 'string')",
+}
+
+
+def _read_typed(name: str, field: Field, wrap: bool) -> Column:
+    found = f"_r_{name}"
+    if field.type_name == OBJECT:
+        # an object casts to any struct; spelling out its schema would visit everything inside
+        return F.expr(f"IF(try_variant_get({found}, '$', 'struct<_:boolean>') IS NULL, NULL, true)")
+    right_type = f"schema_of_variant({found}) RLIKE '^({_WORDS[field.type_name]})'"
+    if wrap and field.type_name == INT:
+        return F.when(F.expr(right_type), json_int(F.col(found), wrap=True))
+    return F.expr(f"CASE WHEN {right_type} THEN {_SQL_TYPED[field.type_name].format(r=found)} END")
+
+
+def _judge(name: str, field: Field) -> Extracted:
+    label = field.path.rsplit(".", 1)[-1]
+    value, wrong = F.col(f"_v_{name}"), f"_v_{name} IS NULL"
+    if field.required:
+        label_if = f"IF(_m_{name}, '{label}', '{field.report or label}')"
+    else:
+        wrong += f" AND NOT _m_{name}" if field.strict else " AND false"
+        label_if = f"'{label}'"
+    return Extracted(
+        _or_default(value, field.default, field.type_name),
+        F.expr(f"CASE WHEN {wrong} THEN {label_if} END"),
+    )
+
+
 def collect_errors(*errors: Column) -> Column:
     """The error names that are set, in the given order."""
     return F.array_compact(F.array(*errors))

@@ -23,10 +23,11 @@ def evaluate_once(df: DataFrame, columns: dict[str, Column], keep: list[str]) ->
 
     The optimizer moves a filter on computed columns below them and repeats their whole
     expressions in the filter, here every JSON lookup. It does not move one below a generator, so
-    the columns are built as the single row of one.
+    the finished columns pass through one that yields a single row.
     """
-    row = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select(*keep, F.inline(F.array(row)))
+    done = df.select(*keep, *[value.alias(f"_once_{name}") for name, value in columns.items()])
+    row = F.struct(*[F.col(f"_once_{name}").alias(name) for name in columns])
+    return done.select(*keep, F.inline(F.array(row)))
 
 
 # --- tracks -------------------------------------------------------------------------------------
@@ -34,185 +35,206 @@ def evaluate_once(df: DataFrame, columns: dict[str, Column], keep: list[str]) ->
 
 @dataclass(frozen=True)
 class Track:
-    """Typed struct of one track, and the names of its wrong fields in report order."""
+    """Struct of one track, and the names of its wrong fields in report order."""
 
     value: Column
     errors: Column
 
 
-def read_audio(v: Column, path: str = "$.audio", wrap: bool = False) -> Track:
-    """Audio track at ``path``. ``quality`` and ``volume`` may be missing but not mistyped."""
-    channels = V.extract(v, f"{path}.channels", V.INT, 0, wrap=wrap)
-    sampling = V.extract(v, f"{path}.sampling_rate", V.INT, 0, wrap=wrap)
-    quality = V.extract_optional(v, f"{path}.quality", V.INT, 0, wrap=wrap)
-    volume = V.extract_optional(v, f"{path}.volume", V.INT, 0, wrap=wrap)
-    bit_rate, decoder = _common(v, path, wrap)
-    value = F.struct(
-        bit_rate.value.alias("bit_rate"),
-        channels.value.alias("channels"),
-        decoder.value.alias("decoder"),
-        sampling.value.alias("sampling_rate"),
-        quality.value.alias("quality"),
-        volume.value.alias("volume"),
-    )
-    errors = V.collect_errors(
-        channels.error, sampling.error, quality.error, volume.error, bit_rate.error, decoder.error
+def _audio_fields(path: str) -> dict[str, V.Field]:
+    return {
+        "audio": V.Field(path, V.OBJECT),
+        "audio_channels": V.Field(f"{path}.channels", V.INT, 0),
+        "audio_sampling_rate": V.Field(f"{path}.sampling_rate", V.INT, 0),
+        "audio_quality": V.Field(f"{path}.quality", V.INT, 0, required=False),
+        "audio_volume": V.Field(f"{path}.volume", V.INT, 0, required=False),
+        "audio_bit_rate": V.Field(f"{path}.bit_rate", V.INT, 0),
+        "audio_decoder": V.Field(f"{path}.decoder", V.STRING, ""),
+    }
+
+
+def _audio_track(f: Mapping[str, V.Extracted]) -> Track:
+    order = ("channels", "sampling_rate", "quality", "volume", "bit_rate", "decoder")
+    shape = ("bit_rate", "channels", "decoder", "sampling_rate", "quality", "volume")
+    return Track(
+        F.struct(*[f[f"audio_{n}"].value.alias(n) for n in shape]),
+        V.collect_errors(*[f[f"audio_{n}"].error for n in order]),
     )
-    return Track(value, errors)
 
 
-def read_video(v: Column, path: str = "$.video", wrap: bool = False) -> Track:
-    """Video track at ``path``. A mistyped ``tag`` or ``profile`` counts as absent.
+def _video_fields(path: str) -> dict[str, V.Field]:
+    return {
+        "video": V.Field(path, V.OBJECT),
+        "video_frame_rate": V.Field(f"{path}.frame_rate", V.DOUBLE, 0.0),
+        "video_size": V.Field(f"{path}.size", V.OBJECT),
+        "video_height": V.Field(f"{path}.size.height", V.INT, 0, report="size.height"),
+        "video_width": V.Field(f"{path}.size.width", V.INT, 0, report="size.width"),
+        "video_tag": V.Field(f"{path}.tag", V.STRING, "", required=False, strict=False),
+        "video_profile": V.Field(f"{path}.profile", V.STRING, required=False, strict=False),
+        "video_bit_rate": V.Field(f"{path}.bit_rate", V.INT, 0),
+        "video_decoder": V.Field(f"{path}.decoder", V.STRING, ""),
+    }
 
-    A missing side of ``size`` is reported by its own name and a mistyped one with the ``size.``
-    prefix; a ``size`` that is missing or not an object is reported as ``size``.
-    """
-    frame_rate = V.extract(v, f"{path}.frame_rate", V.DOUBLE, 0.0)
-    has_size = V.has_kind(v, f"{path}.size", V.OBJECT)
-    size_error = F.when(~has_size, F.lit("size"))
-    height = V.extract(v, f"{path}.size.height", V.INT, 0, report="size.height", wrap=wrap)
-    width = V.extract(v, f"{path}.size.width", V.INT, 0, report="size.width", wrap=wrap)
-    tag = V.extract_optional(v, f"{path}.tag", V.STRING, "", strict=False)
-    profile = V.extract_optional(v, f"{path}.profile", V.STRING, None, strict=False)
-    bit_rate, decoder = _common(v, path, wrap)
+
+def _video_track(f: Mapping[str, V.Extracted]) -> Track:
+    has_size = f["video_size"].value.isNotNull()
     value = F.struct(
-        bit_rate.value.alias("bit_rate"),
-        frame_rate.value.alias("frame_rate"),
-        decoder.value.alias("decoder"),
-        F.struct(width.value.alias("width"), height.value.alias("height")).alias("size"),
-        tag.value.alias("tag"),
-        profile.value.alias("profile"),
+        *[f[f"video_{n}"].value.alias(n) for n in ("bit_rate", "frame_rate", "decoder")],
+        F.struct(*[f[f"video_{n}"].value.alias(n) for n in ("width", "height")]).alias("size"),
+        *[f[f"video_{n}"].value.alias(n) for n in ("tag", "profile")],
     )
     errors = V.collect_errors(
-        frame_rate.error, size_error,
-        F.when(has_size, height.error), F.when(has_size, width.error),
-        bit_rate.error, decoder.error,
+        f["video_frame_rate"].error, f["video_size"].error,
+        F.when(has_size, f["video_height"].error), F.when(has_size, f["video_width"].error),
+        f["video_bit_rate"].error, f["video_decoder"].error,
     )
     return Track(value, errors)
 
 
-def _common(v: Column, path: str, wrap: bool) -> tuple[V.Extracted, V.Extracted]:
-    return (
-        V.extract(v, f"{path}.bit_rate", V.INT, 0, wrap=wrap),
-        V.extract(v, f"{path}.decoder", V.STRING, ""),
+def read_audio(
+    df: DataFrame, body: str = "body", path: str = "$.audio", wrap: bool = False
+) -> DataFrame:
+    """Add ``audio`` and ``audio_errors``, both null where there is no object at ``path``.
+
+    ``quality`` and ``volume`` may be missing but not mistyped.
+    """
+    read, f = V.read_fields(df, body, _audio_fields(path), wrap)
+    return _add_track(df, read, "audio", f["audio"].value, _audio_track(f))
+
+
+def read_video(
+    df: DataFrame, body: str = "body", path: str = "$.video", wrap: bool = False
+) -> DataFrame:
+    """Add ``video`` and ``video_errors``, both null where there is no object at ``path``.
+
+    A mistyped ``tag`` or ``profile`` counts as absent. A missing side of ``size`` is reported by
+    its own name and a mistyped one with the ``size.`` prefix; a ``size`` that is missing or not
+    an object is reported as ``size``.
+    """
+    read, f = V.read_fields(df, body, _video_fields(path), wrap)
+    return _add_track(df, read, "video", f["video"].value, _video_track(f))
+
+
+def _add_track(df: DataFrame, read: DataFrame, name: str, found: Column, track: Track) -> DataFrame:
+    return evaluate_once(
+        read,
+        {name: F.when(found, track.value), f"{name}_errors": F.when(found, track.errors)},
+        df.columns,
     )
 
 
 # --- whole bodies -------------------------------------------------------------------------------
 
 
-def read_preferences(df: DataFrame, body: str = "body", wrap: bool = False) -> DataFrame:
+def read_preferences(
+    df: DataFrame, body: str = "body", raw: str = "raw", wrap: bool = False
+) -> DataFrame:
     """Add ``id, extension, format, file_name, progress, audio, video, reason, fields``.
 
     Accepted rows have a null ``reason``. The body needs a UUID ``id``, strings ``extension`` and
     ``format``, and an object ``audio``, ``video`` or both; anything else is malformed. Field
-    errors of both tracks are reported together, audio's first.
+    errors of both tracks are reported together, audio's first. A missing or bad ``progress_id``
+    is replaced by one derived from the raw text.
     """
-    v = F.col(body)
-    audio, video = read_audio(v, wrap=wrap), read_video(v, wrap=wrap)
-    text = df.select(
-        *[F.col(c) for c in df.columns],
-        parse_uuid(V.extract(v, "$.id", V.STRING, None).value).alias("id"),
-        V.extract(v, "$.extension", V.STRING, None).value.alias("extension"),
-        V.extract(v, "$.format", V.STRING, None).value.alias("format"),
-        V.kind(v, "$.audio").alias("_audio"),
-        V.kind(v, "$.video").alias("_video"),
-    )
-    has_audio, has_video = F.col("_audio") == V.OBJECT, F.col("_video") == V.OBJECT
+    fields = {
+        "id": V.Field("$.id", V.STRING),
+        "extension": V.Field("$.extension", V.STRING),
+        "format": V.Field("$.format", V.STRING),
+        "progress_id": V.Field("$.progress_id", V.STRING, required=False, strict=False),
+        **_audio_fields("$.audio"), **_video_fields("$.video"),
+    }
+    read, f = V.read_fields(df, body, fields, wrap)
+    audio, video = _audio_track(f), _video_track(f)
+    has_audio, has_video = f["audio"].value.isNotNull(), f["video"].value.isNotNull()
+    file_id = parse_uuid(f["id"].value)
     shaped = (
-        F.col("id").isNotNull() & F.col("extension").isNotNull() & F.col("format").isNotNull()
-        & F.col("_audio").isin(V.OBJECT, V.MISSING) & F.col("_video").isin(V.OBJECT, V.MISSING)
+        file_id.isNotNull() & f["extension"].error.isNull() & f["format"].error.isNull()
+        & (has_audio | F.col("_m_audio")) & (has_video | F.col("_m_video"))
         & (has_audio | has_video)
     )
-    none = F.array().cast("array<string>")
-    read = evaluate_once(
-        text,
+    derived = uuid_shaped(F.concat(F.lit("progress:"), F.col(raw)))
+    judged = evaluate_once(
+        read,
         {
             "_shaped": shaped,
-            "_id": F.col("id"), "_extension": F.col("extension"), "_format": F.col("format"),
+            "id": file_id, "extension": f["extension"].value, "format": f["format"].value,
+            "file_name": F.lit(""),
+            "progress": F.coalesce(parse_uuid(f["progress_id"].value), derived),
             "audio": F.when(has_audio, audio.value),
             "video": F.when(has_video, video.value),
-            "_errors": F.concat(
-                F.when(has_audio, audio.errors).otherwise(none),
-                F.when(has_video, video.errors).otherwise(none),
-            ),
-            "progress": _progress(v),
-            "file_name": F.lit(""),
+            "_errors": _both(has_audio, audio, has_video, video),
         },
         df.columns,
-    ).withColumnsRenamed({"_id": "id", "_extension": "extension", "_format": "format"})
+    )
     return _with_verdict(
-        read, df.columns,
+        judged, df.columns,
         ["id", "extension", "format", "file_name", "progress", "audio", "video"],
     )
 
 
-def _progress(v: Column) -> Column:
-    """The progress id sent, or one derived from the body where it is missing or bad."""
-    sent = V.extract_optional(v, "$.progress_id", V.STRING, None).value
-    return F.coalesce(
-        parse_uuid(sent), uuid_shaped(F.concat(F.lit("progress:"), F.to_json(v)))
+def _both(has_audio: Column, audio: Track, has_video: Column, video: Track) -> Column:
+    none = F.array().cast("array<string>")
+    return F.concat(
+        F.when(has_audio, audio.errors).otherwise(none),
+        F.when(has_video, video.errors).otherwise(none),
     )
 
 
-def read_media(df: DataFrame, body: str = "body", wrap: bool = False) -> DataFrame:
+def read_media(
+    df: DataFrame, body: str = "body", raw: str = "raw", wrap: bool = False
+) -> DataFrame:
     """Add ``info, duration, format, audio, video, reason, fields``.
 
     Needs objects ``info`` and ``audio``, a number ``duration`` and a string ``format``; ``video``
-    may be missing. A body with video alone is malformed.
+    may be missing. A body with video alone is malformed. A missing ``info.id`` is derived from
+    the raw text.
     """
-    v = F.col(body)
-    audio, video = read_audio(v, wrap=wrap), read_video(v, wrap=wrap)
-    name = V.extract(v, "$.info.file_name", V.STRING, "")
-    content_type = V.extract(v, "$.info.content_type", V.STRING, None)
-    content_error = F.coalesce(
-        content_type.error,
-        F.when(~valid_content_type(content_type.value), F.lit("content_type")),
-    )
-    sent_id = V.extract_optional(v, "$.info.id", V.STRING, None)
+    fields = {
+        "info": V.Field("$.info", V.OBJECT),
+        "name": V.Field("$.info.file_name", V.STRING, ""),
+        "content_type": V.Field("$.info.content_type", V.STRING),
+        "id": V.Field("$.info.id", V.STRING, required=False),
+        "duration": V.Field("$.duration", V.INT if wrap else V.LONG, 0),
+        "duration_number": V.Field("$.duration", V.DOUBLE),
+        "format": V.Field("$.format", V.STRING),
+        **_audio_fields("$.audio"), **_video_fields("$.video"),
+    }
+    read, f = V.read_fields(df, body, fields, wrap)
+    audio, video = _audio_track(f), _video_track(f)
+    has_audio, has_video = f["audio"].value.isNotNull(), f["video"].value.isNotNull()
+    content_type, media_id = f["content_type"].value, parse_uuid(f["id"].value)
+    content_error = F.when(~valid_content_type(content_type), F.lit("content_type"))
     id_error = F.coalesce(
-        sent_id.error,
-        F.when(sent_id.value.isNotNull() & parse_uuid(sent_id.value).isNull(), F.lit("id")),
+        f["id"].error, F.when(f["id"].value.isNotNull() & media_id.isNull(), F.lit("id"))
     )
-    media_id = F.coalesce(
-        parse_uuid(sent_id.value), uuid_shaped(F.concat(F.lit("media:"), F.to_json(v)))
-    )
-    duration = V.extract(v, "$.duration", V.INT if wrap else V.LONG, 0, wrap=wrap)
     shaped = (
-        V.has_kind(v, "$.info", V.OBJECT)
-        & V.has_kind(v, "$.duration", V.LONG)
-        & V.has_kind(v, "$.format", V.STRING)
-        & V.has_kind(v, "$.audio", V.OBJECT)
-        & V.kind(v, "$.video").isin(V.OBJECT, V.MISSING)
+        f["info"].value.isNotNull() & f["duration_number"].value.isNotNull()
+        & f["format"].error.isNull() & has_audio & (has_video | F.col("_m_video"))
     )
-    has_video = V.has_kind(v, "$.video", V.OBJECT)
+    derived = uuid_shaped(F.concat(F.lit("media:"), F.col(raw)))
     info = F.struct(
-        name.value.alias("file_name"),
-        F.when(content_error.isNull(), content_type_default(content_type.value))
-        .otherwise(content_type_default(F.lit(None).cast("string")))
-        .alias("content_type"),
+        f["name"].value.alias("file_name"),
+        content_type_default(content_type).alias("content_type"),
         F.lit(0).alias("status"),
-        media_id.alias("id"),
+        F.coalesce(media_id, derived).alias("id"),
     )
-    none = F.array().cast("array<string>")
-    read = evaluate_once(
-        df,
+    judged = evaluate_once(
+        read,
         {
             "_shaped": shaped,
             "info": info,
-            "duration": duration.value.cast("bigint"),
-            "format": F.try_variant_get(v, "$.format", "string"),
-            "audio": audio.value,
+            "duration": f["duration"].value.cast("bigint"),
+            "format": f["format"].value,
+            "audio": F.when(has_audio, audio.value),
             "video": F.when(has_video, video.value),
             "_errors": F.concat(
-                V.collect_errors(name.error, id_error, content_error, duration.error),
-                audio.errors,
-                F.when(has_video, video.errors).otherwise(none),
+                V.collect_errors(f["name"].error, id_error, content_error, f["duration"].error),
+                _both(has_audio, audio, has_video, video),
             ),
         },
         df.columns,
     )
-    return _with_verdict(read, df.columns, ["info", "duration", "format", "audio", "video"])
+    return _with_verdict(judged, df.columns, ["info", "duration", "format", "audio", "video"])
 
 
 def _with_verdict(read: DataFrame, kept: list[str], values: list[str]) -> DataFrame:
@@ -242,14 +264,14 @@ def quarantine(judged: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFram
 
 
 @dataclass(frozen=True)
-class Field:
+class FormField:
     """One expected form field."""
 
     default: str | None
     required: bool = True
 
 
-def validate_form(v: Column, spec: Mapping[str, Field]) -> Column:
+def validate_form(v: Column, spec: Mapping[str, FormField]) -> Column:
     """Struct ``(values map, errors map, has_errors)``; any type but JSON null is accepted.
 
     Values are text: strings as they are, other types as JSON (numbers cut to whole ones).

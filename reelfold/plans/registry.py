@@ -743,8 +743,8 @@ def v3_collect_errors(spark, d):
 @query
 def v4_validate_form(spark, d):
     spec = {
-        "id": W.Field("-"), "extension": W.Field("tmp"), "progress_id": W.Field("none", False),
-        "video": W.Field("{}", False),
+        "id": W.FormField("-"), "extension": W.FormField("tmp"), "progress_id": W.FormField("none", False),
+        "video": W.FormField("{}", False),
     }
     form = W.validate_form(F.col("body"), spec)
     return B.requests(spark, d).select("request_key", form.alias("form")).select(
@@ -757,23 +757,20 @@ def v4_validate_form(spark, d):
     )
 
 
-def _track(spark, d, read, flat) -> DataFrame:
-    track = read(F.col("body"))
-    name = "audio" if read is W.read_audio else "video"
-    rows = B.requests(spark, d).filter(V.kind(F.col("body"), f"$.{name}") == V.OBJECT)
-    return rows.select(
-        "request_key", track.value.alias(name), track.errors.alias("fields")
-    ).select("request_key", *flat, joined("fields"))
-
-
 @query
 def v5_read_audio(spark, d):
-    return _track(spark, d, W.read_audio, flat_audio())
+    read = W.read_audio(B.requests(spark, d)).filter(F.col("audio").isNotNull())
+    return read.select(
+        "request_key", *flat_audio(), F.array_join("audio_errors", ",").alias("fields")
+    )
 
 
 @query
 def v6_read_video(spark, d):
-    return _track(spark, d, W.read_video, flat_video())
+    read = W.read_video(B.requests(spark, d)).filter(F.col("video").isNotNull())
+    return read.select(
+        "request_key", *flat_video(), F.array_join("video_errors", ",").alias("fields")
+    )
 
 
 @query
@@ -789,10 +786,14 @@ def v7_read_preferences(spark, d):
 
 def _media_bodies(spark, d) -> DataFrame:
     """Media documents written from the probe results, bent into shapes their reader refuses."""
-    bodies = media.media_json(_described(spark, d))
-    key = F.get_json_object("body", "$.duration").cast("bigint") / 1000
-    shape = key.cast("bigint") % 11
+    bodies = media.media_json(_described(spark, d)).select(
+        F.col("id").alias("media_id"),
+        # the writer gives null for an absent video; its reader wants the field left out
+        F.replace("body", F.lit('"video":null,'), F.lit("")).alias("raw"),
+        (F.get_json_object("body", "$.duration").cast("bigint") / 1000 % 11).cast("int").alias("shape"),
+    )
     swap = lambda a, b: F.replace(F.col("raw"), F.lit(a), F.lit(b))
+    shape = F.col("shape")
     raw = (
         F.when(shape == 1, swap('"content_type":"video', '"content_type":"vid eo'))
         .when(shape == 2, swap('"file_name"', '"name"'))
@@ -801,12 +802,7 @@ def _media_bodies(spark, d) -> DataFrame:
         .when(shape == 5, swap('"format":"flv"', '"format":1'))
         .otherwise(F.col("raw"))
     )
-    # the writer gives null for an absent video; its reader wants the field left out
-    return (
-        bodies.withColumn("raw", F.replace("body", F.lit('"video":null,'), F.lit("")))
-        .select("id", raw.alias("raw"))
-        .withColumnRenamed("id", "media_id")
-    )
+    return bodies.select("media_id", raw.alias("raw"))
 
 
 @query

@@ -145,7 +145,7 @@ def test_filters_stay_above_the_parsing(spark, sf_dir):
 
 
 def test_form(spark):
-    spec = {"a": W.Field("d"), "b": W.Field("d", False), "c": W.Field("d")}
+    spec = {"a": W.FormField("d"), "b": W.FormField("d", False), "c": W.FormField("d")}
     texts = ['{"a":"x","b":null}', '{"a":1.9,"c":[1,2]}', '{"a":{"k":1},"c":true}']
     df = spark.createDataFrame([(t,) for t in texts], "raw string")
     form = W.validate_form(F.try_parse_json("raw"), spec)
