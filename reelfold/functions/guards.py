@@ -35,7 +35,7 @@ def percent(permil: Column | str) -> Column:
 
 
 def content_type_default(content_type: Column | str) -> Column:
-    return F.coalesce(_col(content_type), F.lit("audio/mpeg"))
+    return F.coalesce(_col(content_type), F.lit(S.DEFAULT_CONTENT_TYPE))
 
 
 def valid_content_type(content_type: Column | str) -> Column:
@@ -48,7 +48,7 @@ def content_type_error(content_type: Column | str) -> Column:
     content_type = _col(content_type)
     return F.when(
         ~valid_content_type(content_type),
-        F.concat(F.lit("Content-Type: "), F.coalesce(content_type, F.lit("")), F.lit(" is invalid")),
+        F.format_string(S.CONTENT_TYPE_ERROR, F.coalesce(content_type, F.lit(""))),
     )
 
 

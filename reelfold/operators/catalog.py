@@ -114,7 +114,6 @@ def event_log_line(journal: DataFrame) -> DataFrame:
     return journal.select(
         "persistence_id", "seq_nr",
         F.format_string(
-            "EventProcessor(%s) consumed %s from %s with seqNr %d",
-            "tag", "event_type", "persistence_id", "seq_nr",
+            S.EVENT_LOG_LINE, "tag", "event_type", "persistence_id", "seq_nr"
         ).alias("line"),
     )

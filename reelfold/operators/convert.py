@@ -34,7 +34,7 @@ def requests_with_state(requests: DataFrame, state: DataFrame) -> DataFrame:
         .otherwise(F.lit("found"))
     )
     not_found = F.to_json(F.struct(F.col("id"), F.lit(S.FILE_NOT_FOUND).alias("reason")))
-    reply = F.when(F.col("outcome") == "unknown", F.lit('{"error":"unknown"}')).when(
+    reply = F.when(F.col("outcome") == "unknown", F.lit(S.UNKNOWN_REPLY)).when(
         F.col("outcome") == "not_found", not_found
     )
     return joined.withColumn("outcome", outcome).withColumn("reply", reply)

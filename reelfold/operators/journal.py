@@ -46,7 +46,7 @@ def _new_status() -> Column:
     return F.when(started, F.lit(S.STATUS_INPROGRESS)).otherwise(F.col("status"))
 
 
-def _fold_columns() -> list[Column]:
+def fold_columns() -> list[Column]:
     """The fold as order-independent aggregates, with the sequence numbers that won."""
     file_seq = F.when(_sets_file(), F.col("seq_nr"))
     status_seq = F.when(_sets_status(), F.col("seq_nr"))
@@ -66,7 +66,7 @@ def current_state(journal: DataFrame) -> DataFrame:
     """
     return (
         journal.groupBy("persistence_id")
-        .agg(*_fold_columns())
+        .agg(*fold_columns())
         .select(
             "persistence_id", "file",
             F.coalesce("status", F.lit(S.STATUS_NONE)).alias("status"),
@@ -101,7 +101,7 @@ def snapshot(
     block = F.floor((F.col("seq_nr") - 1) / every)
     blocks = (
         journal.groupBy("persistence_id", block.alias("block"))
-        .agg(F.max("seq_nr").alias("seq_nr"), *_fold_columns())
+        .agg(F.max("seq_nr").alias("seq_nr"), *fold_columns())
     )
     if longest is not None:
         longest = (longest - 1) // every

@@ -36,6 +36,11 @@ FIELD_REQUIRED = "This field is required."
 FIELD_INVALID_TYPE = "Invalid type found in this field."
 INVALID_CODEC_LISTS = "Invalid config"
 
+UNKNOWN_REPLY = '{"error":"unknown"}'
+CONTENT_TYPE_ERROR = "Content-Type: %s is invalid"
+DEFAULT_CONTENT_TYPE = "audio/mpeg"
+EVENT_LOG_LINE = "EventProcessor(%s) consumed %s from %s with seqNr %d"
+
 H264_PROFILES = ("BASELINE", "MAIN", "HIGH", "HIGH10", "HIGH422", "HIGH444")
 # ----------------------------------------------------------------------------------------------
 

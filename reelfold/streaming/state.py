@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from reelfold import schemas as S
-from reelfold.operators.journal import _fold_columns, current_state, restore
+from reelfold.operators.journal import current_state, fold_columns, fold_events, restore
+from reelfold.operators.skew import join_unique
 
 
 def state_stream(stream: DataFrame) -> DataFrame:
@@ -31,7 +30,9 @@ def maintain_state(
     :func:`read_state` merges them; :func:`compact_state` bounds their number.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        folded = batch.groupBy("persistence_id").agg(*_fold_columns(), F.max("seq_nr").alias("seq_nr"))
+        folded = batch.groupBy("persistence_id").agg(
+            F.max("seq_nr").alias("seq_nr"), *fold_columns()
+        )
         folded.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (
@@ -67,32 +68,55 @@ def compact_state(spark: SparkSession, path: str, out: str) -> None:
 
 def fold_stream(
     stream: DataFrame, init: dict, fn: Callable[[dict, dict], dict], state_schema: str,
-    key: str = "persistence_id", seq: str = "seq_nr",
-) -> DataFrame:
-    """Streaming form of the caller's ordered fold, update mode.
+    merge: Callable[[dict, dict], dict], path: str, checkpoint: str,
+    key: str = "persistence_id", seq: str = "seq_nr", trigger: dict | None = None,
+) -> StreamingQuery:
+    """Streaming form of the caller's ordered fold, as partial states per micro-batch.
 
-    Keeps the last sequence number with the state: replayed events are skipped. A micro-batch's
-    events of one entity are sorted before they are folded, so bound the batch with
-    ``maxFilesPerTrigger``. Events must reach the stream in sequence order across batches.
+    Each micro-batch folds the events that are newer than the entity's last folded one, so replays
+    are skipped, and writes one partial state per entity; :func:`read_fold` merges them in order.
+    ``merge`` is the associative merge of ``fold_events``, which also lets a hot entity's batch be
+    cut into slices. Events must reach the stream in sequence order across batches.
     """
     fields = S.struct_type(state_schema).fieldNames()
-    key_type = stream.schema[key].dataType.simpleString()
-    output = f"{key} {key_type}, {state_schema}"
-    stored = f"_last bigint, {state_schema}"
-
-    def update(group: tuple, batches: Iterator[pd.DataFrame], handle) -> Iterator[pd.DataFrame]:
-        if handle.exists:
-            last, *values = handle.get
-            state = dict(zip(fields, values))
-        else:
-            last, state = 0, dict(init)
-        events = [row for pdf in batches for row in pdf.to_dict("records")]
-        for event in sorted(events, key=lambda e: e[seq]):
-            if event[seq] > last:
-                state, last = fn(state, event), event[seq]
-        handle.update((last, *[state.get(f) for f in fields]))
-        yield pd.DataFrame([{key: group[0], **{f: state.get(f) for f in fields}}])
-
-    return stream.groupBy(key).applyInPandasWithState(
-        update, output, stored, "update", GroupStateTimeout.NoTimeout
+    schema = f"{state_schema}, _last bigint"
+
+    def step(state: dict, event: dict) -> dict:
+        return {**fn({f: state[f] for f in fields}, event), "_last": event[seq]}
+
+    def join(earlier: dict, later: dict) -> dict:
+        if later["_last"] == 0:
+            return earlier
+        return {**merge(earlier, later), "_last": later["_last"]}
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        new = batch.dropDuplicates([key, seq])
+        if batch_id > 0:
+            done = batch.sparkSession.read.parquet(path).filter(F.col("batch_id") < batch_id)
+            heads = done.groupBy(key).agg(F.max("_last").alias("_head"))
+            new = (
+                join_unique(new, heads, key)
+                .filter(F.col(seq) > F.coalesce("_head", F.lit(0))).drop("_head")
+            )
+        folded = fold_events(new, {**init, "_last": 0}, step, schema, join, key, seq)
+        folded.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def read_fold(
+    spark: SparkSession, path: str, init: dict, state_schema: str,
+    merge: Callable[[dict, dict], dict], key: str = "persistence_id",
+) -> DataFrame:
+    """Current states of :func:`fold_stream`: the partial states merged in batch order."""
+    fields = S.struct_type(state_schema).fieldNames()
+    partials = spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("bigint"))
+    return fold_events(
+        partials, init, lambda state, part: merge(state, {f: part[f] for f in fields}),
+        state_schema, key=key, seq="batch_id",
     )

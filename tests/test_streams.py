@@ -56,17 +56,19 @@ def test_published_once(spark, path, sf_dir):
 
 
 def test_callers_fold_on_a_stream(spark, sf_dir):
-    """Day folders arrive in order and are replayed; replays are skipped."""
-    init, step, _, schema = python_fold()
+    """Two appends in order, then the first one replayed; replays are skipped."""
+    init, step, merge, schema = python_fold()
     events = B.journal(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    where = scratch_path(spark, "t-fold")
+    where, out, checkpoint = (scratch_path(spark, f"t-fold-{x}") for x in ("in", "out", "offsets"))
     cut = dt.date(2024, 1, 15)
     for part in (F.col("event_date") < cut, F.col("event_date") >= cut, F.col("event_date") < cut):
         E.append_events(events.filter(part), where)
-    # one micro-batch holds everything here, so order across files does not matter
-    stream = SS.fold_stream(PR.journal_stream(spark, where), init, step, schema)
-    got = spark.read.parquet(collect_stream(stream, "update")).drop("batch_id").collect()
+        SS.fold_stream(
+            PR.journal_stream(spark, where), init, step, schema, merge, out, checkpoint
+        ).awaitTermination()
+    got = SS.read_fold(spark, out, init, schema, merge).collect()
     want = J.fold_events(B.journal(spark, sf_dir), init, step, schema).collect()
+    assert spark.read.parquet(out).select("batch_id").distinct().count() >= 2
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
