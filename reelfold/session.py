@@ -17,6 +17,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # the JVM never compiles methods above 8000 bytes, so let wide projections be generated in parts
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
 }
 
