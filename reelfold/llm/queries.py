@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reelfold.llm import packing, repair
+from reelfold.llm import ann, packing, pages, repair, secrets, sharding
 from reelfold.llm.tokens import vocabulary_path
+from reelfold.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+SHARDS = 40
+NEIGHBOURS = 20
+
 
 def query(fn):
     QUERIES[fn.__name__] = fn
@@ -22,6 +26,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_blob_ledger(spark, d):
+    found = secrets.scan_versions(table(spark, d, "documents"), scratch_path(spark, "blob-ledger"))
+    return secrets.digest(found)
+
+
+@query
+def op3_byte_shards(spark, d):
+    return sharding.shard_by_bytes(table(spark, d, "documents"), SHARDS).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op4_block_join(spark, d):
+    vectors = table(spark, d, "embeddings")
+    return ann.nearest(vectors, F.col("vec_id") % 20 == 0, NEIGHBOURS)
+
+
+ORACLES["op4_block_join"] = f"""
+    WITH usable AS (
+        SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+        WHERE embedding IS NOT NULL
+            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, x -> x <> 0)) > 0
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v) AS score
+        FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+    )
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+        FROM scored
+    ) WHERE rank <= {NEIGHBOURS}
+"""
+
+
+@query
+def op5_tag_paths(spark, d):
+    return pages.extract(table(spark, d, "pages"))
+
+
 @query
 def op8_concat_cut(spark, d):
     return packing.pack(
