@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reelfold.llm import ann, packing, pages, repair, secrets, sharding
+from reelfold.llm import (
+    ann, decontaminate, packing, pages, repair, secrets, sharding, simhash,
+)
 from reelfold.llm.tokens import vocabulary_path
 from reelfold.session import scratch_path
 
@@ -81,3 +83,19 @@ def op9_repair_files(spark, d):
         table(spark, d, "documents"), vocabulary_path("byte_bpe_50k.json"), end_id=0
     )
     return repair.read_documents(files, with_ids=False)
+
+
+@query
+def op2_gray_index(spark, d):
+    found = simhash.near_duplicates(table(spark, d, "documents"), shingle=3, radius=2)
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+@query
+def op10_fm_index(spark, d):
+    found = decontaminate.contamination(
+        table(spark, d, "documents"), table(spark, d, "benchmark")
+    )
+    return decontaminate.digest(found)
