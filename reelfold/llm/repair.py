@@ -35,7 +35,7 @@ from reelfold.llm.tokens import encoder, text_runs
 
 SEGMENT_IDS = 1_000_000
 ROUND_RULES = 2048
-ROUNDS = 6
+ROUNDS = 5
 MIN_COUNT = 4  # a rule costs three numbers, so a rarer pair is not worth one
 STEP = 256
 _HEAD = struct.Struct("<4s6IQ")
@@ -45,29 +45,36 @@ _HASH_BITS = 20
 # --- one grammar --------------------------------------------------------------------------------
 
 
-def _frequent(left: np.ndarray, right: np.ndarray, most: int, least: int) -> np.ndarray:
-    """Up to ``most`` pairs (left << 32 | right) that occur ``least`` times or more, most frequent first."""
-    slot = ((left * 0x9E3779B1) ^ (right * 0x85EBCA77)) >> 7 & ((1 << _HASH_BITS) - 1)
-    counts = np.bincount(slot, minlength=1 << _HASH_BITS)
-    # the most frequent pairs lie in slots at least as full as themselves
-    floor = max(least, int(np.partition(counts, -4 * most)[-4 * most]))
-    near = counts[slot] >= floor
-    pairs, found = np.unique(left[near] << 32 | right[near], return_counts=True)
-    order = np.argsort(-found, kind="stable")[:most]
-    return pairs[order[found[order] >= least]]
+def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    mixed = (left * 0x9E3779B1) ^ (right * 0x85EBCA77)
+    return ((mixed >> 7) & ((1 << _HASH_BITS) - 1)).astype(np.int32)
 
 
-def _occurrences(symbols: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(symbols: np.ndarray, slot: np.ndarray, most: int, least: int) -> np.ndarray:
+    """Up to ``most`` pairs (left << 32 | right) that occur ``least`` times or more, no two of one slot."""
+    counts = np.bincount(slot, minlength=1 << _HASH_BITS)
+    # a pair's slot is at least as full as the pair is frequent
+    floor = max(least, int(np.partition(counts, -2 * most)[-2 * most]))
+    at = np.flatnonzero((counts >= floor)[slot])
+    pairs, found = np.unique(symbols[at] << 32 | symbols[at + 1], return_counts=True)
+    order = np.argsort(-found, kind="stable")
+    pairs = pairs[order[found[order] >= least]]
+    own = _slots(pairs >> 32, pairs & 0xFFFFFFFF)
+    first = np.unique(own, return_index=True)[1]  # the most frequent of each slot
+    return pairs[np.sort(first)[:most]]
+
+
+def _occurrences(
+    symbols: np.ndarray, slot: np.ndarray, pairs: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
     """Positions of pairs without overlaps, left ones first, and the index in ``pairs`` of each."""
-    order = np.argsort(pairs)
-    ranked = pairs[order]
-    keys = symbols[:-1] << 32 | symbols[1:]
-    candidate = np.zeros(int(symbols.max()) + 1, bool)
-    candidate[pairs >> 32] = True
-    at = np.flatnonzero(candidate[symbols[:-1]])
-    place = np.minimum(np.searchsorted(ranked, keys[at]), len(ranked) - 1)
-    hit = ranked[place] == keys[at]
-    at, which = at[hit], order[place[hit]]
+    table = np.full(1 << _HASH_BITS, -1, np.int32)
+    table[_slots(pairs >> 32, pairs & 0xFFFFFFFF)] = np.arange(len(pairs))
+    which = table[slot]
+    at = np.flatnonzero(which >= 0)
+    which = which[at]
+    hit = (symbols[at] << 32 | symbols[at + 1]) == pairs[which]
+    at, which = at[hit], which[hit]
     if not len(at):
         return at, which
     # in a run of neighbouring positions every second one is taken
@@ -86,10 +93,11 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, round_rules: int = ROUND_RUL
     for _ in range(rounds):
         if len(symbols) < 2:
             break
-        pairs = _frequent(symbols[:-1], symbols[1:], round_rules, MIN_COUNT)
+        slot = _slots(symbols[:-1], symbols[1:])
+        pairs = _frequent(symbols, slot, round_rules, MIN_COUNT)
         if not len(pairs):
             break
-        at, which = _occurrences(symbols, pairs)
+        at, which = _occurrences(symbols, slot, pairs)
         used = np.bincount(which, minlength=len(pairs))
         kept = used >= MIN_COUNT - 1
         if not kept.any():

@@ -1,6 +1,6 @@
 """Tokenising whole texts with a bounded memory of the pieces already seen.
 
-A text is cut before every space that follows a character which is no white space. No token of either
+A text is cut before every space or line feed that follows a character which is no white space. No token of either
 public vocabulary starts in text and ends in white space, so the ids of a text are the ids of its
 pieces one after another. Words repeat, so most pieces come from the memory of the worker and only new
 ones reach the tokenizers library. A text in which such a cut is not safe goes to it whole.
@@ -9,16 +9,18 @@ ones reach the tokenizers library. A text in which such a cut is not safe goes t
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 
-MEMORY_PIECES = 250_000  # pieces remembered by one Python worker
-RUN_CHARS = 2_000_000  # texts of about so many characters are tokenised together
-# After a letter these always begin a new token in both vocabularies.
-_STOPS = ".,!?;:"
+MEMORY_PIECES = 400_000  # pieces remembered by one Python worker
+RUN_CHARS = 4_000_000  # texts of about so many characters are tokenised together
 # White space to str.isspace but not to the tokenizers, or the other way about.
-_UNSURE = frozenset("\x1c\x1d\x1e\x1f\x85᠎​﻿")
+_UNSURE = frozenset("\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff")
+# Latin-1 letters, then ASCII marks: after a letter these begin a new token in both vocabularies, but for
+# the apostrophe.
+_WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)((?:[!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?)")
 
 
 def vocabulary_path(name: str) -> str:
@@ -46,82 +48,112 @@ class Encoder:
 
     def __init__(self, path: str, memory: int = MEMORY_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self._tokenizer = Tokenizer.from_file(path)
-        self._model = self._tokenizer.model
+        self._whole = Tokenizer.from_file(path)
         self._limit = memory
         self._letters = _byte_letters()
         self._drops_space = not self._ids(" ")
         self._lowers = self._ids("A") == self._ids("a")
-        self._known: dict[str, bytes | None] = {}  # without the space before; None: unsafe
+        # the same model, for words that are spelt in its letters already
+        self._words = Tokenizer(self._whole.model)
+        self._words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self._whole.get_vocab()
+        self._edge = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end, or else begin, a word
+        edge = str.endswith if self._drops_space else str.startswith
+        mark = "</w>" if self._drops_space else self._letters[ord(" ")]
+        self._edge[[i for token, i in vocabulary.items() if edge(token, mark)]] = True
+        self._known: dict[str, bytes] = {}  # by piece, without the space that it follows
         self._stops: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a word of Latin-1 letters after a space: one pre-token, so the model alone."""
-        word = word.lower() if self._lowers else word
-        plain = (word if self._drops_space else " " + word).encode().decode("latin-1")
-        return np.array(
-            [t.id for t in self._model.tokenize(plain.translate(self._letters))], "<u4"
-        ).tobytes()
-
-    def _learn(self, piece: str, known: dict[str, bytes | None]) -> bytes | None:
-        if not piece or piece[-1].isspace() or piece[0].isspace() or not _UNSURE.isdisjoint(piece):
-            return None
-        core = piece.rstrip(_STOPS)
-        if core.isalpha() and max(core) <= "\xff":
-            found = known.get(core) or self._word(core)
-            if len(core) == len(piece):
-                return found
-            known.setdefault(core, found)
-            stops = piece[len(core):]
-            if stops not in self._stops:
-                self._stops[stops] = self._ids("a" + stops)[len(self._ids("a")):]
-                if len(self._stops) > 1000:
-                    self._stops = {stops: self._stops[stops]}
-            return found + self._stops[stops]
-        return self._ids(" " + piece)
+        return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin-1 letters after a space: one pre-token each, so the model alone."""
+        if not words:
+            return []
+        text = "\n".join(words)
+        text = text.lower() if self._lowers else text
+        if not self._drops_space:
+            text = " " + text.replace("\n", "\n ")
+        spelt = "\n".join(
+            line.translate(self._letters) for line in text.encode().decode("latin-1").split("\n")
+        )
+        ids = np.array(self._words.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, "<u4")
+        edges = np.flatnonzero(self._edge[ids])
+        if len(edges) != len(words):
+            return [self._ids(" " + w) for w in words]
+        cuts = (4 * (edges + 1 if self._drops_space else edges)).tolist()
+        cuts = [0, *cuts] if self._drops_space else [*cuts, 4 * len(ids)]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _stop_ids(self, stops: str) -> bytes:
+        if stops not in self._stops:
+            if len(self._stops) > 1000:
+                self._stops.clear()
+            self._stops[stops] = self._ids("a" + stops)[len(self._ids("a")) :]
+        return self._stops[stops]
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes | None]:
+        """Ids of pieces after a space; None where the text must not be cut there."""
+        known, learned = self._known, {}
+        words: dict[str, bytes | None] = {}
+        parts = []
+        for piece in pieces:
+            m = _WORD.fullmatch(piece)
+            if m:
+                word, stops = m.groups()
+                parts.append((piece, word, stops))
+                words[word] = known.get(word)
+            elif not _UNSURE.isdisjoint(piece):
+                learned[piece] = None
+            elif self._drops_space:
+                learned[piece] = self._ids(" " + piece)
+            elif piece[-1:].isspace() or not piece or piece[1 if piece[0] == "\n" else 0].isspace():
+                learned[piece] = None
+            else:
+                learned[piece] = self._ids(piece if piece[0] == "\n" else " " + piece)
+        new = [w for w, ids in words.items() if ids is None]
+        words.update(zip(new, self._word_ids(new)))
+        for piece, word, stops in parts:
+            learned[piece] = words[word] + self._stop_ids(stops) if stops else words[word]
+        return learned
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, in the order given."""
         known = self._known
-        out: list[bytes] = []
-        seen = new = 0
+        heads, cut, found = [], [], []
+        missing: set[str] = set()
+        seen = 0
         for text in texts:
-            pieces = text.split(" ")
-            first = pieces[0]
-            pieces[0] = "a"
-            found = list(map(known.get, pieces))
-            if None in found:
-                seen += len(pieces)
-                for i, ids in enumerate(found):
-                    if ids is None:
-                        piece = pieces[i]
-                        ids = known.get(piece)
-                        if ids is None:
-                            ids = self._learn(piece, known)
-                            known[piece] = ids
-                            new += 1
-                        found[i] = ids
-                if None in found:  # some piece can't be cut off
-                    out.append(self._ids(text))
-                    continue
-            if not _UNSURE.isdisjoint(first) or not first or first[-1].isspace():
+            pieces = text.replace("\n", " " if self._drops_space else " \n").split(" ")
+            heads.append(pieces[0])
+            pieces[0] = ""
+            ids = list(map(known.get, pieces))
+            ids[0] = b""
+            seen += len(pieces)
+            if None in ids:
+                missing.update([p for p, i in zip(pieces, ids) if i is None])
+            cut.append(pieces)
+            found.append(ids)
+        learned = self._learn(missing)
+        out: list[bytes] = []
+        for text, head, pieces, ids in zip(texts, heads, cut, found):
+            if None in ids:
+                ids = [learned[p] if i is None else i for p, i in zip(pieces, ids)]
+            if None in ids or not _UNSURE.isdisjoint(head) or not head or head[-1].isspace():
                 out.append(self._ids(text))
-                continue
-            found[0] = self._ids(first)
-            out.append(b"".join(found))
-            if len(known) > self._limit:
-                self._known = known = self._kept(known, new > seen // 2)
+            else:
+                ids[0] = self._ids(head)
+                out.append(b"".join(ids))
+        if len(missing) > 0.4 * seen:
+            known.clear()  # other texts than before, or the first ones
+        if len(known) < self._limit:
+            known.update((p, i) for p, i in learned.items() if i is not None)
         return out
 
-    def _kept(self, known: dict[str, bytes | None], stale: bool) -> dict[str, bytes | None]:
-        """Room for new pieces: the older half stays, being the more frequent, unless it no longer helps."""
-        return {} if stale else dict(list(known.items())[: self._limit // 2])
-
 
 _ENCODERS: dict[str, Encoder] = {}
 
