@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reelfold.llm import (
-    ann, decontaminate, packing, pages, repair, secrets, sharding, simhash,
+    ann, decontaminate, language, packing, pages, repair, secrets, sharding, simhash, toxicity,
 )
 from reelfold.llm.tokens import vocabulary_path
 from reelfold.session import scratch_path
@@ -70,6 +70,18 @@ def op5_tag_paths(spark, d):
     return pages.extract(table(spark, d, "pages"))
 
 
+@query
+def op6_family_duels(spark, d):
+    docs = table(spark, d, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
+@query
+def op7_dictionary_distance(spark, d):
+    docs = table(spark, d, "documents")
+    return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, d, "labels")))
+
+
 @query
 def op8_concat_cut(spark, d):
     return packing.pack(
