@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from reelfold.llm.tables import stored, totals_before
 from reelfold.llm.tokens import encoder, text_runs
 
-SEGMENT_IDS = 1_000_000
+SEGMENT_IDS = 500_000
 ROUND_RULES = 2048
-ROUNDS = 5
+ROUNDS = 4
 MIN_COUNT = 4  # a rule costs three numbers, so a rarer pair is not worth one
 STEP = 256
 _HEAD = struct.Struct("<4s6IQ")
-_HASH_BITS = 20
+_HASH_BITS = 18
 
 
 # --- one grammar --------------------------------------------------------------------------------

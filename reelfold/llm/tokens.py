@@ -14,8 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-MEMORY_PIECES = 400_000  # pieces remembered by one Python worker
-RUN_CHARS = 4_000_000  # texts of about so many characters are tokenised together
+MEMORY_PIECES = 300_000  # pieces remembered by one Python worker
+RUN_CHARS = 2_000_000  # texts of about so many characters are tokenised together
 # White space to str.isspace but not to the tokenizers, or the other way about.
 _UNSURE = frozenset("\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff")
 # Latin-1 letters, then ASCII marks: after a letter these begin a new token in both vocabularies, but for
