@@ -1,0 +1,161 @@
+"""One document of each group of near copies.
+
+Copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. At that
+similarity whole-text fingerprints still differ in about ten of 64 bits, more than an index of bit
+differences can reach, so candidates come from two kinds of fingerprint:
+
+* the SimHash of the whole text, linked by the Gray-order index within a few bits, and
+* SimHashes of sections. A section holds the shingles whose hash falls into one of ``m`` classes, ``m`` a
+  power of two that gives each class two to four shingles. An edit touches few shingles, so most sections
+  of a copy stay the same. Up to ``SECTIONS`` of them are taken; texts near a change of ``m`` use both.
+
+Every document meets the smallest one of each of its sections and of its whole-text group (links grow with
+the documents, not with their pairs), exact copies are one document, and every link is verified on the
+whole texts before it counts.
+
+Rows: null and empty texts are copies of each other; repeated rows are copies; of each group the row with
+the smallest id stays, once; rows without id stay; columns come back as they were.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from reelfold.llm.graph import components
+from reelfold.llm.simhash import links, majority, shingle_digests
+from reelfold.llm.tables import stored
+
+SHINGLE = 5
+SIMILARITY = 0.8
+RADIUS = 3
+SECTIONS = 24
+
+
+def section_keys(digests: np.ndarray) -> list[int]:
+    """A signed 64-bit key for each section that holds two shingles or more."""
+    hashes = np.unique(np.ascontiguousarray(digests).view(">u8").ravel().astype(np.uint64))
+    n = len(hashes)
+    if n < 4:
+        return []
+    top = int(np.log2(n / 2))
+    classes = [top] + ([top - 1] if n < 1.25 * 2 * 2**top and top else [])
+    mixed = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    mixed ^= mixed >> np.uint64(29)
+    keys = []
+    for k in classes:
+        section = mixed & np.uint64(2**k - 1)
+        taken = section < SECTIONS
+        order = np.argsort(section[taken], kind="stable")
+        of, members = section[taken][order], hashes[taken][order]
+        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(of)]):
+            if b - a >= 2:
+                parts = members[a:b].astype(">u8").view(np.uint8).reshape(-1, 8)
+                # the number of shingles tells apart sections that a majority of bits would not
+                value = majority(parts) ^ (int(of[a]) * 0x9E3779B97F4A7C15 + k * 1009 + (b - a) * 9176) % 2**64
+                keys.append(value - 2**64 if value >= 2**63 else value)
+    return keys
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, same, fp, sections): ``same`` is a hash of the text, equal for exact copies."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sections = [], []
+            for text in batch.column(2).to_pylist():
+                digests = shingle_digests(text, SHINGLE)
+                fps.append(majority(digests))
+                sections.append(section_keys(digests))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), batch.column(1),
+                    pa.array(np.array(fps, np.uint64).view(np.int64)),
+                    pa.array(sections, pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "same", "fp", "sections"],
+            )
+
+    schema = T.StructType([
+        T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("same", T.StringType()),
+        T.StructField("fp", T.LongType()), T.StructField("sections", T.ArrayType(T.LongType())),
+    ])
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.sha2(text, 256).alias("same"), text.alias("text")).mapInArrow(
+        compute, schema
+    )
+
+
+def _to_smallest(rows: DataFrame, key: str) -> DataFrame:
+    """(u, v) of (key, node) rows: every node with the smallest one of its key."""
+    least = stored(
+        rows.groupBy(key).agg(F.min("node").alias("v"), F.max("node").alias("_last"))
+        .filter(F.col("v") != F.col("_last")).select(key, "v"),
+        "smallest",
+    )
+    # a key of many nodes is split by Spark: both sides of this join come from a shuffle
+    return rows.join(least, key).filter(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v")
+
+
+def similarity(a: str, b: str) -> float:
+    """Jaccard similarity of the two sets of shingles; two texts without words are alike."""
+    x, y = (np.unique(shingle_digests(t, SHINGLE).view(">u8").ravel()) for t in (a, b))
+    if not len(x) and not len(y):
+        return 1.0
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (u, v) whose ``texts`` (node, text) are similar enough."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [
+                i for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
+                if similarity(a, b) >= least
+            ]
+            yield batch.select([0, 1]).take(pa.array(good, pa.int64()))
+
+    text = F.coalesce("text", F.lit(""))
+    u = texts.select(F.col("node").alias("u"), text.alias("_u"))
+    v = texts.select(F.col("node").alias("v"), text.alias("_v"))
+    return pairs.join(u, "u").join(v, "v").select("u", "v", "_u", "_v").mapInArrow(check, pairs.schema)
+
+
+def copy_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of every document with an id: the smallest id that links lead to."""
+    known = docs.filter(F.col("doc_id").isNotNull())
+    rows = stored(sketches(known), "sketches")
+    nodes = stored(
+        rows.groupBy("same").agg(F.min("doc_id").alias("node")), "exact-copies"
+    )
+    first = rows.join(nodes, (rows["doc_id"] == nodes["node"]) & (rows["same"] == nodes["same"])).select(
+        "node", "fp", "sections"
+    ).dropDuplicates(["node"])
+    first = stored(first, "different-texts")
+    fps = first.groupBy("fp").agg(F.min("node").alias("node"))
+    parts = first.select("node", F.explode("sections").alias("key")).distinct()
+    pairs = (
+        links(stored(fps, "distinct-fingerprints"), RADIUS)
+        .unionByName(_to_smallest(first.select("node", F.col("fp").alias("key")), "key"))
+        .unionByName(_to_smallest(parts, "key"))
+        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    )
+    found = components(verified(stored(pairs, "candidates"), known.select(F.col("doc_id").alias("node"), "text")))
+    named = nodes.join(found, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
+    return rows.select("doc_id", "same").join(stored(named, "copy-groups"), "same").select(
+        "doc_id", "component_id"
+    )
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """``docs`` with the document of smallest id of each group of copies, once."""
+    groups = copy_groups(docs)
+    first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -337,3 +337,25 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+def keep_clean(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text"
+) -> DataFrame:
+    """``docs`` without the rows in which a phrase of the benchmark occurs, in one pass without a shuffle."""
+
+    def keep(found: Phrases):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(text_col).to_pylist()
+                clean = []
+                for a, b in text_runs([t or "" for t in texts], SHARD_CHARS):
+                    spans = search_texts(texts[a:b], found)[1]
+                    clean += [a + i for i, s in enumerate(spans) if not s]
+                yield batch.take(pa.array(clean, pa.int64()))
+
+        return run
+
+    for block in _blocks(benchmark, "item_id", "text", window):
+        docs = docs.mapInArrow(keep(block), docs.schema)
+    return docs

@@ -42,14 +42,14 @@ _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).asty
 # --- fingerprints -------------------------------------------------------------------------------
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """64 bits, unsigned."""
+def shingle_digests(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle, repeats included, as rows of eight bytes."""
     from xxhash import xxh64_digest
 
     words = (text or "").encode().lower().split()  # of bytes: ASCII letters and white space only
     n = len(words)
     if not n:
-        return 0
+        return np.zeros((0, 8), np.uint8)
     joined = b" ".join(words)
     if n <= shingle:
         digests = [xxh64_digest(joined, SEED)]
@@ -58,11 +58,21 @@ def fingerprint(text: str | None, shingle: int) -> int:
         ends = np.cumsum(sizes + 1) - 1
         starts = (ends - sizes)[: n - shingle + 1].tolist()
         digests = [xxh64_digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
-    columns = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8)
-    bits = np.concatenate([np.bincount(columns[:, i], minlength=256) @ _BYTE_BITS for i in range(8)])
+    return np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8)
+
+
+def majority(digests: np.ndarray) -> int:
+    """64 bits, unsigned: those set in more than half of the digests."""
+    bits = np.concatenate(
+        [np.bincount(digests[:, i], minlength=256) @ _BYTE_BITS for i in range(8)]
+    )
     return int.from_bytes(np.packbits(2 * bits > len(digests)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, shingle: int) -> int:
+    return majority(shingle_digests(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
 
@@ -263,11 +273,3 @@ def near_duplicates(
     )
     # a fingerprint of many copies is split by Spark: both sides of this join come from a shuffle
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_first(docs: DataFrame, shingle: int = 5, radius: int = 2) -> DataFrame:
-    """``docs`` with the document of smallest ``doc_id`` of each component, once; rows without id stay."""
-    found = near_duplicates(docs, shingle, radius)
-    first = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
