@@ -59,7 +59,11 @@ def resolve_path(files: DataFrame, converted: DataFrame, uploaded: DataFrame) ->
         F.col("_uploaded").isNotNull(), F.lit("uploaded")
     )
     return (
-        join_unique(files, by_name, "file_name")
+        join_unique(
+            files, by_name, "file_name",
+            # files without a name match nothing and must not meet in one partition
+            spread_by=["file_id"] if "file_id" in files.columns else None,
+        )
         .withColumn("path", F.coalesce("_converted", "_uploaded"))
         .withColumn("origin", origin)
         .drop("_converted", "_uploaded")
@@ -79,14 +83,27 @@ def playable(resolved: DataFrame) -> DataFrame:
     return resolved.withColumn("playable", ok).withColumn("reason", reason)
 
 
-def attempts_with_outcome(attempts: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Status of each conversion attempt; without an outcome (``file_id, ok``) it still runs."""
+def attempts_with_outcome(
+    attempts: DataFrame, outcomes: DataFrame, order: str | None = None
+) -> DataFrame:
+    """Status of each conversion attempt; without an outcome (``file_id, ok``) it still runs.
+
+    A file that was tried again has several outcomes: the newest by the column ``order`` holds, or
+    without one any that succeeded. Each attempt stays one row.
+    """
+    newest = F.max_by("ok", order) if order else F.bool_or("ok")
+    outcomes = (
+        outcomes.filter(F.col("file_id").isNotNull() & F.col("ok").isNotNull())
+        .groupBy("file_id").agg(newest.alias("ok"))
+    )
+    spread = [c for c in attempts.columns if c != "file_id"]
     status = (
         F.when(F.col("ok").isNull(), F.lit(S.STATUS_INPROGRESS))
         .when(F.col("ok"), F.lit(S.STATUS_COMPLETE))
         .otherwise(F.lit(S.STATUS_FAILED))
     )
-    return join_unique(attempts, outcomes, "file_id").withColumn("status", status).drop("ok")
+    joined = join_unique(attempts, outcomes, "file_id", spread_by=spread or None)
+    return joined.withColumn("status", status).drop("ok")
 
 
 def file_record(
@@ -180,11 +197,17 @@ def plan_video(video: Column | str) -> Column:
     return F.when(v.isNotNull(), settings)
 
 
-def plan_conversion(requests: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+def plan_conversion(
+    requests: DataFrame, state: DataFrame, converted: DataFrame | None = None,
+    uploaded: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Plans for requests whose source exists, and replies for the others.
 
     ``requests`` are validated preferences with ``request_key`` and ``ts``. The new entity's id
-    and the new name come from the request key: planning again makes no second entity.
+    and the new name come from the request key: planning again makes no second entity. With the
+    listings of converted and uploaded files (``file_name, path``) a plan names the ``source_path``
+    to open, the converted file before the uploaded one; a source that is in neither is a
+    ``plan_error``.
     """
     matched = requests_with_state(requests, state)
     found = with_file_name(matched.filter(F.col("outcome") == "found"), "source.file_name")
@@ -203,6 +226,14 @@ def plan_conversion(requests: DataFrame, state: DataFrame) -> tuple[DataFrame, D
             ).alias("plan_error"),
         )
     )
+    if converted is not None and uploaded is not None:
+        named = planned.withColumnRenamed("source_name", "file_name")
+        located = resolve_path(named, converted, uploaded)
+        missing = F.when(F.col("path").isNull(), F.lit(S.FILE_NOT_FOUND))
+        planned = (
+            located.withColumn("plan_error", F.coalesce("plan_error", missing)).drop("origin")
+            .withColumnsRenamed({"file_name": "source_name", "path": "source_path"})
+        )
     refused = matched.filter(F.col("outcome") != "found").select(
         "request_key", "id", "outcome", "reply"
     )

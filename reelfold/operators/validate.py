@@ -126,15 +126,22 @@ def _add_track(df: DataFrame, read: DataFrame, name: str, found: Column, track:
 # --- whole bodies -------------------------------------------------------------------------------
 
 
+def _distinct_id(prefix: str, df: DataFrame, key: str, raw: str) -> Column:
+    """An id of the row: of its key where there is one, so that equal bodies get ids of their own."""
+    return uuid_shaped(F.concat(F.lit(prefix), F.coalesce(F.col(key).cast("string"), F.col(raw))
+                                if key in df.columns else F.col(raw)))
+
+
 def read_preferences(
-    df: DataFrame, body: str = "body", raw: str = "raw", wrap: bool = False
+    df: DataFrame, body: str = "body", raw: str = "raw", wrap: bool = False,
+    key: str = "request_key",
 ) -> DataFrame:
     """Add ``id, extension, format, file_name, progress, audio, video, reason, fields``.
 
     Accepted rows have a null ``reason``. The body needs a UUID ``id``, strings ``extension`` and
     ``format``, and an object ``audio``, ``video`` or both; anything else is malformed. Field
     errors of both tracks are reported together, audio's first. A missing or bad ``progress_id``
-    is replaced by one derived from the raw text.
+    is replaced by one derived from the column ``key``, or from the raw text where there is none.
     """
     fields = {
         "id": V.Field("$.id", V.STRING),
@@ -152,7 +159,7 @@ def read_preferences(
         & (has_audio | F.col("_m_audio")) & (has_video | F.col("_m_video"))
         & (has_audio | has_video)
     )
-    derived = uuid_shaped(F.concat(F.lit("progress:"), F.col(raw)))
+    derived = _distinct_id("progress:", df, key, raw)
     judged = evaluate_once(
         read,
         {
@@ -181,13 +188,14 @@ def _both(has_audio: Column, audio: Track, has_video: Column, video: Track) -> C
 
 
 def read_media(
-    df: DataFrame, body: str = "body", raw: str = "raw", wrap: bool = False
+    df: DataFrame, body: str = "body", raw: str = "raw", wrap: bool = False,
+    key: str = "request_key",
 ) -> DataFrame:
     """Add ``info, duration, format, audio, video, reason, fields``.
 
     Needs objects ``info`` and ``audio``, a number ``duration`` and a string ``format``; ``video``
     may be missing. A body with video alone is malformed. A missing ``info.id`` is derived from
-    the raw text.
+    the column ``key``, or from the raw text where there is none.
     """
     fields = {
         "info": V.Field("$.info", V.OBJECT),
@@ -211,7 +219,7 @@ def read_media(
         f["info"].value.isNotNull() & f["duration_number"].value.isNotNull()
         & f["format"].error.isNull() & has_audio & (has_video | F.col("_m_video"))
     )
-    derived = uuid_shaped(F.concat(F.lit("media:"), F.col(raw)))
+    derived = _distinct_id("media:", df, key, raw)
     info = F.struct(
         f["name"].value.alias("file_name"),
         content_type_default(content_type).alias("content_type"),

@@ -735,7 +735,9 @@ ORACLES["t6_chunk_stream"] = f"""WITH {CHUNKS}
 SELECT file_id, count(*) AS n_chunks, CAST(sum(octet_length(encode(text))) AS BIGINT) AS length,
   count(DISTINCT chunk_no) = max(chunk_no) + 1 AS complete FROM ch GROUP BY file_id"""
 ORACLES["t7_commit_delay"] = f"""WITH {JOURNAL}
-SELECT event_date, count(*) AS events FROM j GROUP BY event_date"""
+SELECT event_date, count(*) AS events FROM j
+WHERE ts <= (SELECT max(ts) FROM j) - INTERVAL 2 SECOND GROUP BY event_date"""
 ORACLES["x1_fold_events"] = f"""WITH {JOURNAL}, {STATE}
 SELECT persistence_id, file_name, nullif(status, 'none') AS status, n_events
 FROM st JOIN (SELECT persistence_id, count(*) AS n_events FROM j GROUP BY 1) USING (persistence_id)"""
+ORACLES["x1_fold_stream"] = ORACLES["x1_fold_events"]

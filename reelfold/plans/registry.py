@@ -978,8 +978,8 @@ def collect_stream(df: DataFrame, mode: str) -> str:
 
 @query
 def t3_dedupe_replays(spark, d):
-    stream = PR.journal_stream(spark, stream_journal(spark, d, replay=True))
-    once = PR.dedupe_replays(stream, "60 days")
+    stream = PR.journal_stream(spark, stream_journal(spark, d, replay=True), 5)
+    once = PR.dedupe_replays(stream, None)
     out = collect_stream(once.select("persistence_id", "seq_nr", "event_type"), "append")
     return spark.read.parquet(out).drop("batch_id")
 
@@ -988,10 +988,12 @@ def t3_dedupe_replays(spark, d):
 def t4_progress_stream(spark, d):
     path = scratch_path(spark, "progress")
     rows = B.progress(spark, d)
-    rows.write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).parquet(path)
-    out = collect_stream(SP.progress_stream(stream), "complete")
-    return spark.read.parquet(out).drop("batch_id")
+    rows.repartition(4).write.parquet(path)
+    # several files, one a micro-batch: a conversion goes on over many of them
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(path)
+    out = scratch_path(spark, "progress-state")
+    SP.maintain_progress(stream, out, scratch_path(spark, "offsets")).awaitTermination()
+    return SP.read_progress(spark, out)
 
 
 @query
@@ -1029,11 +1031,24 @@ def t6_chunk_stream(spark, d):
 
 @query
 def t7_commit_delay(spark, d):
-    stream = PR.commit_delay(PR.journal_stream(spark, stream_journal(spark, d)))
+    stream = PR.commit_delay(PR.journal_stream(spark, stream_journal(spark, d)))  # one batch: files have no order
     out = collect_stream(stream.select("persistence_id", "seq_nr", "event_date"), "append")
     return spark.read.parquet(out).groupBy("event_date").agg(F.count(F.lit(1)).alias("events"))
 
 
+@query
+def x1_fold_stream(spark, d):
+    """Every entity's events over several micro-batches in no order, and all of them twice."""
+    init, step, _, schema = python_fold()
+    path, out = scratch_path(spark, "shuffled-journal"), scratch_path(spark, "fold-state")
+    events = B.journal(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    E.append_events(events.unionByName(events).repartition(4, F.xxhash64("seq_nr")), path)
+    SS.fold_stream(
+        PR.journal_stream(spark, path, 8), init, step, schema, out, scratch_path(spark, "offsets")
+    ).awaitTermination()
+    return SS.read_fold(spark, out, schema)
+
+
 # --- caller's fold ------------------------------------------------------------------------------
 
 

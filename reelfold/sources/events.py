@@ -46,14 +46,24 @@ def append_events(numbered: DataFrame, path: str) -> None:
 
 def scan_events(
     journal: DataFrame, tag: str | None = None, from_seq: int = 0,
-    from_date: dt.date | None = None,
+    from_date: dt.date | None = None, offsets: DataFrame | None = None,
 ) -> DataFrame:
-    """Events after an offset, of one tag if given; ``from_date`` prunes whole day folders."""
+    """Events after an offset, of one tag if given; ``from_date`` prunes whole day folders.
+
+    ``from_seq`` holds for every entity. To resume a projection hand in ``offsets``, a row
+    ``persistence_id, offset`` for each entity seen so far (``projection_progress`` of what was
+    published): an entity without one is read from its first event.
+    """
     if tag is not None:
         journal = journal.filter(F.col("tag") == tag)
     if from_date is not None:
         journal = journal.filter(F.col("event_date") >= F.lit(from_date))
-    return journal.filter(F.col("seq_nr") > from_seq)
+    journal = journal.filter(F.col("seq_nr") > from_seq)
+    if offsets is None:
+        return journal
+    seen = offsets.groupBy("persistence_id").agg(F.max("offset").alias("_offset"))
+    ahead = join_unique(journal, seen, "persistence_id")
+    return ahead.filter(F.col("seq_nr") > F.coalesce("_offset", F.lit(0))).drop("_offset")
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:

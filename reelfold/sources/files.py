@@ -31,9 +31,12 @@ def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 
 
 def limit_size(df: DataFrame, max_bytes: int = S.MAX_UPLOAD_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Accepted and rejected files. The filter reaches the scan, so rejected bytes stay unread."""
+    """Accepted and rejected files; one of unknown length is rejected.
+
+    The filter reaches the scan, so rejected bytes stay unread.
+    """
     accepted = df.filter(F.col("length") <= max_bytes)
-    rejected = df.filter(F.col("length") > max_bytes)
+    rejected = df.filter(F.col("length").isNull() | (F.col("length") > max_bytes))
     return accepted, rejected.drop("content") if "content" in df.columns else rejected
 
 

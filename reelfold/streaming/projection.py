@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from reelfold import schemas as S
 
-COMMIT_DELAY = "2 seconds"
+COMMIT_DELAY = "2 seconds"  # how long an event stays unseen, so that slower writers can catch up
 
 
 def journal_stream(
@@ -21,18 +21,34 @@ def journal_stream(
 
 
 def commit_delay(stream: DataFrame, delay: str = COMMIT_DELAY) -> DataFrame:
-    """Bound lateness by ``delay`` and add the day bucket.
+    """Events once they are ``delay`` old, each once, with the day bucket added.
 
-    Rows later than the delay are dropped by stateful operators downstream; a replay of old days
-    needs a delay that spans them.
+    An event is held in state until the stream has seen one that is ``delay`` newer; the newest
+    ones stay out until then. Replays within that time fall together. Events that arrive later
+    than ``delay`` behind the newest are dropped, so a replay of old days needs a delay that spans
+    them. State holds the events of one delay.
     """
-    timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    return timed.withWatermark("ts", delay).withColumn("event_date", F.to_date("ts"))
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    key = ["ts", "persistence_id", "seq_nr"]
+    rest = [c for c in timed.columns if c not in key]
+    held = timed.groupBy(*key).agg(F.first(F.struct(*rest)).alias("_event"))
+    return held.select(*key, "_event.*").select(*timed.columns).withColumn(
+        "event_date", F.to_date("ts")
+    )
+
 
+def dedupe_replays(stream: DataFrame, delay: str | None) -> DataFrame:
+    """Drop events delivered again: at-least-once in, once out.
 
-def dedupe_replays(stream: DataFrame, delay: str = COMMIT_DELAY) -> DataFrame:
-    """Drop events delivered again: at-least-once in, once out, with state bounded by ``delay``."""
-    return commit_delay(stream, delay).dropDuplicatesWithinWatermark(["persistence_id", "seq_nr"])
+    ``delay`` bounds the state and is the caller's promise that nothing arrives that late: a
+    *first* delivery further behind the newest event is dropped as well. None keeps every key
+    for ever and drops replays only.
+    """
+    key = ["persistence_id", "seq_nr"]
+    if delay is None:
+        return stream.dropDuplicates(key)
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(key)
 
 
 def project_by_tag(stream: DataFrame) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reelfold import schemas as S
-from reelfold.operators.journal import current_state, fold_columns, fold_events, restore
-from reelfold.operators.skew import join_unique
+from reelfold.operators.journal import current_state, fold_columns, restore
 
 
 def state_stream(stream: DataFrame) -> DataFrame:
@@ -67,56 +68,56 @@ def compact_state(spark: SparkSession, path: str, out: str) -> None:
 
 
 def fold_stream(
-    stream: DataFrame, init: dict, fn: Callable[[dict, dict], dict], state_schema: str,
-    merge: Callable[[dict, dict], dict], path: str, checkpoint: str,
-    key: str = "persistence_id", seq: str = "seq_nr", trigger: dict | None = None,
+    stream: DataFrame, init: dict, fn: Callable[[dict, dict], dict], state_schema: str, path: str,
+    checkpoint: str, key: str = "persistence_id", seq: str = "seq_nr", trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Streaming form of the caller's ordered fold, as partial states per micro-batch.
+    """Streaming form of the caller's ordered fold, on Spark's keyed state.
 
-    Each micro-batch folds the events that are newer than the entity's last folded one, so replays
-    are skipped, and writes one partial state per entity; :func:`read_fold` merges them in order.
-    ``merge`` is the associative merge of ``fold_events``, which also lets a hot entity's batch be
-    cut into slices. Events must reach the stream in sequence order across batches.
+    An entity's state holds the fold so far, the number of its last event and the events that came
+    before their predecessors; these wait until the gap is closed. So events may arrive in any
+    order over any micro-batches, and replays change nothing. Numbers are gap-free from 1 per
+    entity. ``fn`` gets an event as its JSON form (timestamps are texts). :func:`read_fold` gives
+    the newest state of every entity.
     """
     fields = S.struct_type(state_schema).fieldNames()
-    schema = f"{state_schema}, _last bigint"
-
-    def step(state: dict, event: dict) -> dict:
-        return {**fn({f: state[f] for f in fields}, event), "_last": event[seq]}
+    out = S.struct_type(f"{state_schema}, {key} string, _last bigint")
+    rows = stream.select(
+        F.col(key).cast("string").alias(key), F.col(seq).cast("bigint").alias("_seq"),
+        F.to_json(F.struct("*")).alias("_event"),
+    )
 
-    def join(earlier: dict, later: dict) -> dict:
-        if later["_last"] == 0:
-            return earlier
-        return {**merge(earlier, later), "_last": later["_last"]}
+    def update(keys, frames, held):
+        last, state, waiting = 0, dict(init), {}
+        if held.exists:
+            last, state, waiting = held.get
+            state, waiting = json.loads(state), {int(n): e for n, e in json.loads(waiting).items()}
+        for frame in frames:
+            for number, event in zip(frame["_seq"], frame["_event"]):
+                if number > last:
+                    waiting[int(number)] = event
+            while last + 1 in waiting:
+                state = fn(state, json.loads(waiting.pop(last + 1)))
+                last += 1
+        held.update((last, json.dumps(state), json.dumps(waiting)))
+        if last:
+            yield pd.DataFrame([{**{f: state[f] for f in fields}, key: keys[0], "_last": last}])[out.names]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        new = batch.dropDuplicates([key, seq])
-        if batch_id > 0:
-            done = batch.sparkSession.read.parquet(path).filter(F.col("batch_id") < batch_id)
-            heads = done.groupBy(key).agg(F.max("_last").alias("_head"))
-            new = (
-                join_unique(new, heads, key)
-                .filter(F.col(seq) > F.coalesce("_head", F.lit(0))).drop("_head")
-            )
-        folded = fold_events(new, {**init, "_last": 0}, step, schema, join, key, seq)
-        folded.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
+    folded = rows.filter(F.col(key).isNotNull()).groupBy(key).applyInPandasWithState(
+        update, out, "last bigint, state string, waiting string", "update", "NoTimeout"
+    )
     return (
-        stream.writeStream.foreachBatch(write)
+        folded.writeStream.outputMode("update").foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def read_fold(
-    spark: SparkSession, path: str, init: dict, state_schema: str,
-    merge: Callable[[dict, dict], dict], key: str = "persistence_id",
-) -> DataFrame:
-    """Current states of :func:`fold_stream`: the partial states merged in batch order."""
+def read_fold(spark: SparkSession, path: str, state_schema: str, key: str = "persistence_id") -> DataFrame:
+    """Newest state of every entity of :func:`fold_stream`."""
     fields = S.struct_type(state_schema).fieldNames()
-    partials = spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("bigint"))
-    return fold_events(
-        partials, init, lambda state, part: merge(state, {f: part[f] for f in fields}),
-        state_schema, key=key, seq="batch_id",
-    )
+    newest = F.max_by(F.struct(*fields), "_last").alias("_state")
+    return spark.read.parquet(path).groupBy(key).agg(newest).select(key, "_state.*")

@@ -188,3 +188,47 @@ def test_bounded_side(spark):
     assert rows == 10
     plan = df.join(skew.bounded_side(df, 10)[0], "id")._jdf.queryExecution().toString()
     assert "strategy=broadcast" in plan
+
+
+def test_one_row_per_attempt_whatever_the_outcomes(spark):
+    from reelfold.operators.convert import attempts_with_outcome
+
+    attempts = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("c", 4), (None, 5)], "file_id string, n int")
+    outcomes = spark.createDataFrame(
+        [("a", False, 1), ("a", True, 2), ("b", True, 1), ("b", False, 2), ("b", None, 3), (None, True, 1)],
+        "file_id string, ok boolean, at int",
+    )
+    def status(order):
+        rows = attempts_with_outcome(attempts, outcomes, order).collect()
+        return [r["status"] for r in sorted(rows, key=lambda r: r["n"])]
+
+    assert status(None) == ["complete", "complete", "inprogress", "inprogress", "inprogress"]
+    assert status("at") == ["complete", "failed", "inprogress", "inprogress", "inprogress"]
+
+
+def test_playback_and_source_paths(spark):
+    from reelfold.plans.flows import play
+
+    ids = spark.createDataFrame([("1",), ("2",), ("3",), ("9",), (None,)], "id string")
+    state = spark.createDataFrame(
+        [("1", ("a.mp4", "d", "video/mp4", 0, "1"), "none"), ("2", ("b.mp4", "d", "", 0, "2"), "none"),
+         ("3", ("gone.mp4", "d", "video/mp4", 0, "3"), "none")],
+        "persistence_id string, file struct<file_name:string,full_path:string,content_type:string,"
+        "status:int,file_id:string>, status string",
+    )
+    listing = "file_name string, path string"
+    converted = spark.createDataFrame([("a.mp4", "/c/a.mp4")], listing)
+    uploaded = spark.createDataFrame([("a.mp4", "/u/a.mp4"), ("b.mp4", "/u/b.mp4")], listing)
+    playable, refused = play(ids, state, converted, uploaded)
+    assert [(r["id"], r["path"]) for r in playable.collect()] == [("1", "/c/a.mp4")]
+    got = {r["id"]: r["reason"] for r in refused.collect()}
+    assert set(got) == {"2", "3", "9", None} and got["9"] == got["3"] == got[None] and all(got.values())
+
+
+def test_unknown_length_is_rejected(spark):
+    from reelfold.sources.files import limit_size
+
+    files = spark.createDataFrame([("a", 5), ("b", None), ("c", 50)], "file_id string, length bigint")
+    accepted, rejected = limit_size(files, 10)
+    assert [r[0] for r in accepted.collect()] == ["a"]
+    assert sorted(r[0] for r in rejected.collect()) == ["b", "c"]

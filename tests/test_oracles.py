@@ -5,8 +5,8 @@ import pytest
 import __spark_entry__ as entry_module
 from compare import compare, connect
 
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
+from reelfold.plans.oracles import ORACLES
+from reelfold.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +23,10 @@ def test_query_matches_oracle(spark, sf_dir, duck, name):
     assert compare(df, duck, ORACLES[name]) == []
 
 
+def test_entry_registers_every_query():
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLES) <= set(entry_module.oracle_sql())
+
+
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
 
