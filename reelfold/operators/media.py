@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reelfold import schemas as S
 from reelfold.functions.names import get_extension
 
+MAX_CODECS = 100_000  # rows that may meet in one document
+
 
 def describe(probed: DataFrame) -> DataFrame:
     """Probe result to a media description.
@@ -148,8 +150,13 @@ def codec_catalog(lists: DataFrame) -> DataFrame:
 def codec_json(catalog: DataFrame, is_video: bool = True, is_audio: bool = True) -> DataFrame:
     """One JSON document of the codec lists; a switched-off kind is ``""``.
 
-    Codec names are an encoder's fixed vocabulary (some hundreds), not data.
+    Codec names are an encoder's fixed vocabulary (some hundreds), not data: a table of more than
+    ``MAX_CODECS`` different rows is refused before anything is gathered.
     """
+    catalog = catalog.select("kind", "direction", "name").distinct()
+    if catalog.limit(MAX_CODECS + 1).count() > MAX_CODECS:
+        raise ValueError(f"more than {MAX_CODECS} codecs")
+
     def names(kind: str, direction: str) -> Column:
         mine = (F.col("kind") == kind) & (F.col("direction") == direction)
         return F.array_sort(F.collect_set(F.when(mine, F.col("name"))))

@@ -19,7 +19,6 @@ HOT_ROWS = 2_000_000
 # Above this share of all rows a key may count as hot, so fewer than 100,000 keys ever do and the
 # hot list (an id per row) stays a few megabytes whatever the size of the table.
 HOT_SHARE = 100_000
-MAX_SLICES = 20_000
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, int] | None:
@@ -86,13 +85,14 @@ def number_rows(
     if found is None:
         return df.withColumn(out, local)
     hot, hot_total = found
-    hot = F.broadcast(hot)  # fewer than HOT_SHARE ids
-    cold_rows = df.join(hot, key, "left_anti").withColumn(out, local)
+    hot = F.broadcast(hot.select(F.col(key).alias("_hot")))  # fewer than HOT_SHARE ids
+    is_hot = F.col(key).eqNullSafe(F.col("_hot"))  # rows without a key may be many as well
+    cold_rows = df.join(hot, is_hot, "left_anti").withColumn(out, local)
 
-    slices = min(MAX_SLICES, max(2, math.ceil(2 * hot_total / hot_rows)))
+    slices = max(2, math.ceil(2 * hot_total / hot_rows))
     # Range bounds come from a sample, so the slices must be fixed before they are read twice.
     sliced = reliable_checkpoint(
-        df.join(hot, key, "left_semi")
+        df.join(hot, is_hot, "left_semi")
         .repartitionByRange(slices, key, *order)
         .withColumn("_slice", F.spark_partition_id())
     )
@@ -100,15 +100,19 @@ def number_rows(
     offsets = (
         sliced.groupBy(key, "_slice")
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(key, "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+        .select(
+            F.col(key).alias("_of"), F.col("_slice").alias("_at"),
+            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
+        )
     )
+    same = F.col(key).eqNullSafe(F.col("_of")) & (F.col("_slice") == F.col("_at"))
     within = F.row_number().over(Window.partitionBy(key, "_slice").orderBy(*order))
     hot_rows_df = (
         # a key spans neighbouring slices only: at most hot keys + slices offset rows
         sliced.withColumn(out, within)
-        .join(F.broadcast(offsets), [key, "_slice"])
+        .join(F.broadcast(offsets), same)
         .withColumn(out, (F.col(out) + F.col("_before")).cast("bigint"))
-        .drop("_slice", "_before")
+        .drop("_slice", "_before", "_of", "_at")
     )
     return cold_rows.unionByName(hot_rows_df)
 

@@ -160,6 +160,27 @@ def test_numbering_with_a_hot_key(spark, hot_rows):
     assert {r.event_id: r.seq_nr for r in got} == want
 
 
+@pytest.mark.parametrize("hot_rows", [2_000_000, 100])
+def test_numbering_with_a_hot_null_key(spark, hot_rows):
+    rows = [(None if i % 3 else f"k{i % 7}", i, i) for i in range(900)]
+    df = spark.createDataFrame(rows, "persistence_id string, ts int, event_id bigint").repartition(6)
+    got = J.assign_seq(df, hot_rows=hot_rows).collect()
+    want, seen = {}, {}
+    for key, _, event in rows:
+        seen[key] = want[event] = seen.get(key, 0) + 1
+    assert {r.event_id: r.seq_nr for r in got} == want
+
+
+def test_codec_document_is_bounded(spark, monkeypatch):
+    from reelfold.operators import media
+
+    codecs = spark.createDataFrame([("video", "encoder", f"c{i}") for i in range(5)], "kind string, direction string, name string")
+    assert media.codec_json(codecs).count() == 1
+    monkeypatch.setattr(media, "MAX_CODECS", 4)
+    with pytest.raises(ValueError):
+        media.codec_json(codecs)
+
+
 def test_hot_keys_are_found(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 900, 0).otherwise(F.col("id")).alias("k"))
     hot, total = skew.hot_keys(df, "k", 100)
