@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-MEMORY_PIECES = 300_000  # pieces remembered by one Python worker
-RUN_CHARS = 2_000_000  # texts of about so many characters are tokenised together
+MEMORY_PIECES = 250_000  # pieces remembered by one Python worker
+RUN_CHARS = 3_000_000  # texts of about so many characters are tokenised together
 # White space to str.isspace but not to the tokenizers, or the other way about.
 _UNSURE = frozenset("\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff")
 # Latin-1 letters, then ASCII marks: after a letter these begin a new token in both vocabularies, but for
@@ -96,7 +97,7 @@ class Encoder:
             self._stops[stops] = self._ids("a" + stops)[len(self._ids("a")) :]
         return self._stops[stops]
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes | None]:
+    def _learn(self, pieces: Iterable[str]) -> dict[str, bytes | None]:
         """Ids of pieces after a space; None where the text must not be cut there."""
         known, learned = self._known, {}
         words: dict[str, bytes | None] = {}
@@ -124,8 +125,8 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, in the order given."""
         known = self._known
-        heads, cut, found = [], [], []
-        missing: set[str] = set()
+        heads, cut, found, gaps = [], [], [], []
+        missing: list[str] = []
         seen = 0
         for text in texts:
             pieces = text.replace("\n", " " if self._drops_space else " \n").split(" ")
@@ -134,15 +135,17 @@ class Encoder:
             ids = list(map(known.get, pieces))
             ids[0] = b""
             seen += len(pieces)
-            if None in ids:
-                missing.update([p for p, i in zip(pieces, ids) if i is None])
+            gap = [k for k, i in enumerate(ids) if i is None] if None in ids else []
+            missing += [pieces[k] for k in gap]
             cut.append(pieces)
             found.append(ids)
-        learned = self._learn(missing)
+            gaps.append(gap)
+        counts = Counter(missing)
+        learned = self._learn(counts)
         out: list[bytes] = []
-        for text, head, pieces, ids in zip(texts, heads, cut, found):
-            if None in ids:
-                ids = [learned[p] if i is None else i for p, i in zip(pieces, ids)]
+        for text, head, pieces, ids, gap in zip(texts, heads, cut, found, gaps):
+            for k in gap:
+                ids[k] = learned[pieces[k]]
             if None in ids or not _UNSURE.isdisjoint(head) or not head or head[-1].isspace():
                 out.append(self._ids(text))
             else:
@@ -150,8 +153,10 @@ class Encoder:
                 out.append(b"".join(ids))
         if len(missing) > 0.4 * seen:
             known.clear()  # other texts than before, or the first ones
+        # the second half of the memory is for pieces that come more than once
+        least = 1 if len(known) < self._limit // 2 else 2
         if len(known) < self._limit:
-            known.update((p, i) for p, i in learned.items() if i is not None)
+            known.update((p, i) for p, i in learned.items() if i is not None and counts[p] >= least)
         return out
 
 
