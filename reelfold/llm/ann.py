@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from reelfold.llm.tables import stored
+from reelfold.llm.tables import in_batches, stored
 
 QUERY_BLOCK = 2048
 CANDIDATE_BLOCK = 8192
@@ -45,28 +45,42 @@ def blocks(vectors: DataFrame, size: int, id_col: str, vector_col: str) -> DataF
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
+        held: dict[int, list] = {}  # by length: ids and components that don't fill a block yet
+
+        def block(dims: int, ids: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part], pa.int32()), pa.array([number], pa.int32()),
+                    pa.array([dims], pa.int32()), pa.array([ids.tobytes()], pa.binary()),
+                    pa.array([data.tobytes()], pa.binary()),
+                ],
+                names=["part", "number", "dims", "ids", "data"],
+            )
+
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             lists = batch.column(1)
             sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             ends = np.cumsum(sizes)
-            for dims in np.unique(sizes):
+            for dims in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == dims)
                 data = flat[(ends[rows] - dims)[:, None] + np.arange(dims)]
-                for at in range(0, len(rows), size):
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([part], pa.int32()), pa.array([number], pa.int32()),
-                            pa.array([dims], pa.int32()),
-                            pa.array([ids[rows[at : at + size]].tobytes()], pa.binary()),
-                            pa.array([data[at : at + size].tobytes()], pa.binary()),
-                        ],
-                        names=["part", "number", "dims", "ids", "data"],
-                    )
-                    number += 1
-
-    return vectors.select(id_col, vector_col).mapInArrow(
+                old = held.get(dims)
+                now, data = (
+                    (np.r_[old[0], ids[rows]], np.vstack([old[1], data])) if old else (ids[rows], data)
+                )
+                while len(now) >= size:
+                    yield block(dims, now[:size], data[:size])
+                    now, data = now[size:], data[size:]
+                held[dims] = [now, data]
+        for dims, (ids, data) in held.items():
+            if len(ids):
+                yield block(dims, ids, data)
+
+    return vectors.select(id_col, vector_col).transform(in_batches, 
         packed, "part int, number int, dims int, ids binary, data binary"
     )
 

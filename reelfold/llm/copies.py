@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from reelfold.llm.graph import components
 from reelfold.llm.simhash import links, majority, shingle_digests
-from reelfold.llm.tables import stored
+from reelfold.llm.tables import in_batches, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -51,13 +51,16 @@ def section_keys(digests: np.ndarray) -> list[int]:
         taken = section < SECTIONS
         order = np.argsort(section[taken], kind="stable")
         of, members = section[taken][order], hashes[taken][order]
+        if not len(of):
+            continue
         starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(of)]):
-            if b - a >= 2:
-                parts = members[a:b].astype(">u8").view(np.uint8).reshape(-1, 8)
-                # the number of shingles tells apart sections that a majority of bits would not
-                value = majority(parts) ^ (int(of[a]) * 0x9E3779B97F4A7C15 + k * 1009 + (b - a) * 9176) % 2**64
-                keys.append(value - 2**64 if value >= 2**63 else value)
+        sizes = np.diff(np.r_[starts, len(of)])
+        bits = np.unpackbits(members.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        set_bits = np.add.reduceat(bits.astype(np.int32), starts, axis=0)
+        values = np.packbits(2 * set_bits > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+        # number and size of a section tell apart those that a majority of bits would not
+        values ^= of[starts] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k * 1009) + sizes.astype(np.uint64) * np.uint64(9176)
+        keys += values[sizes >= 2].view(np.int64).tolist()
     return keys
 
 
@@ -85,7 +88,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         T.StructField("fp", T.LongType()), T.StructField("sections", T.ArrayType(T.LongType())),
     ])
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.sha2(text, 256).alias("same"), text.alias("text")).mapInArrow(
+    return docs.select("doc_id", F.sha2(text, 256).alias("same"), text.alias("text")).transform(in_batches, 
         compute, schema
     )
 
@@ -124,7 +127,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
     text = F.coalesce("text", F.lit(""))
     u = texts.select(F.col("node").alias("u"), text.alias("_u"))
     v = texts.select(F.col("node").alias("v"), text.alias("_v"))
-    return pairs.join(u, "u").join(v, "v").select("u", "v", "_u", "_v").mapInArrow(check, pairs.schema)
+    return pairs.join(u, "u").join(v, "v").select("u", "v", "_u", "_v").transform(in_batches, check, pairs.schema)
 
 
 def copy_groups(docs: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from reelfold.llm.tables import in_batches
 from reelfold.llm.tokens import text_runs
 
 WINDOW = 10
@@ -325,7 +326,7 @@ def contamination(
     )
     blocks = list(_blocks(benchmark, item_col, item_text_col, window)) or [None]
     for block in blocks:
-        rows = rows.mapInArrow(search(block), schema)
+        rows = rows.transform(in_batches, search(block), schema)
     return rows.drop("text")
 
 
@@ -357,5 +358,5 @@ def keep_clean(
         return run
 
     for block in _blocks(benchmark, "item_id", "text", window):
-        docs = docs.mapInArrow(keep(block), docs.schema)
+        docs = docs.transform(in_batches, keep(block), docs.schema)
     return docs

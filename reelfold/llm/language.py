@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from reelfold.llm.tables import in_batches
 from reelfold.llm.samples import labelled_sample
 
 UNKNOWN = "und"
@@ -192,7 +193,7 @@ def identify(
         T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
     ])
     held = F.coalesce(fold(id_col, folds) == held_out, F.lit(False)).alias("_held_out")
-    return docs.select(F.col(id_col), held, F.col(text_col)).mapInArrow(predict, schema)
+    return docs.select(F.col(id_col), held, F.col(text_col)).transform(in_batches, predict, schema)
 
 
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -208,4 +209,4 @@ def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text"
             kept = [i for i, name in zip(rows, names) if name != UNKNOWN]
             yield batch.take(pa.array(kept, pa.int64()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.transform(in_batches, keep, docs.schema)

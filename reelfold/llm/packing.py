@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from reelfold.llm.tables import stored, totals_before
+from reelfold.llm.tables import in_batches, stored, totals_before
 from reelfold.llm.tokens import encoder, text_runs
 
 SEQUENCE = 2048
@@ -55,7 +55,7 @@ def token_rows(
         T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()),
         T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType()),
     ])
-    return docs.select(id_col, text_col).mapInArrow(encode, schema)
+    return docs.select(id_col, text_col).transform(in_batches, encode, schema)
 
 
 def pack(
@@ -111,4 +111,4 @@ def pack(
         + [T.StructField(c, T.LongType()) for c in longs]
         + ([T.StructField("ids", T.BinaryType())] if with_ids else [])
     )
-    return placed.mapInArrow(cut, schema)
+    return placed.transform(in_batches, cut, schema)

@@ -25,6 +25,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
+from reelfold.llm.tables import in_batches
+
 THRESHOLD = 0.3  # of the standard deviation of the fused ratios
 SMOOTHING = 1.0  # standard deviation of the Gaussian, in blocks
 _RADIUS = 2
@@ -270,4 +272,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         T.StructField("url", pages.schema[url_col].dataType),
         T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()),
     ])
-    return pages.select(id_col, url_col, html_col).mapInArrow(read, schema)
+    return pages.select(id_col, url_col, html_col).transform(in_batches, read, schema)

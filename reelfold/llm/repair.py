@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from reelfold.llm.tables import stored, totals_before
+from reelfold.llm.tables import in_batches, stored, totals_before
 from reelfold.llm.tokens import encoder, text_runs
 
 SEGMENT_IDS = 500_000
@@ -238,7 +238,7 @@ def file_rows(
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     rows = rows.withColumn("_hash", F.xxhash64("_text"))
     dealt = rows.repartitionByRange(shards, *order) if shards else rows.repartitionByRange(*order)
-    return dealt.sortWithinPartitions(*order).select("_id", "_text").mapInArrow(encode, schema)
+    return dealt.sortWithinPartitions(*order).select("_id", "_text").transform(in_batches, encode, schema)
 
 
 def write_files(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
@@ -275,4 +275,4 @@ def read_documents(files: DataFrame, with_ids: bool = True) -> DataFrame:
         + [T.StructField(c, T.LongType()) for c in ("start", "n_tokens", "ids_crc32")]
         + ([T.StructField("ids", T.BinaryType())] if with_ids else [])
     )
-    return placed.mapInArrow(decode, schema)
+    return placed.transform(in_batches, decode, schema)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from reelfold.llm.tables import in_batches
+
 SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
@@ -89,7 +91,7 @@ def scan_texts(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 [batch.column(0), pa.array(spans, kind)], names=["blob", "spans"]
             )
 
-    return blobs.select("blob", "text").mapInArrow(scan, f"blob string, spans {SPANS}")
+    return blobs.select("blob", "text").transform(in_batches, scan, f"blob string, spans {SPANS}")
 
 
 def _unseen(batch: pa.RecordBatch, seen: set[str]) -> pa.RecordBatch:
@@ -111,7 +113,7 @@ def once_a_task(blobs: DataFrame) -> DataFrame:
         for batch in batches:
             yield _unseen(batch, seen)
 
-    return blobs.select("blob", "text").mapInArrow(drop, "blob string, text string")
+    return blobs.select("blob", "text").transform(in_batches, drop, "blob string, text string")
 
 
 def _address(text: Column) -> Column:
@@ -232,7 +234,7 @@ def redact(
     if n_chars is not None:
         n_chars = F.when(F.size("_spans") > 0, F.lit(None)).otherwise(n_chars)
         found = found.withColumn("n_chars", n_chars)
-    clean = found.mapInArrow(cut, rows.select(*[c for c in found.columns if c != "_spans"]).schema)
+    clean = found.transform(in_batches, cut, rows.select(*[c for c in found.columns if c != "_spans"]).schema)
     clean = clean.withColumnRenamed("_text", text_col)
     if n_chars is not None:
         kind = docs.schema["n_chars"].dataType

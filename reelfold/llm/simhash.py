@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from reelfold.llm.graph import components
-from reelfold.llm.tables import stored
+from reelfold.llm.tables import in_batches, stored
 
 SEED = 42
 GROUP = 16_384
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
     schema = T.StructType(
         [T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())]
     )
-    return docs.select(id_col, text_col).mapInArrow(compute, schema)
+    return docs.select(id_col, text_col).transform(in_batches, compute, schema)
 
 
 # --- index of one group -------------------------------------------------------------------------
@@ -192,7 +192,7 @@ def _grouped(fps: DataFrame, radius: int, blocks: int, kept: int) -> DataFrame:
         T.StructField("gray", T.LongType()), T.StructField("fp", T.LongType()),
         T.StructField("node", kind),
     ])
-    return fps.select("fp", "node").mapInArrow(deal, schema)
+    return fps.select("fp", "node").transform(in_batches, deal, schema)
 
 
 def _group_links(grouped: DataFrame, radius: int) -> DataFrame:
@@ -240,7 +240,7 @@ def _group_links(grouped: DataFrame, radius: int) -> DataFrame:
     return (
         grouped.repartition("choice", "bits").sortWithinPartitions("choice", "bits", "gray")
         .select("choice", "bits", "fp", "node")
-        .mapInArrow(search, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
+        .transform(in_batches, search, T.StructType([T.StructField("u", kind), T.StructField("v", kind)]))
     )
 
 

@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from reelfold.session import scratch_path
 
+BATCH_ROWS = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_batches(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of ``BATCH_ROWS`` rows.
+
+    A task holds a batch several times over (in the JVM, in Arrow, as Python strings), and rows here
+    are whole texts, so Spark's default of 10,000 is too many. A session that sets a smaller number
+    keeps it.
+    """
+    spark = df.sparkSession
+    if int(spark.conf.get(_BATCH_KEY)) > BATCH_ROWS:
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+    return df.mapInArrow(fn, schema)
+
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read back.

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from reelfold.llm.tables import in_batches
 from reelfold.llm.samples import labelled_sample
 
 WINDOW = 48  # bytes; a window ends with the word that reaches them
@@ -208,4 +209,4 @@ def toxicity(
         T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()),
     ])
     held = F.coalesce(fold(id_col, folds) == held_out, F.lit(False)).alias("_held_out")
-    return docs.select(F.col(id_col), held, F.col(text_col)).mapInArrow(predict, schema)
+    return docs.select(F.col(id_col), held, F.col(text_col)).transform(in_batches, predict, schema)
