@@ -52,8 +52,8 @@ ORACLES["op4_block_join"] = f"""
     WITH usable AS (
         SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
         WHERE embedding IS NOT NULL
-            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-            AND len(list_filter(embedding, x -> x <> 0)) > 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0
     ), scored AS (
         SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v) AS score
         FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelfold.llm import ann, language, pages, toxicity
-from reelfold.llm.queries import NEIGHBOURS, QUERIES
+from reelfold.llm.queries import NEIGHBOURS, ORACLES, QUERIES
 
 from llm_helpers import LONG, ODD, odd_documents, rows_of
 
@@ -59,6 +59,13 @@ def test_nearest_of_given_vectors(spark, sf_dir):
     assert sorted(tuple(r[c] for c in ("query_id", "rank", "vec_id", "score")) for r in got) == want
 
 
+def test_sql_oracles(spark, sf_dir):
+    from compare import compare, connect
+
+    for name, sql in ORACLES.items():
+        assert compare(QUERIES[name](spark, sf_dir), connect(sf_dir), sql) == [], name
+
+
 def test_no_vectors(spark):
     assert ann.nearest(vectors(spark, []), F.lit(True), 3).count() == 0
     assert ann.nearest(vectors(spark, [(1, [1.0])]), F.lit(True), 3).count() == 0
