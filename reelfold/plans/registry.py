@@ -956,7 +956,9 @@ def t1_project_by_tag(spark, d):
 def t2_state_stream(spark, d):
     out = scratch_path(spark, "state")
     stream = PR.journal_stream(spark, stream_journal(spark, d, replay=True), 20)
-    SS.maintain_state(stream, out, scratch_path(spark, "offsets")).awaitTermination()
+    SS.maintain_state(
+        stream, out, scratch_path(spark, "offsets"), compact_every=2
+    ).awaitTermination()
     return SS.read_state(spark, out).select("persistence_id", *flat_file(), "status")
 
 

@@ -22,19 +22,25 @@ def state_stream(stream: DataFrame) -> DataFrame:
 
 
 def maintain_state(
-    stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+    stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
+    compact_every: int = 100,
 ) -> StreamingQuery:
     """Keep a state table without a state store.
 
     Every micro-batch is folded by itself and written as partial states with their winning
-    sequence numbers, one folder per batch, overwritten when the batch runs again.
-    :func:`read_state` merges them; :func:`compact_state` bounds their number.
+    sequence numbers, one folder per batch, overwritten when the batch runs again. Every
+    ``compact_every`` batches the states of all batches so far are merged into one folder, which
+    readers take in place of those; older folders may be deleted then. :func:`read_state` merges
+    what is left.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         folded = batch.groupBy("persistence_id").agg(
             F.max("seq_nr").alias("seq_nr"), *fold_columns()
         )
-        folded.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        folded.write.mode("overwrite").parquet(f"{path}/kind=part/batch_id={batch_id}")
+        if batch_id and batch_id % compact_every == 0:
+            known = _partials(batch.sparkSession, path, batch_id)
+            _merged(known).write.mode("overwrite").parquet(f"{path}/kind=merged/batch_id={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(write)
@@ -44,9 +50,28 @@ def maintain_state(
     )
 
 
-def _partials(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(
-        "persistence_id", "seq_nr", "file", "file_seq", "status", "status_seq"
+def _partials(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """Partial states of all batches, or of those up to ``upto``: the newest merged folder that was
+    finished before, and the parts after it."""
+    found = spark.read.parquet(path)
+    merged = found.filter(F.col("kind") == "merged")
+    if upto is not None:  # a batch that runs again does not read its own result
+        found, merged = found.filter(F.col("batch_id") <= upto), merged.filter(F.col("batch_id") < upto)
+    last = merged.agg(F.max("batch_id")).first()[0]
+    if last is None:
+        kept = found.filter(F.col("kind") == "part")
+    else:
+        newest = (F.col("kind") == "merged") & (F.col("batch_id") == last)
+        kept = found.filter(newest | ((F.col("kind") == "part") & (F.col("batch_id") > last)))
+    return kept.select("persistence_id", "seq_nr", "file", "file_seq", "status", "status_seq")
+
+
+def _merged(partials: DataFrame) -> DataFrame:
+    return partials.groupBy("persistence_id").agg(
+        F.max("seq_nr").alias("seq_nr"),
+        F.max_by("file", "file_seq").alias("file"), F.max("file_seq").alias("file_seq"),
+        F.max_by("status", "status_seq").alias("status"),
+        F.max("status_seq").alias("status_seq"),
     )
 
 
@@ -57,14 +82,9 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compact_state(spark: SparkSession, path: str, out: str) -> None:
-    """Merge all partial states into one table at ``out`` (a new path), same schema."""
-    merged = _partials(spark, path).groupBy("persistence_id").agg(
-        F.max("seq_nr").alias("seq_nr"),
-        F.max_by("file", "file_seq").alias("file"), F.max("file_seq").alias("file_seq"),
-        F.max_by("status", "status_seq").alias("status"),
-        F.max("status_seq").alias("status_seq"),
-    )
-    merged.write.mode("errorifexists").parquet(f"{out}/batch_id=-1")
+    """Merge all partial states into one table at ``out`` (a new path), same layout."""
+    merged = _merged(_partials(spark, path))
+    merged.write.mode("errorifexists").parquet(f"{out}/kind=merged/batch_id=-1")
 
 
 def fold_stream(

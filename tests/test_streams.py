@@ -39,7 +39,10 @@ def test_state_stream_update_mode(spark, path, want):
 def test_maintained_state_and_compaction(spark, path, want):
     out, checkpoint = scratch_path(spark, "t-state"), scratch_path(spark, "t-offsets")
     for _ in range(2):  # the second run starts from the stored offset and finds nothing new
-        SS.maintain_state(PR.journal_stream(spark, path, 10), out, checkpoint).awaitTermination()
+        SS.maintain_state(
+            PR.journal_stream(spark, path, 10), out, checkpoint, compact_every=2
+        ).awaitTermination()
+    assert spark.read.parquet(out).filter("kind = 'merged'").select("batch_id").distinct().count() >= 1
     assert sorted(map(str, SS.read_state(spark, out).collect())) == want
     merged = scratch_path(spark, "t-merged")
     SS.compact_state(spark, out, merged)
