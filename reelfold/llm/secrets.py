@@ -211,7 +211,7 @@ def redact(
 ) -> DataFrame:
     """``docs`` with every span replaced by its kind; overlapping spans become one.
 
-    ``n_chars``, where there is such a column, follows a text that changed.
+    ``n_chars``, where there is such a column, follows a text that changed; a null one is filled in.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -178,8 +178,7 @@ def fit(
     counts = {r["_toxic"]: r["count"] for r in marks.groupBy("_toxic").count().collect()}
     if not counts.get(0) or not counts.get(1):
         return None
-    rows = docs.select(id_col, text_col).join(marks, id_col)
-    sample = labelled_sample(rows, "_toxic", id_col, text_col, per_class)
+    sample = labelled_sample(docs, "_toxic", id_col, text_col, per_class, marks=marks)
     toxic, ordinary = ([t for _, t, y in sample if y == mark] for mark in (1, 0))
     if not toxic or not ordinary:
         return None
