@@ -2,14 +2,16 @@
 
 Copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. At that
 similarity whole-text fingerprints still differ in about ten of 64 bits, more than an index of bit
-differences can reach, so candidates come from two kinds of fingerprint:
+differences can reach, so candidates come from two places:
 
 * the SimHash of the whole text, linked by the Gray-order index within a few bits, and
-* SimHashes of sections. A section holds the shingles whose hash falls into one of ``m`` classes, ``m`` a
-  power of two that gives each class two to four shingles. An edit touches few shingles, so most sections
-  of a copy stay the same. Up to ``SECTIONS`` of them are taken; texts near a change of ``m`` use both.
+* prefixes, which make the result exact. Shingles have one order for all texts, rare ones first (by counts
+  of hash slots, so the order is about right and the same everywhere; any order gives the same result).
+  Two texts of similarity 0.8 share at least 0.8 of the larger one's shingles, so they share one of the
+  first ``n - ceil(0.8 n) + 1`` of each. Each of these is a key. Two texts with a key in common are left
+  out only where their sizes, or the shingles that follow the key, rule the similarity out.
 
-Every document meets the smallest one of each of its sections and of its whole-text group (links grow with
+Every document meets the smallest one of each of its keys and of its whole-text group (links grow with
 the documents, not with their pairs), exact copies are one document, and every link is verified on the
 whole texts before it counts.
 
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from reelfold.llm.graph import components
 from reelfold.llm.simhash import links, majority, shingle_digests
@@ -32,60 +34,100 @@ from reelfold.llm.tables import in_batches, stored
 SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 3
-SECTIONS = 24
+_SLOTS = 1 << 20
 
 
-def section_keys(digests: np.ndarray) -> list[int]:
-    """A signed 64-bit key for each section that holds two shingles or more."""
-    hashes = np.unique(np.ascontiguousarray(digests).view(">u8").ravel().astype(np.uint64))
+def shingle_set(text: str | None) -> np.ndarray:
+    """The hashes of a text's shingles, each once, in order."""
+    return np.unique(shingle_digests(text, SHINGLE).view(">u8").ravel().astype(np.uint64))
+
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(_SLOTS - 1)).astype(np.int64)
+
+
+def slot_counts(texts: DataFrame) -> np.ndarray:
+    """How many of all shingles fall into each slot: ``_SLOTS`` numbers, whatever the table."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(_SLOTS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                counts[_slot(shingle_set(text))] += 1
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["slot", "n"]
+        )
+
+    schema = T.StructType([T.StructField("slot", T.IntegerType()), T.StructField("n", T.LongType())])
+    sums = in_batches(texts.select("text"), count, schema).groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(_SLOTS, np.int64)
+    counts[sums["slot"].to_numpy()] = sums["n"].to_numpy()
+    return counts
+
+
+def prefix(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of which a text of similarity 0.8 shares one, rarest first."""
     n = len(hashes)
-    if n < 4:
-        return []
-    top = int(np.log2(n / 2))
-    classes = [top] + ([top - 1] if n < 1.25 * 2 * 2**top and top else [])
-    mixed = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    mixed ^= mixed >> np.uint64(29)
-    keys = []
-    for k in classes:
-        section = mixed & np.uint64(2**k - 1)
-        taken = section < SECTIONS
-        order = np.argsort(section[taken], kind="stable")
-        of, members = section[taken][order], hashes[taken][order]
-        if not len(of):
-            continue
-        starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        sizes = np.diff(np.r_[starts, len(of)])
-        bits = np.unpackbits(members.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        set_bits = np.add.reduceat(bits.astype(np.int32), starts, axis=0)
-        values = np.packbits(2 * set_bits > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
-        # number and size of a section tell apart those that a majority of bits would not
-        values ^= of[starts] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k * 1009) + sizes.astype(np.uint64) * np.uint64(9176)
-        keys += values[sizes >= 2].view(np.int64).tolist()
-    return keys
+    ordered = hashes[np.lexsort((hashes, counts[_slot(hashes)]))]
+    return ordered[: n - (4 * n + 4) // 5 + 1]
+
+
+def prefix_keys(texts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(key, node, size, place): the prefix of every text, with its number of shingles."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes = [], []
+            for text in batch.column(1).to_pylist():
+                hashes = shingle_set(text)
+                # texts without words meet under one key
+                keys.append(prefix(hashes, counts) if len(hashes) else np.zeros(1, np.uint64))
+                sizes.append(len(hashes))
+            if not keys:
+                continue
+            lengths = [len(k) for k in keys]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(keys).view(np.int64)),
+                    batch.column(0).take(pa.array(np.repeat(np.arange(len(keys)), lengths))),
+                    pa.array(np.repeat(np.array(sizes, np.int32), lengths)),
+                    pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])),
+                ],
+                names=["key", "node", "size", "place"],
+            )
+
+    schema = T.StructType([
+        T.StructField("key", T.LongType()), T.StructField("node", texts.schema["node"].dataType),
+        T.StructField("size", T.IntegerType()), T.StructField("place", T.IntegerType()),
+    ])
+    return in_batches(texts.select("node", "text"), compute, schema)
+
+
+def _possible(a: str, b: str) -> Column:
+    """Whether rows ``a`` and ``b`` of one key can still be similar enough, if it is their first in common."""
+    x, y = F.col(f"{a}.size"), F.col(f"{b}.size")
+    after = F.least(x - F.col(f"{a}.place"), y - F.col(f"{b}.place"))
+    return (5 * F.least(x, y) >= 4 * F.greatest(x, y)) & (9 * after >= 4 * (x + y))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, same, fp, sections): ``same`` is a hash of the text, equal for exact copies."""
+    """(doc_id, same, fp): ``same`` is a hash of the text, equal for exact copies."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sections = [], []
-            for text in batch.column(2).to_pylist():
-                digests = shingle_digests(text, SHINGLE)
-                fps.append(majority(digests))
-                sections.append(section_keys(digests))
+            fps = [majority(shingle_digests(t, SHINGLE)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), batch.column(1),
                     pa.array(np.array(fps, np.uint64).view(np.int64)),
-                    pa.array(sections, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "same", "fp", "sections"],
+                names=["doc_id", "same", "fp"],
             )
 
     schema = T.StructType([
         T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("same", T.StringType()),
-        T.StructField("fp", T.LongType()), T.StructField("sections", T.ArrayType(T.LongType())),
+        T.StructField("fp", T.LongType()),
     ])
     text = F.coalesce("text", F.lit(""))
     return docs.select("doc_id", F.sha2(text, 256).alias("same"), text.alias("text")).transform(in_batches, 
@@ -104,9 +146,17 @@ def _to_smallest(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(least, key).filter(F.col("node") != F.col("v")).select(F.col("node").alias("u"), "v")
 
 
+def _smallest_possible(keys: DataFrame) -> DataFrame:
+    """(u, v): every node with the smallest one of each of its keys, where they can be similar."""
+    least = keys.groupBy("key").agg(F.min(F.struct("node", "size", "place")).alias("b"), F.count(F.lit(1)).alias("_n"))
+    least = stored(least.filter(F.col("_n") > 1).select("key", "b.*"), "smallest").alias("b")
+    pairs = keys.alias("a").join(least, "key").filter((F.col("a.node") != F.col("b.node")) & _possible("a", "b"))
+    return pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+
+
 def similarity(a: str, b: str) -> float:
     """Jaccard similarity of the two sets of shingles; two texts without words are alike."""
-    x, y = (np.unique(shingle_digests(t, SHINGLE).view(">u8").ravel()) for t in (a, b))
+    x, y = shingle_set(a), shingle_set(b)
     if not len(x) and not len(y):
         return 1.0
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -138,18 +188,20 @@ def copy_groups(docs: DataFrame) -> DataFrame:
         rows.groupBy("same").agg(F.min("doc_id").alias("node")), "exact-copies"
     )
     first = rows.join(nodes, (rows["doc_id"] == nodes["node"]) & (rows["same"] == nodes["same"])).select(
-        "node", "fp", "sections"
+        "node", "fp"
     ).dropDuplicates(["node"])
     first = stored(first, "different-texts")
     fps = first.groupBy("fp").agg(F.min("node").alias("node"))
-    parts = first.select("node", F.explode("sections").alias("key")).distinct()
+    texts = known.select(F.col("doc_id").alias("node"), "text").join(first.select("node"), "node", "left_semi")
+    texts = stored(texts.dropDuplicates(["node"]), "texts")
+    keys = stored(prefix_keys(texts, slot_counts(texts)), "keys")
     pairs = (
         links(stored(fps, "distinct-fingerprints"), RADIUS)
         .unionByName(_to_smallest(first.select("node", F.col("fp").alias("key")), "key"))
-        .unionByName(_to_smallest(parts, "key"))
+        .unionByName(_smallest_possible(keys))
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
-    found = components(verified(stored(pairs, "candidates"), known.select(F.col("doc_id").alias("node"), "text")))
+    found = components(verified(stored(pairs, "candidates"), texts))
     named = nodes.join(found, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
     return rows.select("doc_id", "same").join(stored(named, "copy-groups"), "same").select(
         "doc_id", "component_id"

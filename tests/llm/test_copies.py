@@ -1,0 +1,32 @@
+"""Near copies of the pipeline against brute force."""
+
+import numpy as np
+
+from reelfold.llm import copies
+
+from llm_helpers import components, rows_of
+from test_documents import jaccard
+
+
+def groups_by_brute_force(rows):
+    texts = dict(rows)
+    return components(texts, lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+
+
+def groups(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    return {r["doc_id"]: r["component_id"] for r in copies.copy_groups(docs).collect()}
+
+
+def test_copies_of_few_words(spark):
+    """Texts of 6 to 30 words, each with one word more or one end word changed."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for n in range(6, 31):
+        for _ in range(4):
+            words = [f"w{x}" for x in rng.integers(0, 10**6, n)]
+            for other in (words, [*words, "more"], [*words[:-1], "changed"]):
+                rows.append((len(rows), " ".join(other)))
+    want = groups_by_brute_force(rows)
+    assert sum(k != v for k, v in want.items()) > 100
+    assert groups(spark, rows) == want
