@@ -11,9 +11,11 @@ differences can reach, so candidates come from two places:
   first ``n - ceil(0.8 n) + 1`` of each. Each of these is a key. Two texts with a key in common are left
   out only where their sizes, or the shingles that follow the key, rule the similarity out.
 
-Every document meets the smallest one of each of its keys and of its whole-text group (links grow with
-the documents, not with their pairs), exact copies are one document, and every link is verified on the
-whole texts before it counts.
+First every document meets the smallest one of each of its keys and of its whole-text group; exact copies
+are one document, and every link is verified on the whole texts before it counts. Then the documents of a
+key that these links did not bring together meet each other, all with all: only documents of one
+component are spared, so a large group of true copies costs one link a member, and a family of texts just
+below the similarity costs its pairs.
 
 Rows: null and empty texts are copies of each other; repeated rows are copies; of each group the row with
 the smallest id stays, once; rows without id stay; columns come back as they were.
@@ -154,6 +156,23 @@ def _smallest_possible(keys: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
 
 
+def _others_possible(keys: DataFrame, found: DataFrame) -> DataFrame:
+    """(u, v), u > v: all nodes with a key in common that can be similar and that ``found`` (node, root)
+    has in different components."""
+    rows = keys.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = stored(rows, "keys-with-roots")
+    mixed = rows.groupBy("key").agg(F.min("root").alias("main"), F.max("root").alias("_last"))
+    mixed = stored(mixed.filter(F.col("main") != F.col("_last")).select("key", "main"), "mixed-keys")
+    rows = stored(rows.join(mixed, "key"), "mixed-rows")
+    # members of the main component meet the others only, not each other
+    others = rows.filter(F.col("root") != F.col("main"))
+    once = (F.col("b.root") == F.col("b.main")) | (F.col("a.node") > F.col("b.node"))
+    apart = F.col("a.root") != F.col("b.root")
+    pairs = others.alias("a").join(rows.alias("b"), "key").filter(apart & once & _possible("a", "b"))
+    u, v = F.col("a.node"), F.col("b.node")
+    return pairs.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
+
+
 def similarity(a: str, b: str) -> float:
     """Jaccard similarity of the two sets of shingles; two texts without words are alike."""
     x, y = shingle_set(a), shingle_set(b)
@@ -201,7 +220,11 @@ def copy_groups(docs: DataFrame) -> DataFrame:
         .unionByName(_smallest_possible(keys))
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
-    found = components(verified(stored(pairs, "candidates"), texts))
+    pairs = stored(pairs, "candidates")
+    good = stored(verified(pairs, texts), "copies-of-smallest")
+    others = _others_possible(keys, components(good)).join(pairs, ["u", "v"], "left_anti")
+    others = verified(stored(others, "other-candidates"), texts)
+    found = components(good.unionByName(others))
     named = nodes.join(found, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
     return rows.select("doc_id", "same").join(stored(named, "copy-groups"), "same").select(
         "doc_id", "component_id"

@@ -30,3 +30,23 @@ def test_copies_of_few_words(spark):
     want = groups_by_brute_force(rows)
     assert sum(k != v for k, v in want.items()) > 100
     assert groups(spark, rows) == want
+
+
+def test_copies_within_a_family(spark):
+    """The two smallest texts of a family are below the similarity to all others, which are copies."""
+    rng = np.random.default_rng(5)
+    common = [f"c{x}" for x in range(54)]
+    rows = [(0, " ".join(common[:-6])), (1, " ".join(common[6:]))]
+    rows += [(2 + i, " ".join([*common, *(f"w{x}" for x in rng.integers(0, 10**6, 6))])) for i in range(12)]
+    want = groups_by_brute_force(rows)
+    assert want == {0: 0, 1: 1, **{i: 2 for i in range(2, 14)}}
+    assert groups(spark, rows) == want
+
+
+def test_links_beyond_the_smallest(spark):
+    """A key's smallest node is like none of the others, which are like each other."""
+    keys = spark.createDataFrame([(1, n, 10, 0) for n in range(4)], "key long, node long, size int, place int")
+    found = spark.createDataFrame([(2, 1), (1, 1)], "node long, root long")
+    assert rows_of(copies._others_possible(keys, found), "u", "v") == [
+        (1, 0), (2, 0), (3, 0), (3, 1), (3, 2),
+    ]
