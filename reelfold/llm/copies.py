@@ -17,8 +17,10 @@ key that these links did not bring together meet each other, all with all: only
 component are spared, so a large group of true copies costs one link a member, and a family of texts just
 below the similarity costs its pairs.
 
-Rows: null and empty texts are copies of each other; repeated rows are copies; of each group the row with
-the smallest id stays, once; rows without id stay; columns come back as they were.
+Rows: null and empty texts are copies of each other; repeated rows are copies; rows of one id with different
+texts are different documents, copies only if their texts are; of each group the row with the smallest id
+stays, once (of several such texts the one with the smallest hash); rows without id stay; columns come back
+as they were.
 """
 
 from __future__ import annotations
@@ -113,6 +115,10 @@ def _possible(a: str, b: str) -> Column:
     return (5 * F.least(x, y) >= 4 * F.greatest(x, y)) & (9 * after >= 4 * (x + y))
 
 
+def _same() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, same, fp): ``same`` is a hash of the text, equal for exact copies."""
 
@@ -132,7 +138,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         T.StructField("fp", T.LongType()),
     ])
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.sha2(text, 256).alias("same"), text.alias("text")).transform(in_batches, 
+    return docs.select("doc_id", _same().alias("same"), text.alias("text")).transform(in_batches, 
         compute, schema
     )
 
@@ -199,24 +205,19 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> D
     return pairs.join(u, "u").join(v, "v").select("u", "v", "_u", "_v").transform(in_batches, check, pairs.schema)
 
 
-def copy_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of every document with an id: the smallest id that links lead to."""
-    known = docs.filter(F.col("doc_id").isNotNull())
+def _groups(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, same) rows, and (same, doc_id, root) of every text: its smallest id and its component."""
     rows = stored(sketches(known), "sketches")
-    nodes = stored(
-        rows.groupBy("same").agg(F.min("doc_id").alias("node")), "exact-copies"
-    )
-    first = rows.join(nodes, (rows["doc_id"] == nodes["node"]) & (rows["same"] == nodes["same"])).select(
-        "node", "fp"
-    ).dropDuplicates(["node"])
-    first = stored(first, "different-texts")
-    fps = first.groupBy("fp").agg(F.min("node").alias("node"))
-    texts = known.select(F.col("doc_id").alias("node"), "text").join(first.select("node"), "node", "left_semi")
-    texts = stored(texts.dropDuplicates(["node"]), "texts")
+    # a node is a text, whatever ids have it
+    nodes = rows.groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "different-texts")
+    fps = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+    texts = known.select("doc_id", _same().alias("same"), "text").join(nodes, ["doc_id", "same"])
+    texts = stored(texts.select("node", "text").dropDuplicates(["node"]), "texts")
     keys = stored(prefix_keys(texts, slot_counts(texts)), "keys")
     pairs = (
         links(stored(fps, "distinct-fingerprints"), RADIUS)
-        .unionByName(_to_smallest(first.select("node", F.col("fp").alias("key")), "key"))
+        .unionByName(_to_smallest(nodes.select("node", F.col("fp").alias("key")), "key"))
         .unionByName(_smallest_possible(keys))
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
@@ -225,15 +226,23 @@ def copy_groups(docs: DataFrame) -> DataFrame:
     others = _others_possible(keys, components(good)).join(pairs, ["u", "v"], "left_anti")
     others = verified(stored(others, "other-candidates"), texts)
     found = components(good.unionByName(others))
-    named = nodes.join(found, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
-    return rows.select("doc_id", "same").join(stored(named, "copy-groups"), "same").select(
-        "doc_id", "component_id"
-    )
+    named = nodes.join(found, "node", "left").select("same", "doc_id", F.coalesce("root", "node").alias("root"))
+    return rows.select("doc_id", "same"), stored(named, "copy-groups")
+
+
+def copy_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of every row with an id: the smallest id that links from its text lead to."""
+    rows, named = _groups(docs.filter(F.col("doc_id").isNotNull()))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = stored(named.join(least, "root").select("same", "component_id"), "component-ids")
+    return rows.join(named, "same").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with the document of smallest id of each group of copies, once."""
-    groups = copy_groups(docs)
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with the row of smallest id of each group of copies, once."""
+    _, named = _groups(docs.filter(F.col("doc_id").isNotNull()))
+    least = named.groupBy("root").agg(F.min(F.struct("doc_id", "same")).alias("_least"))
+    first = least.select("_least.doc_id", F.col("_least.same").alias("_same"))
+    rows = docs.withColumn("_same", _same())
+    kept = rows.join(first, ["doc_id", "_same"], "left_semi").dropDuplicates(["doc_id", "_same"])
     return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -50,3 +50,10 @@ def test_links_beyond_the_smallest(spark):
     assert rows_of(copies._others_possible(keys, found), "u", "v") == [
         (1, 0), (2, 0), (3, 0), (3, 1), (3, 2),
     ]
+
+
+def test_keep_first_of_one_id_with_different_texts(spark):
+    x, y = ("one text of some words about a thing", "and then another one that says more of it")
+    rows = [(1, x), (1, y), (7, x), (7, x), (8, y + " once again"), (9, x)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert rows_of(copies.keep_first(docs), "doc_id", "text") == [(1, y), (1, x), (8, y + " once again")]
