@@ -44,6 +44,16 @@ class Rule:
         return re.compile(self.pattern, re.ASCII | (re.IGNORECASE if self.any_case else 0))
 
 
+# a private key with its body: to the END line, else to the end of the header and base64 lines (line ends may
+# be written as \n); a short last line counts after a long one
+_PEM = (
+    r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"
+    r"(?:(?:[^-]|-(?!----))*+-----END (?:[A-Z]+ )?PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[nr])++[A-Z][A-Za-z]*+-[A-Za-z]++:[^\n\\]*+)*+"
+    r"(?:(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{16,}+={0,2})++"
+    r"(?:(?:\s|\\[nr])++(?:[A-Za-z0-9+/]{4}){0,4}(?:[A-Za-z0-9+/]{2,4}=?=?)(?=[\s\\\"']|\Z))?)?)"
+)
+
 #: The patterns and lengths that the base kinds are defined by, in their order, then the
 #: kinds that this scanner adds.
 RULES = (
@@ -54,7 +64,7 @@ RULES = (
     ),
     Rule("access", r"AKIA[A-Z0-9]+", least=16),
     Rule("hex", r"[0-9a-f]{32,}", least=32),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", least=1, base=False),
+    Rule("pem", _PEM, least=1, base=False),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", least=1, base=False),
 )
 
