@@ -93,7 +93,7 @@ def s3_reassemble_chunks(spark, d):
     return whole.select(
         "file_id", F.md5("data").alias("digest"), F.length("data").cast("bigint").alias("length"),
         "n_chunks", "complete",
-    )
+    ).unionByName(FS.chunk_digests(oversize))
 
 
 @query

@@ -145,6 +145,51 @@ def reassemble_chunks(
     )
 
 
+def chunk_digests(chunks: DataFrame) -> DataFrame:
+    """``file_id, digest, length, n_chunks, complete``: the MD5 of each file, from its chunks in order.
+
+    Rows arrive sorted and are added as they come, so memory holds one batch, whatever a file's size.
+    """
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        names = ["file_id", "digest", "length", "n_chunks", "complete"]
+
+        def row(held):
+            file_id, md5, length, n, last = held
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([file_id], kind), pa.array([md5.hexdigest()]), pa.array([length], pa.int64()),
+                    pa.array([n], pa.int64()), pa.array([n == last + 1]),
+                ],
+                names=names,
+            )
+
+        held = kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for file_id, no, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if held is None or held[0] != file_id:
+                    if held is not None:
+                        yield row(held)
+                    held = [file_id, hashlib.md5(), 0, 0, no]
+                held[1].update(data or b"")
+                held[2] += len(data or b"")
+                held[3] += 1
+                held[4] = no
+        if held is not None:
+            yield row(held)
+
+    kind = chunks.schema["file_id"].dataType.simpleString()
+    rows = distinct_chunks(chunks).repartition("file_id").sortWithinPartitions("file_id", "chunk_no")
+    return rows.select("file_id", "chunk_no", "data").mapInArrow(
+        run, f"file_id {kind}, digest string, length bigint, n_chunks bigint, complete boolean"
+    )
+
+
 def _assemble(chunks: DataFrame) -> DataFrame:
     pieces = F.array_sort(F.collect_list(F.struct("chunk_no", "data")))
     # joined as hex in one pass: appending piece by piece would copy the file once per piece
