@@ -273,3 +273,30 @@ def near_duplicates(
     )
     # a fingerprint of many copies is split by Spark: both sides of this join come from a shuffle
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """``docs`` with one row of each group that links connect: the one of smallest ``doc_id``, once.
+
+    Of several texts of that id in a group the one of smallest fingerprint stays, so rows of one id in
+    different groups are different documents. Rows without id stay. Columns come back as they were.
+    """
+    found = near_duplicates(docs.filter(F.col("doc_id").isNotNull()), shingle, radius)
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "fp")).alias("first"))
+    mark = "fp"
+    while mark.lower() in {c.lower() for c in docs.columns}:
+        mark = "_" + mark
+    first = stored(first.select("first.doc_id", F.col("first.fp").alias(mark)), "first-of-groups")
+    at = docs.columns.index("text")
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [fingerprint(t, shingle) for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.array(fps, np.uint64).view(np.int64))], names=schema.names
+            )
+
+    schema = T.StructType([*docs.schema, T.StructField(mark, T.LongType())])
+    marked = docs.filter(F.col("doc_id").isNotNull()).transform(in_batches, compute, schema)
+    kept = marked.join(first, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
+    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
