@@ -5,7 +5,8 @@ shared folder and reads it back as the next stage's ``docs``. All but the last r
 documents.
 
 1. language: rows whose language can't be told (no letter in the text) go.
-2. near_duplicates: one document of each group of copies stays, five-word shingles, similarity 0.8.
+2. near_duplicates: one document of each group stays whose SimHash fingerprints (three-word shingles) are
+   linked at two or fewer bits.
 3. decontamination: documents that hold ten consecutive words of a benchmark item go.
 4. secrets: every secret in a text is replaced by its kind.
 5. packing: pieces of documents in sequences of 2048 token ids.
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reelfold.llm import copies, decontaminate, language, packing, secrets
+from reelfold.llm import decontaminate, language, packing, secrets, simhash
 from reelfold.llm.tables import stored
 from reelfold.llm.tokens import vocabulary_path
 from reelfold.session import scratch_path
@@ -26,7 +27,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return copies.keep_first(docs)
+    return simhash.keep_first(docs, shingle=3, radius=2)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
