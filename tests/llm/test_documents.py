@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from reelfold.llm import copies, decontaminate, packing, repair, secrets, sharding, simhash
+from reelfold.llm import decontaminate, packing, repair, secrets, sharding, simhash
 from reelfold.llm.tokens import Encoder, vocabulary_path
 from reelfold.session import scratch_path
 
@@ -123,42 +123,35 @@ def test_gray_rank():
     assert simhash.gray_rank(codes).tolist() == list(range(1000))
 
 
-# --- copies (pipeline stage) --------------------------------------------------------------------
+# --- one document of each group (pipeline stage) ------------------------------------------------
 
 
-def jaccard(a, b):
-    def shingles(t):
-        w = (t or "").encode().lower().split()
-        return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-
-    x, y = shingles(a), shingles(b)
-    return len(x & y) / len(x | y) if x | y else 1.0
-
-
-def test_copy_groups_against_all_pairs(real):
-    rows = {r["doc_id"]: r["text"] for r in real.collect()}
-    want = components(rows, lambda a, b: jaccard(rows[a], rows[b]) >= 0.8)
-    assert {r["doc_id"]: r["component_id"] for r in copies.copy_groups(real).collect()} == want
+def first_of_groups(rows):
+    """(doc_id, text) rows that stay, by comparing all fingerprints."""
+    fps = {t: fingerprint(t, 3) for _, t in rows}
+    root = components(set(fps.values()), lambda a, b: (a ^ b).bit_count() <= 2)
+    first = {}
+    for i, t in rows:
+        if i is not None:
+            key = root[fps[t]]
+            first[key] = min(first.get(key, (i, fps[t])), (i, fps[t]))
+    return sorted(i for i, _ in first.values())
 
 
-def test_near_copies_are_caught_and_others_kept(spark):
-    rng = np.random.default_rng(3)
-    rows = []
-    for g in range(30):
-        words = [f"w{x}" for x in rng.integers(0, 5000, 60 + 20 * g)]
-        rows.append((10 * g, " ".join(words)))
-        for c in range(1, 4):
-            other = list(words)
-            other[int(rng.integers(0, len(words)))] = f"edit{c}"
-            rows.append((10 * g + c, " ".join(other)))
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert rows_of(copies.keep_first(docs), "doc_id") == sorted([(10 * g,) for g in range(30)], key=repr)
+def test_keep_first_against_all_pairs(real):
+    rows = [(r["doc_id"], r["text"]) for r in real.collect()]
+    kept = simhash.keep_first(real)
+    assert kept.dtypes == real.dtypes
+    assert sorted(r["doc_id"] for r in kept.collect()) == first_of_groups(rows)
 
 
 def test_keep_first_of_odd_rows(odd):
-    kept = [r["doc_id"] for r in copies.keep_first(odd).collect()]
-    assert sorted(k for k in kept if k is not None) == [0, 3, 4, 5, 6, 9, 11, 12, 13, 14, 15]
-    assert kept.count(None) == 2
+    kept = simhash.keep_first(odd)
+    assert kept.columns == odd.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert sorted(i for i in ids if i is not None) == first_of_groups(ODD)
+    assert ids.count(None) == 2
+
 
 
 # --- op3 ----------------------------------------------------------------------------------------
@@ -322,7 +315,7 @@ def test_empty_tables(spark, empty):
     for df in (
         secrets.scan_versions(empty, scratch_path(spark, "ledger")),
         secrets.redact(empty, scratch_path(spark, "ledger")), simhash.near_duplicates(empty),
-        copies.keep_first(empty), sharding.shard_by_bytes(empty, 4), packing.pack(empty, words),
+        simhash.keep_first(empty), sharding.shard_by_bytes(empty, 4), packing.pack(empty, words),
         repair.read_documents(repair.write_files(empty, letters)),
         decontaminate.contamination(empty, benchmark), decontaminate.keep_clean(empty, benchmark),
     ):
@@ -339,4 +332,4 @@ def test_hot_groups(spark):
     found = simhash.near_duplicates(docs, 3, 2)
     assert found.filter("component_id = 0").count() >= 300
     assert secrets.digest(secrets.scan_versions(docs, scratch_path(spark, "ledger"))).filter("n_assign > 0").count() == 300
-    assert copies.keep_first(docs).count() == 601
+    assert simhash.keep_first(docs).count() == 601
