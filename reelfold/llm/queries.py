@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reelfold.llm import (
-    ann, decontaminate, language, packing, pages, repair, secrets, sharding, simhash, toxicity,
+    ann, decontaminate, jaccard, language, negatives, packing, pages, repair, secrets, sharding, simhash,
+    toxicity, whitening,
 )
 from reelfold.llm.tokens import vocabulary_path
 from reelfold.session import scratch_path
@@ -111,3 +112,81 @@ def op10_fm_index(spark, d):
         table(spark, d, "documents"), table(spark, d, "benchmark")
     )
     return decontaminate.digest(found)
+
+
+@query
+def op11_cholesky_jacobi(spark, d):
+    return whitening.whiten(table(spark, d, "embeddings"))
+
+
+@query
+def op12_signature_trees(spark, d):
+    return jaccard.similar_sets(table(spark, d, "documents"))
+
+
+ORACLES["op12_signature_trees"] = r"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ), sets AS (
+        SELECT doc_id, list_distinct(CASE
+            WHEN len(w) = 0 THEN CAST([] AS VARCHAR[])
+            WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+            END) AS s
+        FROM words
+    ), shingles AS (
+        SELECT doc_id, len(s) AS n, hash(unnest(s)) AS h FROM sets
+    ), links AS MATERIALIZED (
+        SELECT a.doc_id AS u, b.doc_id AS v
+        FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n
+        HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+    ), reached(doc_id, r) AS (
+        SELECT doc_id, doc_id FROM sets
+        UNION
+        SELECT reached.doc_id, links.v FROM reached JOIN links ON links.u = reached.r
+    ), least AS (
+        SELECT doc_id, min(r) AS component_id FROM reached GROUP BY doc_id
+    )
+    SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id
+    FROM sets JOIN least ON least.doc_id = sets.doc_id
+"""
+
+
+@query
+def op13_box_tree(spark, d):
+    vectors = table(spark, d, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0, label)
+
+
+ORACLES["op13_box_tree"] = """
+    WITH usable AS (
+        SELECT vec_id,
+            CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND label IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+        SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same,
+            CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+        FROM usable a JOIN usable c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0
+    ), positives AS (
+        SELECT * FROM (
+            SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS place
+            FROM scored WHERE same
+        ) WHERE place <= 5
+    )
+    SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+    FROM (
+        SELECT p.anchor_id, p.other_id AS positive_id, n.other_id AS negative_id,
+            p.score AS positive_score, n.score AS negative_score,
+            row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id) AS rank
+        FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+            AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+    ) WHERE rank <= 3
+"""
