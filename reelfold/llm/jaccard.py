@@ -20,7 +20,7 @@ the other blocks, block by block. Equal sets are one set, and no pair of a famil
 
 Rows: texts without words, and null ones, have no shingles and are linked with nothing; a text of fewer
 words than a shingle is one shingle. Repeated rows are one document, and so are rows of one id with
-different texts: they count as one for the links, each with the size of its own set. Rows without id link
+different texts: what any of them is linked with, all are, each with the size of its own set. Rows without id link
 nothing; they get the component of the documents with the same set, null if there are none. Other columns
 are not read. An empty table gives an empty result.
 """
@@ -348,6 +348,14 @@ def _search(cells: DataFrame, shingle: int, percent: int, bitmaps: int) -> DataF
     )
 
 
+def _sets_of_one_id(keyed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v): ids that have several sets, with the document that stands for each."""
+    known = keyed.filter(F.col("doc_id").isNotNull() & (F.col("size") > 0)).select("doc_id", "digest")
+    several = known.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b"))
+    rows = known.join(several.filter("a <> b").select("doc_id"), "doc_id", "left_semi").distinct()
+    return rows.join(sets.select("digest", F.col("doc_id").alias("v")), "digest").select(F.col("doc_id").alias("u"), "v")
+
+
 def _members(sets: DataFrame, families: DataFrame, block: int) -> DataFrame:
     """(family, doc_id, digest, size, blocks, block): the different sets of every family that has two."""
     rows = sets.join(families.withColumnsRenamed({"node": "doc_id", "root": "family"}), "doc_id")
@@ -418,8 +426,7 @@ def similar_sets(
     if others is not None:
         found = stored(_search(others.join(texts, "doc_id"), shingle, percent, bitmaps), "links-across-blocks")
         links = links.unionByName(found)
-    linked = components(links).withColumnRenamed("node", "doc_id")
-    # a document may have several sets, so what its id is linked with holds for each of them
+    linked = components(links.unionByName(_sets_of_one_id(keyed, sets))).withColumnRenamed("node", "doc_id")
     named = stored(
         sets.join(linked, "doc_id", "left").select("digest", F.coalesce("root", "doc_id").alias("component")),
         "set-components",
