@@ -2,9 +2,9 @@
 
 Sets are compared inside families. Two sets whose similarity reaches 85 % differ in at most 15/185 of
 their sizes together, so if hash ranges cut the shingle space into more sections than that, a section
-with shingles in it is the same in both. Each set has a key for every section (a set near the upper end
-of its size class has those of the next class as well), and sets with a key in common form a family; keys
-meet as two integers, in one shuffle, and each key hands on one link a set. Sets that are no family never
+with shingles in it is the same in both. Each set has keys of its fullest sections, just enough of them (a
+set near the upper end of its size class has those of the next class as well), and sets with a key in
+common form a family; keys meet as two integers, in one shuffle, and each key hands on one link a set. Sets that are no family never
 leave the place they were read at.
 
 A family is searched with a signature tree. Its leaves hold a bitmap of the set's shingles, as far as
@@ -80,19 +80,24 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def most_different(size: int, percent: int) -> int:
-    """Shingles that are in one of two linked sets only, if neither has more than ``size``."""
-    return (100 - percent) * 2 * size // (100 + percent)
+def most_different(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles that are in one of two linked sets only, for the sum of their sizes."""
+    return (100 - percent) * sizes // (100 + percent)
 
 
 def _classes(size: int, percent: int) -> list[int]:
-    """Size classes whose section keys a set has."""
+    """Size classes whose section keys a set has: its own, and the one above if that has partners."""
     own = bisect_right(_BOUNDS, size) - 1
     return [own, own + 1] if size * 100 // percent >= _BOUNDS[own + 1] else [own]
 
 
 def section_keys(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, index of the set of each): two sets that reach ``percent`` have a key in common."""
+    """(keys, index of the set of each): two sets that reach ``percent`` have a key in common.
+
+    A set that may differ from a partner in d sections has keys of its fullest ones only: of all that hold
+    t or more shingles, with the largest t that leaves more than d of them. One of those is the same in the
+    partner. Of two sets with different t, the larger t holds for both.
+    """
     owners, numbers = [], []
     for i, s in enumerate(sets):
         for number in _classes(len(s), percent) if len(s) else []:
@@ -100,18 +105,27 @@ def section_keys(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.nda
             numbers.append(number)
     if not owners:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    limits = np.array([most_different(_BOUNDS[c + 1] - 1, percent) for c in numbers], np.int64)
-    sections = limits + 2 + limits // 64  # a few to spare, since some have no shingle
+    largest = np.array([_BOUNDS[c + 1] - 1 for c in numbers], np.int64)
+    sections = most_different(2 * largest, percent)
+    sections += 2 + sections * 15 // 100  # some to spare, so that thin ones can be left out
     sizes = np.array([len(sets[i]) for i in owners], np.int64)
+    differ = most_different(sizes + np.minimum(largest, sizes * 100 // percent), percent)
     entry = np.repeat(np.arange(len(owners)), sizes)
     tokens = np.concatenate([sets[i] for i in owners])
     section = ((tokens >> np.uint64(32)) * sections[entry].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
     starts = np.flatnonzero(np.r_[True, (entry[1:] != entry[:-1]) | (section[1:] != section[:-1])])
     content = np.add.reduceat(_mixed(tokens), starts)
+    held = np.diff(np.r_[starts, len(tokens)])
     entry, section = entry[starts], section[starts]
+    filled = np.bincount(entry, minlength=len(owners))
+    fullest = held[np.lexsort((-held, entry))]  # of each entry from the fullest section down
+    enough = filled > differ
+    at = np.minimum(np.cumsum(filled) - filled + differ, len(held) - 1)
+    least = np.where(enough, fullest[at], 0)
+    kept = held >= least[entry]
+    entry, section, content = entry[kept], section[kept], content[kept]
     # sets that might differ in every section that is not empty have keys of their empty ones, too
-    few = np.flatnonzero(np.bincount(entry, minlength=len(owners)) <= limits)
-    for e in few.tolist():
+    for e in np.flatnonzero(~enough).tolist():
         blank = np.setdiff1d(np.arange(sections[e]), section[entry == e])
         entry = np.r_[entry, np.full(len(blank), e)]
         section = np.r_[section, blank]
