@@ -343,7 +343,8 @@ res AS (
 
 # --- sources and sinks --------------------------------------------------------------------------
 
-ORACLES["s1_scan_files"] = f"WITH {FILES} SELECT file_id, length FROM f"
+ORACLES["s1_scan_files"] = f"""WITH {FILES}
+SELECT file_id, CASE WHEN doc_id % 10 = 3 THEN 0 ELSE length END AS length FROM f"""
 ORACLES["s2_limit_size"] = f"""WITH {FILES}
 SELECT file_id, length, CASE WHEN length <= 10000 THEN 'accepted' ELSE 'rejected' END AS verdict FROM f"""
 ORACLES["s3_reassemble_chunks"] = f"""WITH {CHUNKS}
@@ -731,12 +732,28 @@ SELECT id, ref, msg, ts FROM msgs JOIN (SELECT DISTINCT id, ref FROM reg) USING
 WHERE event_id % 10 <> 0
 UNION ALL SELECT CAST(NULL AS VARCHAR), '*', msg, ts FROM msgs WHERE event_id % 10 = 0"""
 ORACLES["t6_intake_stream"] = ORACLES["s1_scan_files"]
+ORACLES["t5_route_buffer"] = f"""WITH {REG}, {MSG},
+sent AS (
+  SELECT ref, event_id, id, msg, ts, event_id % (3 + CAST(substr(ref, 10) AS INTEGER) % 9) = 0 AS reads
+  FROM msgs JOIN act USING (id)),
+waits AS (
+  SELECT *, coalesce(sum(CASE WHEN reads THEN 1 ELSE 0 END) OVER (
+    PARTITION BY ref ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM sent),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY ref, g ORDER BY event_id) AS pos,
+    max(CASE WHEN reads THEN event_id END) OVER (PARTITION BY ref, g) AS read_at FROM waits),
+failed AS (SELECT ref, min(event_id) AS failed_at FROM placed WHERE pos = 11 GROUP BY ref)
+SELECT ref, event_id, 'delivered' AS outcome, id, msg, ts FROM placed LEFT JOIN failed USING (ref)
+WHERE read_at IS NOT NULL AND (failed_at IS NULL OR read_at < failed_at)
+UNION ALL SELECT ref, event_id, 'overflow', id, msg, ts FROM placed JOIN failed USING (ref)
+WHERE event_id = failed_at"""
 ORACLES["t6_chunk_stream"] = f"""WITH {CHUNKS}
 SELECT file_id, count(*) AS n_chunks, CAST(sum(octet_length(encode(text))) AS BIGINT) AS length,
   count(DISTINCT chunk_no) = max(chunk_no) + 1 AS complete FROM ch GROUP BY file_id"""
-ORACLES["t7_commit_delay"] = f"""WITH {JOURNAL}
-SELECT event_date, count(*) AS events FROM j
-WHERE ts <= (SELECT max(ts) FROM j) - INTERVAL 2 SECOND GROUP BY event_date"""
+ORACLES["t7_commit_delay"] = f"""WITH {JOURNAL}, newest AS (SELECT tag, max(ts) AS last FROM j GROUP BY tag)
+SELECT tag, event_date, count(*) FILTER (ts <= last - INTERVAL 2 SECOND) AS released,
+  count(*) FILTER (ts > last - INTERVAL 2 SECOND) AS held
+FROM j JOIN newest USING (tag) GROUP BY tag, event_date"""
 ORACLES["x1_fold_events"] = f"""WITH {JOURNAL}, {STATE}
 SELECT persistence_id, file_name, nullif(status, 'none') AS status, n_events
 FROM st JOIN (SELECT persistence_id, count(*) AS n_events FROM j GROUP BY 1) USING (persistence_id)"""

@@ -16,7 +16,7 @@ from reelfold.session import materialize, scratch_path
 from reelfold.sources import events as E, files as FS, json_lines as JL
 from reelfold.sources.requests import scan_requests
 from reelfold.streaming import (
-    intake, progress as SP, projection as PR, routing as SR, state as SS,
+    buffer as SB, intake, progress as SP, projection as PR, routing as SR, state as SS, visibility as SV,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,10 +64,11 @@ def joined(column: str) -> Column:
 
 
 def _written_files(spark, d) -> str:
-    """The documents as files below a fresh folder."""
+    """The documents as files below a fresh folder; every tenth is an upload of no bytes."""
     out = scratch_path(spark, "files")
-    written = FS.write_files(FS.chunk_files(B.files(spark, d), 10_000, keep_empty=True), out)
-    written.write.format("noop").mode("overwrite").save()
+    empty = F.encode(F.lit(""), "UTF-8")
+    uploads = B.files(spark, d).withColumn("content", F.when(F.col("doc_id") % 10 == 3, empty).otherwise(F.col("content")))
+    FS.write_files(FS.chunk_files(uploads, 10_000, keep_empty=True), out, chunks_per_part=None)
     return out
 
 
@@ -110,11 +111,14 @@ def s4_chunk_files(spark, d):
 
 @query
 def s4_read_chunks(spark, d):
-    """Byte-range reads of written files give the same pieces."""
+    """Planned byte ranges of written files give the same pieces."""
     out = scratch_path(spark, "ranges")
-    written = FS.write_files(FS.chunk_files(B.files(spark, d), 10_000), out)
-    pieces = FS.read_chunks(written, 4_000)
-    return pieces.select("file_id", "chunk_no", F.md5(F.hex("data")).alias("digest"))
+    FS.write_files(FS.chunk_files(B.files(spark, d), 10_000), out, chunks_per_part=None)
+    pieces = FS.scan_chunks(spark, out, 4_000, range_bytes=1_000_000)
+    return pieces.select(
+        F.element_at(F.split("path", "/"), -1).alias("file_id"), "chunk_no",
+        F.md5(F.hex("data")).alias("digest"),
+    )
 
 
 @query
@@ -169,11 +173,19 @@ def s10_to_json_lines(spark, d):
 
 @query
 def s11_write_files(spark, d):
-    """Write, read back: the bytes of every file."""
-    found = FS.scan_files(spark, _written_files(spark, d))
-    return found.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_id"), "length",
-        F.md5("content").alias("digest"),
+    """Written in parts of two chunks, sent twice, read back: the bytes of every file."""
+    out = scratch_path(spark, "parts")
+    chunks = FS.chunk_files(B.files(spark, d), 1_000, keep_empty=True)
+    FS.write_files(chunks.unionByName(chunks), out, chunks_per_part=2)
+    place = F.split("path", "/")
+    parts = FS.scan_files(spark, out).select(
+        F.element_at(place, -2).alias("file_id"),
+        F.element_at(F.split(F.element_at(place, -1), "-"), -1).cast("int").alias("chunk_no"),
+        F.col("content").alias("data"),
+    )
+    whole, _ = FS.reassemble_chunks(parts)
+    return whole.select(
+        "file_id", F.length("data").cast("bigint").alias("length"), F.md5("data").alias("digest")
     )
 
 
@@ -1031,11 +1043,49 @@ def t6_chunk_stream(spark, d):
     )
 
 
+@query
+def t5_route_buffer(spark, d):
+    """Messages wait for their consumers' reads: some read often, some fall behind and are failed. Six
+    micro-batches, the fourth of them delivered again at the end."""
+    active = R.active_registrations(B.registrations(spark, d), B.terminated(spark, d))
+    sent = R.route_to(B.messages(spark, d), active).withColumn("ts", F.col("ts").cast("timestamp"))
+    every = 3 + F.substring("ref", 10, 10).cast("int") % 9
+    message = sent.select(
+        "ref", (2 * F.col("event_id")).alias("seq"), F.lit(SB.MESSAGE).alias("kind"), "id", "msg", "ts",
+        F.lit(None).cast("int").alias("take"),
+    )
+    read = sent.filter(F.col("event_id") % every == 0).select(
+        "ref", (2 * F.col("event_id") + 1).alias("seq"), F.lit(SB.READ).alias("kind"),
+        *[F.lit(None).cast(k).alias(c) for c, k in (("id", "string"), ("msg", "string"), ("ts", "timestamp"), ("take", "int"))],
+    )
+    events = materialize(message.unionByName(read), "buffer-events")
+    path, out = scratch_path(spark, "buffer-in"), scratch_path(spark, "buffer-out")
+    last = events.agg(F.max("seq")).first()[0] or 0
+    for k in (0, 1, 2, 3, 4, 3):  # a file each: the stream takes them in the order they were written
+        part = events.filter(F.floor(F.col("seq") * 5 / F.lit(last + 1)) == k)
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "1").parquet(path)
+    SB.buffer_stream(stream, out, scratch_path(spark, "offsets")).awaitTermination()
+    return SB.read_deliveries(spark, out).select(
+        "ref", F.expr("seq div 2").alias("event_id"), "outcome", "id", "msg",
+        F.col("ts").cast("timestamp_ntz").alias("ts"),
+    )
+
+
 @query
 def t7_commit_delay(spark, d):
-    stream = PR.commit_delay(PR.journal_stream(spark, stream_journal(spark, d)))  # one batch: files have no order
-    out = collect_stream(stream.select("persistence_id", "seq_nr", "event_date"), "append")
-    return spark.read.parquet(out).groupBy("event_date").agg(F.count(F.lit(1)).alias("events"))
+    """Shuffled files, one a micro-batch, some events twice: nothing is lost, by tag and day."""
+    path, out = scratch_path(spark, "shuffled-journal"), scratch_path(spark, "delayed")
+    events = B.journal(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    events.repartition(5, F.xxhash64("persistence_id", "seq_nr")).write.parquet(path)
+    events.filter(F.col("seq_nr") % 7 == 0).coalesce(1).write.mode("append").parquet(path)
+    SV.publish_delayed(PR.journal_stream(spark, path, 1), out, scratch_path(spark, "offsets")).awaitTermination()
+    out_now = SV.visible_events(spark, out).unionByName(SV.late_events(spark, out))
+    seen = out_now.select("tag", "event_date", F.lit(1).alias("released"), F.lit(0).alias("held"))
+    held = SV.held_events(spark, out).select("tag", "event_date", F.lit(0).alias("released"), F.lit(1).alias("held"))
+    return seen.unionByName(held).groupBy("tag", "event_date").agg(
+        F.sum("released").alias("released"), F.sum("held").alias("held")
+    )
 
 
 @query

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import posixpath
 import uuid
 
 import pyarrow as pa
@@ -12,22 +11,44 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from reelfold import schemas as S
 from reelfold.operators.skew import bounded_side
+from reelfold.sources import file_source as SRC
 
 # Bytes of one file that may meet in one row; larger files stay chunk rows.
 ASSEMBLE_BYTES = 256 * 1024 * 1024
 ASSEMBLE_CHUNKS = 100_000
+PART_CHUNKS = 1024  # chunks of a file that one task writes
+_BATCH_BYTES = 4 * 1024 * 1024
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """Files below ``path``; content is read only where it is selected.
+    """Files below ``path``, those of no bytes included; content is read only where it is selected.
 
-    Spark's file listing leaves out files of no bytes.
+    Spark's own listing leaves out empty files, so they come from one of their own, folder by folder.
+    ``path`` is a URI, or a path of the local file system.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    empty = spark.read.format(SRC.EMPTY_FILES).option("path", path)
     if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).withColumnRenamed("modificationTime", "modification_time")
+        reader, empty = reader.option("pathGlobFilter", glob), empty.option("glob", glob)
+    SRC.register(spark)
+    filled = reader.load(path).withColumnRenamed("modificationTime", "modification_time")
+    return filled.unionByName(empty.load())
+
+
+def scan_chunks(
+    spark: SparkSession, path: str, chunk_bytes: int, range_bytes: int = SRC.RANGE_BYTES,
+    keep_empty: bool = False, glob: str | None = None,
+) -> DataFrame:
+    """``path, chunk_no, length, data`` of the files below ``path``, without a whole file in a row.
+
+    Contiguous ranges of about ``range_bytes`` are planned from the listing: each is opened once, by one
+    task, and nothing is shuffled.
+    """
+    SRC.register(spark)
+    reader = spark.read.format(SRC.FILE_RANGES).option("path", path).option("chunk_bytes", str(chunk_bytes))
+    reader = reader.option("range_bytes", str(range_bytes)).option("keep_empty", str(keep_empty).lower())
+    return (reader.option("glob", glob) if glob else reader).load()
 
 
 def limit_size(df: DataFrame, max_bytes: int = S.MAX_UPLOAD_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -58,40 +79,40 @@ def chunk_files(
     )
 
 
-def read_chunks(listing: DataFrame, chunk_bytes: int, tasks: int | None = None) -> DataFrame:
+def read_chunks(
+    listing: DataFrame, chunk_bytes: int, tasks: int | None = None, range_bytes: int = SRC.RANGE_BYTES
+) -> DataFrame:
     """Chunk rows of files given as ``(file_id, path, length)`` without a whole file in a row.
 
-    Byte ranges are planned from the lengths and read by range, so one huge file is read by many
-    tasks.
+    Ranges of consecutive chunks are planned from the lengths and spread over tasks, so one huge file is
+    read by many; each range is opened once. What is shuffled is the ranges, not the bytes.
     """
+    step = max(1, range_bytes // chunk_bytes)
     last = (F.ceil(F.col("length") / F.lit(chunk_bytes)) - 1).cast("bigint")
     ranges = listing.select(
-        "file_id", "path",
-        F.explode(F.when(last >= 0, F.sequence(F.lit(0).cast("bigint"), last))).alias("chunk_no"),
+        "file_id", "path", last.alias("last"),
+        F.explode(F.when(last >= 0, F.sequence(F.lit(0).cast("bigint"), last, F.lit(step).cast("bigint"))))
+        .alias("first"),
     )
-    keys = ["path", "chunk_no"]
+    keys = ["path", "first"]
     spread = ranges.repartition(tasks, *keys) if tasks else ranges.repartition(*keys)
     fields = to_arrow_schema(S.struct_type(S.CHUNKS))
 
     def run(batches):
-        opened_path, source = None, None
         for batch in batches:
             for row in batch.to_pylist():
-                if row["path"] != opened_path:
-                    if source is not None:
-                        source.close()
-                    system, name = pafs.FileSystem.from_uri(row["path"])
-                    opened_path, source = row["path"], system.open_input_file(name)
-                source.seek(row["chunk_no"] * chunk_bytes)
-                yield pa.RecordBatch.from_pylist(
-                    [{
-                        "file_id": row["file_id"], "chunk_no": row["chunk_no"],
-                        "data": source.read(chunk_bytes),
-                    }],
-                    schema=fields,
-                )
-        if source is not None:
-            source.close()
+                system, name = pafs.FileSystem.from_uri(row["path"])
+                rows, held = [], 0
+                with system.open_input_file(name) as source:
+                    source.seek(row["first"] * chunk_bytes)
+                    for number in range(row["first"], min(row["last"], row["first"] + step - 1) + 1):
+                        rows.append({"file_id": row["file_id"], "chunk_no": number, "data": source.read(chunk_bytes)})
+                        held += chunk_bytes
+                        if held >= _BATCH_BYTES:
+                            yield pa.RecordBatch.from_pylist(rows, schema=fields)
+                            rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=fields)
 
     return spread.mapInArrow(run, S.CHUNKS)
 
@@ -208,53 +229,31 @@ def _assemble(chunks: DataFrame) -> DataFrame:
 
 
 def write_files(
-    chunks: DataFrame, out_dir: str, tasks: int | None = None, chunks_per_part: int | None = None
+    chunks: DataFrame, out_dir: str, tasks: int | None = None, chunks_per_part: int | None = PART_CHUNKS
 ) -> DataFrame:
-    """Write files to ``out_dir`` in chunk order; result ``(file_id, path, length)``.
+    """Write files below ``out_dir`` in chunk order, all or none; result ``(file_id, path, length)``.
 
-    A file becomes ``out_dir/<file_id>``. With ``chunks_per_part`` it becomes a folder of numbered
-    parts instead, which different tasks write, for files too large for one task. Rows arrive
-    sorted and are appended as they come, so memory holds one batch. Bytes go to a name of this
-    attempt, renamed when done. ``out_dir`` is a URI or path that all executors share.
+    A file becomes a folder ``<file_id>`` of numbered parts of ``chunks_per_part`` chunks, which different
+    tasks write; with None it becomes one file, written by one task. Bytes are shuffled once; a chunk that
+    was sent again is dropped as its task writes, so memory holds one batch. Everything is in a new folder
+    ``run-…`` that appears when all tasks are done: a failed job leaves nothing to list. ``out_dir`` is a
+    URI or path that all executors share.
     """
-    part = F.lit(0).cast("bigint")
-    if chunks_per_part:
-        part = F.floor(F.col("chunk_no") / chunks_per_part)
-    ordered = distinct_chunks(chunks).withColumn("_part", part)
-    keys = ["file_id", "_part"]
-    spread = ordered.repartition(tasks, *keys) if tasks else ordered.repartition(*keys)
-    schema = "file_id string, path string, length bigint"
-    fields = to_arrow_schema(S.struct_type(schema))
-
-    def run(batches):
-        system, base = pafs.FileSystem.from_uri(out_dir)
-        system.create_dir(base, recursive=True)
-        current, temp, sink, length = None, None, None, 0
-
-        def finish():
-            sink.close()
-            file_id, number = current
-            target = posixpath.join(base, file_id)
-            if chunks_per_part:
-                system.create_dir(target, recursive=True)
-                target = posixpath.join(target, f"part-{number:08d}")
-            system.move(temp, target)
-            row = {"file_id": file_id, "path": target, "length": length}
-            return pa.RecordBatch.from_pylist([row], schema=fields)
-
-        for batch in batches:
-            ids, numbers, data = (batch.column(c) for c in ("file_id", "_part", "data"))
-            for i in range(batch.num_rows):
-                group = (ids[i].as_py(), numbers[i].as_py())
-                if group != current:
-                    if current is not None:
-                        yield finish()
-                    current, length = group, 0
-                    temp = posixpath.join(base, f".{uuid.uuid4().hex}")
-                    sink = system.open_output_stream(temp)
-                sink.write(data[i].as_buffer())
-                length += len(data[i].as_buffer())
-        if current is not None:
-            yield finish()
-
-    return spread.sortWithinPartitions("file_id", "_part", "chunk_no").mapInArrow(run, schema)
+    spark = chunks.sparkSession
+    SRC.register(spark)
+    run = uuid.uuid4().hex
+    part = F.floor(F.col("chunk_no") / chunks_per_part) if chunks_per_part else F.lit(0)
+    rows = chunks.select(
+        F.col("file_id").cast("string").alias("file_id"), part.cast("bigint").alias("part"),
+        F.col("chunk_no").cast("int").alias("chunk_no"), "data",
+    )
+    keys = ["file_id", "part"]
+    spread = rows.repartition(tasks, *keys) if tasks else rows.repartition(*keys)
+    (
+        spread.sortWithinPartitions("file_id", "part", "chunk_no")
+        .write.format(SRC.FILE_PARTS).mode("append")
+        .option("path", out_dir).option("run", run).option("parts", str(bool(chunks_per_part)).lower())
+        .save()
+    )
+    found = spark.read.schema("file_id string, part bigint, path string, length bigint").json(f"{out_dir}/_files/run-{run}")
+    return found.select("file_id", F.concat(F.lit(f"{out_dir.rstrip('/')}/run-{run}/"), "path").alias("path"), "length")

@@ -5,21 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reelfold import schemas as S
+from reelfold.sources.file_source import EMPTY_FILES, register
 from reelfold.sources.files import BINARY_FILE
 
 
 def intake_stream(
     spark: SparkSession, path: str, max_files_per_trigger: int = 1000, glob: str | None = None
 ) -> DataFrame:
-    """New files below ``path``; ``max_files_per_trigger`` is the back-pressure."""
+    """New files below ``path``, those of no bytes included; ``max_files_per_trigger`` is the back-pressure.
+
+    Empty files come from a listing of their own, since Spark's leaves them out; they have no bytes to hold
+    back. Each of the two keeps its own offset. A file is taken as it is found, so uploads should be
+    written under another name (a leading ``_`` or ``.``) and renamed when they are complete.
+    """
     reader = (
         spark.readStream.format("binaryFile").schema(S.struct_type(BINARY_FILE))
         .option("maxFilesPerTrigger", str(max_files_per_trigger))
         .option("recursiveFileLookup", "true")
     )
+    empty = spark.readStream.format(EMPTY_FILES).option("path", path)
     if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).withColumnRenamed("modificationTime", "modification_time")
+        reader, empty = reader.option("pathGlobFilter", glob), empty.option("glob", glob)
+    register(spark)
+    filled = reader.load(path).withColumnRenamed("modificationTime", "modification_time")
+    return filled.unionByName(empty.load())
 
 
 def chunk_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
