@@ -323,6 +323,11 @@ def _distinct_in_batches(docs: DataFrame) -> DataFrame:
     return in_batches(docs, compute, "doc_id bigint, text string")
 
 
+def _with_texts(cells: DataFrame, texts: DataFrame) -> DataFrame:
+    """A merge join at every size: texts of a hot id are split, and cells are as many as near copies."""
+    return texts.join(cells.hint("merge"), "doc_id")
+
+
 def _search(cells: DataFrame, shingle: int, percent: int, bitmaps: int) -> DataFrame:
     """(u, v) links that connect what is linked within each cell of (family, cell, label, doc_id, digest,
     text); rows of a cell with equal ``label`` are connected already."""
@@ -435,10 +440,10 @@ def similar_sets(
     cells = members.select(
         "family", F.explode(cell.cast("array<bigint>")).alias("cell"), F.col("doc_id").alias("label"), "doc_id", "digest"
     )
-    links = stored(_search(cells.join(texts, "doc_id"), shingle, percent, bitmaps), "links-in-blocks")
+    links = stored(_search(_with_texts(cells, texts), shingle, percent, bitmaps), "links-in-blocks")
     others = _across_blocks(members, links, block)
     if others is not None:
-        found = stored(_search(others.join(texts, "doc_id"), shingle, percent, bitmaps), "links-across-blocks")
+        found = stored(_search(_with_texts(others, texts), shingle, percent, bitmaps), "links-across-blocks")
         links = links.unionByName(found)
     linked = components(links.unionByName(_sets_of_one_id(keyed, sets))).withColumnRenamed("node", "doc_id")
     named = stored(
