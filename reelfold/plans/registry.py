@@ -13,7 +13,7 @@ from reelfold.operators import (
 )
 from reelfold.plans import bindings as B
 from reelfold.session import materialize, scratch_path
-from reelfold.sources import events as E, files as FS, json_lines as JL
+from reelfold.sources import commits as CM, events as E, files as FS, json_lines as JL
 from reelfold.sources.requests import scan_requests
 from reelfold.streaming import (
     buffer as SB, intake, progress as SP, projection as PR, routing as SR, state as SS, visibility as SV,
@@ -123,9 +123,12 @@ def s4_read_chunks(spark, d):
 
 @query
 def s5_append_events(spark, d):
-    path = scratch_path(spark, "journal")
-    E.append_events(B.journal(spark, d), path)
-    return E.read_journal(spark, path).select(
+    """Two batches of one writer, both sent twice: each event once, numbers going on."""
+    path, events = scratch_path(spark, "journal"), B.journal_events(spark, d)
+    cut = F.lit("2024-01-15").cast("timestamp_ntz")
+    for batch, part in ((0, F.col("ts") < cut), (0, F.col("ts") < cut), (1, F.col("ts") >= cut), (1, F.col("ts") >= cut)):
+        CM.append_once(events.filter(part), path, "intake", batch)
+    return CM.read_committed(spark, path).select(
         "persistence_id", "seq_nr", "event_date", "tag", "event_type",
         F.col("file.file_name").alias("file_name"), "status", "source_file_id",
     )
