@@ -198,6 +198,19 @@ def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def timed_registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as consumers that come and go: minutes to weeks, some for good, some for no time."""
+    start = F.col("c_custkey") * 7919 % 43_200
+    minutes = F.col("c_custkey") * 104_729 % 20_160 - 60
+    at = lambda m: F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), m.cast("int"))
+    return table(spark, sf_dir, "customer").select(
+        uuid_shaped(F.col("c_custkey") % 20).alias("id"),
+        F.concat(F.lit("consumer-"), F.col("c_custkey") % 90).alias("ref"),
+        at(start).alias("registered_at"),
+        F.when(F.col("c_custkey") % 7 > 0, at(start + minutes)).alias("terminated_at"),
+    )
+
+
 def terminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("consumer-"), F.col("s_suppkey") * 3).alias("ref")

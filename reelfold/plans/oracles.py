@@ -455,6 +455,10 @@ ORACLES["f1_search"] = f"""WITH {JOURNAL}, {CATALOG}
 SELECT seq_nr, {FILE}, status FROM c
 WHERE contains(file_id, 'mp') OR contains(file_name, 'mp') OR contains(content_type, 'mp')
   OR contains(full_path, 'mp') OR contains(status, 'mp')"""
+ORACLES["f1_search_indexed"] = f"""WITH {JOURNAL}, {CATALOG}
+SELECT key, seq_nr, {FILE}, status FROM c, (VALUES ('4'), ('mp'), ('ogg'), ('clip-12'), ('%'), ('nowhere')) k(key)
+WHERE contains(file_id, key) OR contains(file_name, key) OR contains(content_type, key)
+  OR contains(full_path, key) OR contains(status, key)"""
 ORACLES["f1_search_literal"] = f"""
 SELECT key, url AS file_name, 'pages' AS full_path, 'text/html' AS content_type,
   CAST(0 AS INTEGER) AS file_status, {uid('page_id')} AS file_id
@@ -510,6 +514,18 @@ ORACLES["j4_inbox"] = f"""WITH {REG}, {MSG}
 SELECT event_id, msg, ref FROM msgs JOIN act USING (id) WHERE ref = 'consumer-1'
 UNION ALL SELECT event_id, msg, ref FROM msgs CROSS JOIN act WHERE ref = 'consumer-1'"""
 ORACLES["j5_active_registrations"] = f"WITH {REG} SELECT id, ref FROM act"
+TIMED = f"""
+timed AS (
+  SELECT {uid('c_custkey % 20')} AS id, 'consumer-' || (c_custkey % 90) AS ref,
+    TIMESTAMP '2024-01-01' + to_minutes(c_custkey * 7919 % 43200) AS a,
+    CASE WHEN c_custkey % 7 > 0 THEN TIMESTAMP '2024-01-01'
+      + to_minutes(c_custkey * 7919 % 43200 + c_custkey * 104729 % 20160 - 60) END AS b
+  FROM customer)"""
+ORACLES["j5_active_at"] = f"""WITH {MSG}, {TIMED}
+SELECT DISTINCT event_id, ref FROM msgs JOIN timed ON msgs.id = timed.id AND a <= ts AND (b IS NULL OR ts < b)"""
+ORACLES["j4_recipients_at"] = f"""WITH {TIMED}
+SELECT event_id, (SELECT count(DISTINCT id || ref) FROM timed
+  WHERE a <= events.ts AND (b IS NULL OR events.ts < b)) AS recipients FROM events"""
 ORACLES["j6_attempts_with_outcome"] = f"""
 SELECT {uid('o_orderkey')} AS file_id, CASE WHEN p_partkey IS NULL THEN 'inprogress'
   WHEN p_size > 25 THEN 'complete' ELSE 'failed' END AS status

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reelfold import schemas as S
 from reelfold.functions import guards as G, ids as I, messages as M, names as N, variants as V
 from reelfold.operators import (
-    catalog as C, convert as P, jobs, journal as J, media, routing as R, validate as W,
+    catalog as C, convert as P, intervals as IV, jobs, journal as J, media, routing as R,
+    substring_index as SI, validate as W,
 )
 from reelfold.plans import bindings as B
 from reelfold.session import materialize, scratch_path
@@ -310,6 +312,18 @@ def f1_search(spark, d):
     return C.search(_catalog(spark, d), "mp").select("seq_nr", *flat_file(), "status")
 
 
+@query
+def f1_search_indexed(spark, d):
+    """Keys of one and more characters, by the index of the catalogue's files."""
+    path = scratch_path(spark, "catalogue")
+    SI.append_catalog(_catalog(spark, d), path, 16)
+    found = [
+        SI.search_indexed(spark, path, key).select(F.lit(key).alias("key"), "seq_nr", *flat_file(), "status")
+        for key in ("4", "mp", "ogg", "clip-12", "%", "nowhere")
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query
 def f1_search_literal(spark, d):
     """``%`` is an ordinary character, not a wildcard."""
@@ -468,6 +482,18 @@ def j5_active_registrations(spark, d):
     )
 
 
+@query
+def j5_active_at(spark, d):
+    """Deliveries to who is registered when the message is sent."""
+    return IV.route_at(B.messages(spark, d), B.timed_registrations(spark, d)).select("event_id", "ref")
+
+
+@query
+def j4_recipients_at(spark, d):
+    notices = _notices(spark, d).select("event_id", "ts")
+    return IV.recipients_at(notices, B.timed_registrations(spark, d)).select("event_id", "recipients")
+
+
 @query
 def j6_attempts_with_outcome(spark, d):
     attempts = B.table(spark, d, "orders").select(I.uuid_shaped("o_orderkey").alias("file_id"))
