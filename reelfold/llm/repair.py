@@ -3,7 +3,8 @@
 Documents are dealt into shards by ascending id (a range shuffle), sorted, tokenised and written. A
 shard is a run of segments of about ``SEGMENT_IDS`` ids that end at document ends. A segment holds a
 grammar: frequent neighbouring ids are replaced by a new symbol (a nonterminal), round after round,
-until no pair is frequent enough. A round takes the ``ROUND_RULES`` most frequent pairs at once; of
+for ``ROUNDS`` rounds or until no pair is frequent enough. So a rule expands to 2**ROUNDS ids at most,
+and frequent pairs may be left. A round takes the ``ROUND_RULES`` most frequent pairs at once; of
 overlapping occurrences the left one is replaced. The rules, the length that each rule expands to and
 the position at every ``STEP``-th symbol are stored, so any range of ids is decoded without the rest.
 
