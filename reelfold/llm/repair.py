@@ -3,17 +3,17 @@
 Documents are dealt into shards by ascending id (a range shuffle), sorted, tokenised and written. A
 shard is a run of segments of about ``SEGMENT_IDS`` ids that end at document ends. A segment holds a
 grammar: frequent neighbouring ids are replaced by a new symbol (a nonterminal), round after round,
-for ``ROUNDS`` rounds or until no pair is frequent enough. So a rule expands to 2**ROUNDS ids at most,
-and frequent pairs may be left. A round takes the ``ROUND_RULES`` most frequent pairs at once; of
-overlapping occurrences the left one is replaced. The rules, the length that each rule expands to and
+until no pair occurs ``MIN_COUNT`` times without overlap, from where on a rule pays for its own bytes.
+A round takes up to ``ROUND_RULES`` of the most frequent pairs at once; of overlapping occurrences the
+left one is replaced, and pairs that lost too many to others wait for a later round. The rules, the length that each rule expands to and
 the position at every ``STEP``-th symbol are stored, so any range of ids is decoded without the rest.
 
 The files are rows of a Parquet table (shard, segment, before, doc_ids, sizes, grammar), written
 through Spark's committer: a task that is run again replaces its own rows only. Bytes of ``grammar``,
-all little-endian: magic ``RPG1``; unsigned 32-bit integers first nonterminal, rules, rounds,
+all little-endian: magic ``RPG2``; unsigned 32-bit integers first nonterminal, rules, rounds,
 symbols, bytes a symbol (2 or 4), STEP; unsigned 64-bit number of ids; then rules of each round
-(unsigned 32-bit); left and right side of each rule and its expanded length (three unsigned 32-bit
-arrays); positions (unsigned 64-bit); symbols.
+(unsigned 32-bit); left and right side of each rule (as wide as symbols) and its expanded length
+(unsigned 32-bit); positions (unsigned 64-bit); symbols.
 
 Rows: null text counts as empty and has its end id; repeated ids are ordered by a hash of their text,
 equal rows stand side by side; null ids come first; other columns are not read. An empty table gives
@@ -36,8 +36,7 @@ from reelfold.llm.tokens import encoder, text_runs
 
 SEGMENT_IDS = 500_000
 ROUND_RULES = 2048
-ROUNDS = 4
-MIN_COUNT = 4  # a rule costs three numbers, so a rarer pair is not worth one
+MIN_COUNT = 5  # a rule takes 8 bytes at two bytes a symbol, and each use of it saves 2
 STEP = 256
 _HEAD = struct.Struct("<4s6IQ")
 _HASH_BITS = 18
@@ -51,15 +50,28 @@ def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return ((mixed >> 7) & ((1 << _HASH_BITS) - 1)).astype(np.int32)
 
 
+def _apart(symbols: np.ndarray) -> np.ndarray:
+    """Which pairs count: in a run of one symbol every second one, so that none overlaps another of its kind."""
+    same = symbols[:-1] == symbols[1:]
+    places = np.arange(len(same))
+    before = np.maximum.accumulate(np.where(same, -1, places))  # the last pair of two symbols
+    return ~same | ((places - before) % 2 == 1)
+
+
 def _frequent(symbols: np.ndarray, slot: np.ndarray, most: int, least: int) -> np.ndarray:
     """Up to ``most`` pairs (left << 32 | right) that occur ``least`` times or more, no two of one slot."""
     counts = np.bincount(slot, minlength=1 << _HASH_BITS)
     # a pair's slot is at least as full as the pair is frequent
     floor = max(least, int(np.partition(counts, -2 * most)[-2 * most]))
-    at = np.flatnonzero((counts >= floor)[slot])
-    pairs, found = np.unique(symbols[at] << 32 | symbols[at + 1], return_counts=True)
-    order = np.argsort(-found, kind="stable")
-    pairs = pairs[order[found[order] >= least]]
+    apart = _apart(symbols)
+    while True:
+        at = np.flatnonzero((counts >= floor)[slot] & apart)
+        pairs, found = np.unique(symbols[at] << 32 | symbols[at + 1], return_counts=True)
+        order = np.argsort(-found, kind="stable")
+        pairs = pairs[order[found[order] >= least]]
+        if len(pairs) or floor == least:
+            break
+        floor = least  # full slots of rare pairs hid a less full one
     own = _slots(pairs >> 32, pairs & 0xFFFFFFFF)
     first = np.unique(own, return_index=True)[1]  # the most frequent of each slot
     return pairs[np.sort(first)[:most]]
@@ -85,24 +97,24 @@ def _occurrences(
     return at[taken], which[taken]
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, round_rules: int = ROUND_RULES) -> bytes:
+def compress(ids: np.ndarray, round_rules: int = ROUND_RULES) -> bytes:
     """The grammar of ``ids`` (unsigned 32-bit integers below 2**31) in the format above."""
     symbols = ids.astype(np.int64)
     first = int(symbols.max()) + 1 if len(symbols) else 0
     lefts, rights, per_round = [], [], []
     n_rules = 0
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         slot = _slots(symbols[:-1], symbols[1:])
         pairs = _frequent(symbols, slot, round_rules, MIN_COUNT)
         if not len(pairs):
             break
         at, which = _occurrences(symbols, slot, pairs)
         used = np.bincount(which, minlength=len(pairs))
-        kept = used >= MIN_COUNT - 1
-        if not kept.any():
-            break
+        kept = used >= MIN_COUNT
+        if not kept.any():  # they overlap each other: the most frequent one by itself keeps its count
+            pairs = pairs[:1]
+            at, which = _occurrences(symbols, slot, pairs)
+            kept = np.ones(1, bool)
         number = np.cumsum(kept) - 1
         at, which = at[kept[which]], which[kept[which]]
         lefts.append(pairs[kept] >> 32)
@@ -125,9 +137,9 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, round_rules: int = ROUND_RUL
     positions = np.r_[0, ends][:-1][::STEP] if len(symbols) else ends
     width = 2 if first + n_rules <= 1 << 16 else 4
     return b"".join([
-        _HEAD.pack(b"RPG1", first, n_rules, len(per_round), len(symbols), width, STEP, len(ids)),
-        np.array(per_round, "<u4").tobytes(), left.astype("<u4").tobytes(),
-        right.astype("<u4").tobytes(), sizes[first:].astype("<u4").tobytes(),
+        _HEAD.pack(b"RPG2", first, n_rules, len(per_round), len(symbols), width, STEP, len(ids)),
+        np.array(per_round, "<u4").tobytes(), left.astype(f"<u{width}").tobytes(),
+        right.astype(f"<u{width}").tobytes(), sizes[first:].astype("<u4").tobytes(),
         positions.astype("<u8").tobytes(), symbols.astype(f"<u{width}").tobytes(),
     ])
 
@@ -137,7 +149,7 @@ class Grammar:
 
     def __init__(self, data: bytes):
         magic, self.first, rules, rounds, n, width, self.step, self.n_ids = _HEAD.unpack_from(data)
-        if magic != b"RPG1":
+        if magic != b"RPG2":
             raise ValueError("not a grammar")
         at = _HEAD.size
 
@@ -148,7 +160,8 @@ class Grammar:
             return found
 
         self.rounds = take(rounds, "<u4").astype(np.int64)
-        self.left, self.right = take(rules, "<u4").astype(np.int64), take(rules, "<u4").astype(np.int64)
+        sides = f"<u{width}"
+        self.left, self.right = take(rules, sides).astype(np.int64), take(rules, sides).astype(np.int64)
         self.sizes = take(rules, "<u4").astype(np.int64)
         self.positions = take(-(-n // self.step), "<u8").astype(np.int64)
         self.symbols = take(n, f"<u{width}")

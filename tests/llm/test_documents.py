@@ -243,6 +243,29 @@ def test_grammar_files(request, which, segment):
     )
 
 
+def test_grammar_leaves_no_pair_that_pays():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 900, 700)
+    for ids in (
+        np.zeros(5000), rng.integers(0, 3, 4000), rng.zipf(1.3, 20_000) % 5000,
+        np.concatenate([np.r_[passage, rng.integers(0, 900, 50)] for _ in range(30)]),
+        np.tile([1, 1, 1, 1, 1, 1, 2], 5), np.repeat(rng.integers(0, 40, 900), rng.integers(1, 9, 900)),
+    ):
+        ids = ids.astype("<u4")
+        for batch in (2048, 3):
+            grammar = repair.Grammar(repair.compress(ids, round_rules=batch))
+            assert (grammar.ids() == ids).all()
+            counts, last = {}, {}
+            symbols = grammar.symbols.tolist()
+            for at, pair in enumerate(zip(symbols, symbols[1:])):
+                if last.get(pair) != at - 1:
+                    counts[pair], last[pair] = counts.get(pair, 0) + 1, at
+            assert max(counts.values(), default=0) < repair.MIN_COUNT
+    # a passage that is repeated folds into one symbol
+    whole = repair.Grammar(repair.compress(np.tile(passage, 30).astype("<u4")))
+    assert whole.sizes.max() >= 700
+
+
 def test_grammar_random_access():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 3, 1000, 5000):
