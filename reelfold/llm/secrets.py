@@ -54,6 +54,13 @@ _PEM = (
     r"(?:(?:\s|\\[nr])++(?:[A-Za-z0-9+/]{4}){0,4}(?:[A-Za-z0-9+/]{2,4}=?=?)(?=[\s\\\"']|\Z))?)?)"
 )
 
+# tries start at the start of a run of the token's characters only (after a written line end as well), and no
+# part gives back what it took, so long runs of "eyJ" take linear time
+_JWT = (
+    r"(?:(?<![A-Za-z0-9_-])|(?<=\\[nrt]))"
+    r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
+)
+
 #: The patterns and lengths that the base kinds are defined by, in their order, then the
 #: kinds that this scanner adds.
 RULES = (
@@ -65,7 +72,7 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", least=16),
     Rule("hex", r"[0-9a-f]{32,}", least=32),
     Rule("pem", _PEM, least=1, base=False),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", least=1, base=False),
+    Rule("jwt", _JWT, least=1, base=False),
 )
 
 
