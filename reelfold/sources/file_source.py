@@ -1,8 +1,9 @@
 """Data sources for file bytes: empty files, planned byte ranges, and a writer that commits as one.
 
 Spark's own file sources list no files of 0 bytes, cut no binary file into ranges and commit no file of a
-caller's name. These three fill that in; register them with :func:`register`. A path without a scheme is
-of the local file system; names that start with ``_`` or ``.`` are not listed.
+caller's name. These three fill that in; register them with :func:`register`. :func:`list_files` lists many
+files in tasks. A path without a scheme is of the local file system; names that start with ``_`` or ``.``
+are not listed.
 """
 
 from __future__ import annotations
@@ -18,18 +19,22 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition,
     WriterCommitMessage,
 )
 
+from reelfold.session import scratch_path
+
 EMPTY_FILES, FILE_RANGES, FILE_PARTS = "reelfold_empty_files", "reelfold_file_ranges", "reelfold_file_parts"
 LISTED = "path string, modification_time timestamp, length bigint, content binary"
 RANGED = "path string, chunk_no int, length bigint, data binary"
 PARTED = "file_id string, part bigint, chunk_no int, data binary"
 RANGE_BYTES = 64 * 1024 * 1024  # read by one task
 LISTING_TASKS = 1000
+FOLDERS_PER_TASK = 2000
+FILES_PER_TASK = 20_000  # small files read by one task
 _BATCH_BYTES = 4 * 1024 * 1024
 _LISTED = pa.schema([
     ("path", pa.string()), ("modification_time", pa.timestamp("us", "UTC")), ("length", pa.int64()),
@@ -90,6 +95,119 @@ def folders(uri: str, tasks: int = LISTING_TASKS) -> list[Folders]:
     return [Folders([f"/flat:{base}"]), *map(Folders, dealt)]
 
 
+# --- listing in tasks ---------------------------------------------------------------------------
+
+
+def _matches(glob: str) -> re.Pattern:
+    """A file name pattern as Spark's ``pathGlobFilter`` reads it: ``* ? [a-z] [^a] {a,b}``, ``\\`` escapes."""
+    out, depth, at = "", 0, 0
+    while at < len(glob):
+        c = glob[at]
+        if c == "\\" and at + 1 < len(glob):
+            at += 1
+            out += re.escape(glob[at])
+        elif c == "[" and "]" in glob[at + 2 :]:
+            end = glob.index("]", at + 2)
+            body = glob[at + 1 : end].replace("\\", "\\\\").replace("[", "\\[")
+            out += f"[^{body[1:]}]" if body[0] in "^!" else f"[{body}]"
+            at = end
+        elif c in "{}" or (c == "," and depth):
+            depth += {"{": 1, "}": -1, ",": 0}[c]
+            out += {"{": "(?:", "}": ")", ",": "|"}[c]
+        else:
+            out += {"*": ".*", "?": "."}.get(c) or re.escape(c)
+        at += 1
+    return re.compile(out, re.DOTALL)
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over."""
+    return (name[:1] == "_" and "=" not in name) or name[:1] == "." or name.endswith("._COPYING_")
+
+
+def list_files(spark: SparkSession, uri: str, glob: str | None = None) -> tuple[DataFrame, int]:
+    """``path, modification_time, length`` of the files below ``uri`` as a stored table, and a number of
+    tasks for reading them.
+
+    One job a level of folders: its tasks list some folders each, alone, and write what they find. Folders
+    and files stay in tables; the driver gets their counts.
+    """
+    name_of = _matches(glob) if glob else None
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = _opened(uri)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                infos = [i for i in system.get_file_info(pafs.FileSelector(folder)) if not _hidden(i.base_name)]
+                yield from rows(infos)
+
+    def rows(infos: list[pafs.FileInfo]) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(infos), 10_000):
+            found = []
+            for i in infos[at : at + 10_000]:
+                if i.type == pafs.FileType.Directory:
+                    found.append((i.path, None, None))
+                elif i.type == pafs.FileType.File and (name_of is None or name_of.fullmatch(i.base_name)):
+                    found.append((_named(uri, i.path), i.mtime_ns // 1000, i.size))
+            if found:
+                path, time, size = zip(*found)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(path), pa.array(time, pa.int64()).cast(_LISTED.field(1).type), pa.array(size, pa.int64())],
+                    names=_LISTED.names[:3],
+                )
+
+    schema = LISTED.rsplit(",", 1)[0]
+    system, base = _opened(uri)
+    top = system.get_file_info(base)
+    if top.type == pafs.FileType.NotFound:
+        raise FileNotFoundError(f"no such path: {uri}")
+    out = scratch_path(spark, "listing")
+    if top.type == pafs.FileType.File:
+        found = [r for b in rows([top]) for r in b.to_pylist()]
+        spark.createDataFrame(found, schema).coalesce(1).write.parquet(f"{out}/files/level=0")
+        level, folders = None, 0
+    else:
+        level, folders = spark.createDataFrame([(base,)], "path string").coalesce(1), 1
+    depth = 0
+    while folders:
+        seen = f"{out}/seen/level={depth}"
+        level.mapInArrow(look, schema).write.parquet(seen)
+        rows_seen = spark.read.schema(schema).parquet(seen)
+        rows_seen.filter(F.col("length").isNotNull()).write.parquet(f"{out}/files/level={depth}")
+        below = rows_seen.filter(F.col("length").isNull()).select("path")
+        folders, depth = below.count(), depth + 1
+        spread = max(min(folders, LISTING_TASKS // 5), -(-folders // FOLDERS_PER_TASK))
+        level = below.repartition(max(1, min(LISTING_TASKS, spread)))
+    files = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{out}/files")
+    count, size = files.agg(F.count(F.lit(1)), F.sum("length")).first()
+    return files, max(1, -(-count // FILES_PER_TASK), -(-(size or 0) // RANGE_BYTES))
+
+
+def contents(uri: str) -> Column:
+    """The bytes of the files below ``uri`` whose ``path`` and ``length`` :func:`list_files` gave; a few
+    megabytes of small files, or one large file, are held at a time."""
+
+    @F.arrow_udf("binary")
+    def read(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        system, base = _opened(uri)
+        before = len(_named(uri, base)) - len(base)
+        for names, sizes in batches:
+            held, size = [], 0
+            for name, length in zip(names.to_pylist(), sizes.to_pylist()):
+                data = b""
+                if length:
+                    with system.open_input_file(name[before:]) as source:
+                        data = source.read()
+                held.append(data)
+                size += len(data)
+                if size >= _BATCH_BYTES:
+                    yield pa.array(held, pa.binary())
+                    held, size = [], 0
+            yield pa.array(held, pa.binary())
+
+    return read("path", "length")
+
+
 # --- empty files, once and as a stream ----------------------------------------------------------
 
 

@@ -24,16 +24,13 @@ BINARY_FILE = "path string, modificationTime timestamp, length bigint, content b
 def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Files below ``path``, those of no bytes included; content is read only where it is selected.
 
-    Spark's own listing leaves out empty files, so they come from one of their own, folder by folder.
-    ``path`` is a URI, or a path of the local file system.
+    The files are listed when this is called, folder by folder in tasks, and the list is a table on shared
+    storage: the driver holds no file, however many there are (Spark's own listing keeps all of them there,
+    gives about thirty small files to a task and leaves out empty ones). ``path`` is a URI, or a path of the
+    local file system.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    empty = spark.read.format(SRC.EMPTY_FILES).option("path", path)
-    if glob:
-        reader, empty = reader.option("pathGlobFilter", glob), empty.option("glob", glob)
-    SRC.register(spark)
-    filled = reader.load(path).withColumnRenamed("modificationTime", "modification_time")
-    return filled.unionByName(empty.load())
+    found, tasks = SRC.list_files(spark, path, glob)
+    return found.repartition(tasks).withColumn("content", SRC.contents(path))
 
 
 def scan_chunks(
