@@ -964,6 +964,8 @@ def c6_progress_rows(spark, d):
 
 # --- streams ------------------------------------------------------------------------------------
 
+FILE_ROWS = 1_000_000  # about so many rows of a stream are in each file that a micro-batch takes
+
 
 def stream_journal(spark, d, replay: bool = False) -> str:
     """The journal as a table on shared storage, appended twice when ``replay``."""
@@ -1077,7 +1079,9 @@ def t5_route_buffer(spark, d):
     """Messages wait for their consumers' reads: some read often, some fall behind and are failed. Six
     micro-batches, the fourth of them delivered again at the end."""
     active = R.active_registrations(B.registrations(spark, d), B.terminated(spark, d))
-    sent = R.route_to(B.messages(spark, d), active).withColumn("ts", F.col("ts").cast("timestamp"))
+    # a message becomes as many rows as it has consumers: tasks are not merged by the size of messages
+    messages = B.messages(spark, d).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    sent = R.route_to(messages, active).withColumn("ts", F.col("ts").cast("timestamp"))
     every = 3 + F.substring("ref", 10, 10).cast("int") % 9
     message = sent.select(
         "ref", (2 * F.col("event_id")).alias("seq"), F.lit(SB.MESSAGE).alias("kind"), "id", "msg", "ts",
@@ -1089,11 +1093,14 @@ def t5_route_buffer(spark, d):
     )
     events = materialize(message.unionByName(read), "buffer-events")
     path, out = scratch_path(spark, "buffer-in"), scratch_path(spark, "buffer-out")
-    last = events.agg(F.max("seq")).first()[0] or 0
-    for k in (0, 1, 2, 3, 4, 3):  # a file each: the stream takes them in the order they were written
-        part = events.filter(F.floor(F.col("seq") * 5 / F.lit(last + 1)) == k)
-        part.coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", "1").parquet(path)
+    last, rows = events.agg(F.max("seq"), F.count(F.lit(1))).first()
+    files = max(1, rows // (5 * FILE_ROWS))
+    # a file each, or some when they are large: the stream takes them in the order they were written, and the
+    # rows of a consumer are in one file of each
+    for k in (0, 1, 2, 3, 4, 3):
+        part = events.filter(F.floor(F.col("seq") * 5 / F.lit((last or 0) + 1)) == k)
+        part.repartition(files, "ref").write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", str(files)).parquet(path)
     SB.buffer_stream(stream, out, scratch_path(spark, "offsets")).awaitTermination()
     return SB.read_deliveries(spark, out).select(
         "ref", F.expr("seq div 2").alias("event_id"), "outcome", "id", "msg",
