@@ -5,12 +5,17 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StreamingQuery
 
 from reelfold import schemas as S
 from reelfold.operators.journal import current_state, fold_columns, restore
+from reelfold.streaming.visibility import _remove
+
+STATE, WAITING = "state", "waiting"  # rows of an entity between micro-batches
+_ROWS = 10_000
 
 
 def state_stream(stream: DataFrame) -> DataFrame:
@@ -91,45 +96,71 @@ def fold_stream(
     stream: DataFrame, init: dict, fn: Callable[[dict, dict], dict], state_schema: str, path: str,
     checkpoint: str, key: str = "persistence_id", seq: str = "seq_nr", trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Streaming form of the caller's ordered fold, on Spark's keyed state.
+    """Streaming form of the caller's ordered fold, with its states in a table.
 
-    An entity's state holds the fold so far, the number of its last event and the events that came
+    An entity's rows are the fold so far with the number of its last event, and the events that came
     before their predecessors; these wait until the gap is closed. So events may arrive in any
     order over any micro-batches, and replays change nothing. Numbers are gap-free from 1 per
-    entity. ``fn`` gets an event as its JSON form (timestamps are texts). :func:`read_fold` gives
-    the newest state of every entity.
+    entity. ``fn`` gets an event as its JSON form (timestamps are texts). A micro-batch reads the rows that
+    the one before it left, sorts them and its events by entity and number, and writes all states anew into
+    its own folder, which a re-run overwrites; older folders are removed. :func:`read_fold` gives the newest
+    state of every entity.
     """
     fields = S.struct_type(state_schema).fieldNames()
-    out = S.struct_type(f"{state_schema}, {key} string, _last bigint")
-    rows = stream.select(
-        F.col(key).cast("string").alias(key), F.col(seq).cast("bigint").alias("_seq"),
-        F.to_json(F.struct("*")).alias("_event"),
-    )
-
-    def update(keys, frames, held):
-        last, state, waiting = 0, dict(init), {}
-        if held.exists:
-            last, state, waiting = held.get
-            state, waiting = json.loads(state), {int(n): e for n, e in json.loads(waiting).items()}
-        for frame in frames:
-            for number, event in zip(frame["_seq"], frame["_event"]):
-                if number > last:
-                    waiting[int(number)] = event
-            while last + 1 in waiting:
-                state = fn(state, json.loads(waiting.pop(last + 1)))
-                last += 1
-        held.update((last, json.dumps(state), json.dumps(waiting)))
-        if last:
-            yield pd.DataFrame([{**{f: state[f] for f in fields}, key: keys[0], "_last": last}])[out.names]
+    kept = f"{state_schema}, {key} string, _last bigint, _json string, _row string"
+    out = to_arrow_schema(S.struct_type(kept))
+    start = json.dumps(init)
+
+    def folded(batches):
+        rows: list[tuple] = []
+        entity, last, state, waiting = None, 0, dict(init), {}
+
+        def keep() -> None:
+            rows.append((*(state[f] if last else None for f in fields), entity, last, json.dumps(state), STATE))
+            rows.extend((*[None] * len(fields), entity, n, e, WAITING) for n, e in waiting.items())
+
+        def flush() -> pa.RecordBatch:
+            found = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
+            rows.clear()
+            return found
+
+        for batch in batches:
+            for to, number, event, order in zip(*(c.to_pylist() for c in batch.columns)):
+                if to != entity:
+                    if entity is not None:
+                        keep()
+                        if len(rows) >= _ROWS:
+                            yield flush()
+                    entity, last, state, waiting = to, 0, json.loads(start), {}
+                if order == 0:
+                    last, state = number, json.loads(event)
+                elif number > last:
+                    waiting[number] = event
+                    while order == 2 and last + 1 in waiting:
+                        state = fn(state, json.loads(waiting.pop(last + 1)))
+                        last += 1
+        if entity is not None:
+            keep()
+        if rows:
+            yield flush()
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        events = batch.select(
+            F.col(key).cast("string").alias(key), F.col(seq).cast("bigint").alias("_seq"),
+            F.to_json(F.struct("*")).alias("_event"), F.lit(2).alias("_order"),
+        ).filter(F.col(key).isNotNull() & F.col("_seq").isNotNull())
+        if batch_id:
+            held = batch.sparkSession.read.schema(kept).parquet(f"{path}/batch_id={batch_id - 1}")
+            order = F.when(F.col("_row") == STATE, 0).otherwise(1)
+            events = events.unionByName(held.select(
+                key, F.col("_last").alias("_seq"), F.col("_json").alias("_event"), order.alias("_order")
+            ))
+        sorted_rows = events.repartition(key).sortWithinPartitions(key, "_order", "_seq")
+        sorted_rows.mapInArrow(folded, kept).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        _remove(f"{path}/batch_id={batch_id - 2}")  # a re-run of this batch needs the one before
 
-    folded = rows.filter(F.col(key).isNotNull()).groupBy(key).applyInPandasWithState(
-        update, out, "last bigint, state string, waiting string", "update", "NoTimeout"
-    )
     return (
-        folded.writeStream.outputMode("update").foreachBatch(write)
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -138,6 +169,7 @@ def fold_stream(
 
 def read_fold(spark: SparkSession, path: str, state_schema: str, key: str = "persistence_id") -> DataFrame:
     """Newest state of every entity of :func:`fold_stream`."""
-    fields = S.struct_type(state_schema).fieldNames()
-    newest = F.max_by(F.struct(*fields), "_last").alias("_state")
-    return spark.read.parquet(path).groupBy(key).agg(newest).select(key, "_state.*")
+    rows = spark.read.parquet(path)
+    newest = rows.agg(F.max("batch_id")).first()[0]
+    states = rows.filter((F.col("batch_id") == newest) & (F.col("_row") == STATE) & (F.col("_last") > 0))
+    return states.select(key, *S.struct_type(state_schema).fieldNames())
