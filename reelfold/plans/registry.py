@@ -1110,12 +1110,15 @@ def t5_route_buffer(spark, d):
 
 @query
 def t7_commit_delay(spark, d):
-    """Shuffled files, one a micro-batch, some events twice: nothing is lost, by tag and day."""
+    """Shuffled files, a fifth of the events a micro-batch, some events twice: nothing is lost, by tag and day."""
     path, out = scratch_path(spark, "shuffled-journal"), scratch_path(spark, "delayed")
     events = B.journal(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    events.repartition(5, F.xxhash64("persistence_id", "seq_nr")).write.parquet(path)
-    events.filter(F.col("seq_nr") % 7 == 0).coalesce(1).write.mode("append").parquet(path)
-    SV.publish_delayed(PR.journal_stream(spark, path, 1), out, scratch_path(spark, "offsets")).awaitTermination()
+    events = materialize(events, "journal")
+    files = max(1, events.count() // (5 * FILE_ROWS))  # of a micro-batch
+    events.repartition(5 * files, F.xxhash64("persistence_id", "seq_nr")).write.parquet(path)
+    again = events.filter(F.col("seq_nr") % 7 == 0).repartition(files, F.xxhash64("persistence_id", "seq_nr"))
+    again.write.mode("append").parquet(path)
+    SV.publish_delayed(PR.journal_stream(spark, path, files), out, scratch_path(spark, "offsets")).awaitTermination()
     out_now = SV.visible_events(spark, out).unionByName(SV.late_events(spark, out))
     seen = out_now.select("tag", "event_date", F.lit(1).alias("released"), F.lit(0).alias("held"))
     held = SV.held_events(spark, out).select("tag", "event_date", F.lit(0).alias("released"), F.lit(1).alias("held"))
