@@ -13,11 +13,12 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from reelfold import schemas as S
 
+_HELD = 5000  # results and their progress events that a task hands on together
 CONVERTED = (
     "file_id string, new_name string, progress_id string, status string, error string, "
     "permils array<int>"
@@ -68,11 +69,24 @@ def run_conversions(
         system, base = pafs.FileSystem.from_uri(out_dir)
         system.create_dir(base, recursive=True)
         for batch in batches:
+            done, held = [], 0
             for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist([convert(row, system, base)], schema=fields)
-
-    spread = plan.repartition(tasks, "file_id") if tasks else plan.repartition("file_id")
-    return spread.mapInArrow(run, CONVERTED)
+                done.append(convert(row, system, base))
+                held += 1 + len(done[-1]["permils"])
+                if held >= _HELD:
+                    yield pa.RecordBatch.from_pylist(done, schema=fields)
+                    done, held = [], 0
+            if done:
+                yield pa.RecordBatch.from_pylist(done, schema=fields)
+
+    # a row is a file's work, however few its bytes, and many rows may name one source: dealt by the whole
+    # row to a number of tasks that is not lowered by size
+    keys = [c.name for c in plan.schema if c.dataType.typeName() in ("string", "long", "integer")]
+    return plan.repartition(tasks or _tasks(plan.sparkSession), *keys).mapInArrow(run, CONVERTED)
+
+
+def _tasks(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def progress_rows(results: DataFrame) -> DataFrame:

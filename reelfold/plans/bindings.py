@@ -144,7 +144,9 @@ def request_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     choice = F.when(shape == 0, bodies[0])
     for i, body in enumerate(bodies[1:-1], start=1):
         choice = choice.when(shape == i, body)
-    return table(spark, sf_dir, "part").select(
+    # a request is small to store and long to check: the few splits of the file are dealt to more tasks
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(tasks, "p_partkey").select(
         F.col("p_partkey").alias("request_key"),
         F.timestamp_seconds(F.col("p_partkey") + REQUEST_EPOCH).alias("ts"),
         choice.otherwise(raw).alias("raw"),
