@@ -4,8 +4,9 @@ Documents are dealt into shards by ascending id (a range shuffle), sorted, token
 shard is a run of segments of about ``SEGMENT_IDS`` ids that end at document ends. A segment holds a
 grammar: frequent neighbouring ids are replaced by a new symbol (a nonterminal), round after round,
 until no pair occurs ``MIN_COUNT`` times without overlap, from where on a rule pays for its own bytes.
-A round takes up to ``ROUND_RULES`` of the most frequent pairs at once; of overlapping occurrences the
-left one is replaced, and pairs that lost too many to others wait for a later round. The rules, the length that each rule expands to and
+A round takes up to ``ROUND_RULES`` of the most frequent pairs at once; of two overlapping occurrences the
+more frequent pair's is replaced, and pairs that lost too many to others wait for a later round. A round
+counts the pairs that may have changed since the last one, not the whole segment. The rules, the length that each rule expands to and
 the position at every ``STEP``-th symbol are stored, so any range of ids is decoded without the rest.
 
 The files are rows of a Parquet table (shard, segment, before, doc_ids, sizes, grammar), written
@@ -32,12 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from reelfold.llm.tables import in_batches, stored, totals_before
-from reelfold.llm.tokens import encoder, text_runs
+from reelfold.llm.tokens import encoder, taken, text_runs
 
 SEGMENT_IDS = 500_000
-ROUND_RULES = 2048
+ROUND_RULES = 1 << 16
 MIN_COUNT = 5  # a rule takes 8 bytes at two bytes a symbol, and each use of it saves 2
 STEP = 256
+SHORT = 64  # rules of up to so many ids are expanded once for all their uses
 _HEAD = struct.Struct("<4s6IQ")
 _HASH_BITS = 18
 
@@ -45,56 +47,75 @@ _HASH_BITS = 18
 # --- one grammar --------------------------------------------------------------------------------
 
 
-def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    mixed = (left * 0x9E3779B1) ^ (right * 0x85EBCA77)
-    return ((mixed >> 7) & ((1 << _HASH_BITS) - 1)).astype(np.int32)
-
-
-def _apart(symbols: np.ndarray) -> np.ndarray:
-    """Which pairs count: in a run of one symbol every second one, so that none overlaps another of its kind."""
-    same = symbols[:-1] == symbols[1:]
-    places = np.arange(len(same))
-    before = np.maximum.accumulate(np.where(same, -1, places))  # the last pair of two symbols
-    return ~same | ((places - before) % 2 == 1)
-
-
-def _frequent(symbols: np.ndarray, slot: np.ndarray, most: int, least: int) -> np.ndarray:
-    """Up to ``most`` pairs (left << 32 | right) that occur ``least`` times or more, no two of one slot."""
-    counts = np.bincount(slot, minlength=1 << _HASH_BITS)
-    # a pair's slot is at least as full as the pair is frequent
-    floor = max(least, int(np.partition(counts, -2 * most)[-2 * most]))
-    apart = _apart(symbols)
-    while True:
-        at = np.flatnonzero((counts >= floor)[slot] & apart)
-        pairs, found = np.unique(symbols[at] << 32 | symbols[at + 1], return_counts=True)
-        order = np.argsort(-found, kind="stable")
-        pairs = pairs[order[found[order] >= least]]
-        if len(pairs) or floor == least:
-            break
-        floor = least  # full slots of rare pairs hid a less full one
-    own = _slots(pairs >> 32, pairs & 0xFFFFFFFF)
-    first = np.unique(own, return_index=True)[1]  # the most frequent of each slot
-    return pairs[np.sort(first)[:most]]
-
-
-def _occurrences(
-    symbols: np.ndarray, slot: np.ndarray, pairs: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of pairs without overlaps, left ones first, and the index in ``pairs`` of each."""
-    table = np.full(1 << _HASH_BITS, -1, np.int32)
-    table[_slots(pairs >> 32, pairs & 0xFFFFFFFF)] = np.arange(len(pairs))
-    which = table[slot]
-    at = np.flatnonzero(which >= 0)
-    which = which[at]
-    hit = (symbols[at] << 32 | symbols[at + 1]) == pairs[which]
-    at, which = at[hit], which[hit]
+def _slots(pairs: np.ndarray) -> np.ndarray:
+    mixed = pairs * -0x61C8864680B583EB
+    return (mixed >> (64 - _HASH_BITS)) + (1 << (_HASH_BITS - 1))
+
+
+def _second(at: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Which pairs overlap one of their kind: in a run of one symbol every second one."""
+    again = np.zeros(len(at), bool)
+    again[1:] = (pairs[1:] == pairs[:-1]) & (at[1:] == at[:-1] + 1)
+    if not again.any():
+        return again
+    places = np.arange(len(at))
+    return (places - np.maximum.accumulate(np.where(again, 0, places))) % 2 == 1
+
+
+def _order(pairs: np.ndarray, bits: int) -> np.ndarray:
+    """Places of pairs in ascending order; sides of ``bits`` bits leave room to sort pair and place in one."""
+    room = len(pairs).bit_length()
+    if 2 * bits + room > 63:
+        return np.argsort(pairs)
+    packed = ((pairs >> 32 << bits) | (pairs & 0xFFFFFFFF)) << room | np.arange(len(pairs))
+    packed.sort()
+    return packed & ((1 << room) - 1)
+
+
+def _round(
+    symbols: np.ndarray, live: np.ndarray, most: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Up to ``most`` pairs (left << 32 | right), the positions to replace and the index of each one's pair.
+
+    Only pairs that begin at ``live`` positions are looked at; those that occur too seldom are taken out
+    of it for good, since no occurrence of two old symbols is ever added.
+    """
+    at = np.flatnonzero(live)
+    key = symbols[at] << 32 | symbols[at + 1]
+    slot = _slots(key)
+    full = (np.bincount(slot, minlength=1 << _HASH_BITS) >= MIN_COUNT)[slot]
+    live[at[~full]] = False
+    at, key = at[full], key[full]
     if not len(at):
-        return at, which
-    # in a run of neighbouring positions every second one is taken
-    first = np.r_[True, np.diff(at) != 1]
-    run_start = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-    taken = (np.arange(len(at)) - run_start) % 2 == 0
-    return at[taken], which[taken]
+        return None
+    second = _second(at, key)
+    order = _order(key, int(symbols.max()).bit_length())
+    ordered = key[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]]
+    group = np.empty(len(key), np.int64)
+    group[order] = np.cumsum(new) - 1
+    pairs = ordered[new]
+    counts = np.bincount(group[~second], minlength=len(pairs))
+    pays = counts >= MIN_COUNT
+    live[at[~pays[group]]] = False
+    # the rank of a pair: where two overlap, the more frequent one is replaced
+    ranked = np.argsort(counts, kind="stable")
+    rank = np.empty(len(pairs), np.int64)
+    rank[ranked] = np.arange(len(pairs))
+    pays[ranked[:-most]] = False
+    free = pays[group] & ~second
+    at, group = at[free], group[free]
+    if not len(at):
+        return None
+    strength = rank[group]
+    meet, left = at[1:] == at[:-1] + 1, strength[1:] < strength[:-1]
+    wins = np.ones(len(at), bool)
+    wins[1:] &= ~(meet & left)
+    wins[:-1] &= ~(meet & ~left)
+    at, group = at[wins], group[wins]
+    kept = np.bincount(group, minlength=len(pairs)) >= MIN_COUNT  # the most frequent pair always is
+    stay = kept[group]
+    return pairs[kept], at[stay], (np.cumsum(kept) - 1)[group[stay]]
 
 
 def compress(ids: np.ndarray, round_rules: int = ROUND_RULES) -> bytes:
@@ -103,43 +124,43 @@ def compress(ids: np.ndarray, round_rules: int = ROUND_RULES) -> bytes:
     first = int(symbols.max()) + 1 if len(symbols) else 0
     lefts, rights, per_round = [], [], []
     n_rules = 0
-    while len(symbols) > 1:
-        slot = _slots(symbols[:-1], symbols[1:])
-        pairs = _frequent(symbols, slot, round_rules, MIN_COUNT)
-        if not len(pairs):
-            break
-        at, which = _occurrences(symbols, slot, pairs)
-        used = np.bincount(which, minlength=len(pairs))
-        kept = used >= MIN_COUNT
-        if not kept.any():  # they overlap each other: the most frequent one by itself keeps its count
-            pairs = pairs[:1]
-            at, which = _occurrences(symbols, slot, pairs)
-            kept = np.ones(1, bool)
-        number = np.cumsum(kept) - 1
-        at, which = at[kept[which]], which[kept[which]]
-        lefts.append(pairs[kept] >> 32)
-        rights.append(pairs[kept] & 0xFFFFFFFF)
-        symbols[at] = first + n_rules + number[which]
+    live = np.ones(len(symbols), bool)  # the pair that begins here may still pay for a rule
+    live[-1:] = False
+    while (found := _round(symbols, live, round_rules)) is not None:
+        pairs, at, number = found
+        lefts.append(pairs >> 32)
+        rights.append(pairs & 0xFFFFFFFF)
+        symbols[at] = first + n_rules + number
+        live[at] = True
+        live[at[at > 0] - 1] = True
         stays = np.ones(len(symbols), bool)
         stays[at + 1] = False
-        symbols = symbols[stays]
-        per_round.append(int(kept.sum()))
-        n_rules += per_round[-1]
+        symbols, live = symbols[stays], live[stays]
+        live[-1:] = False
+        per_round.append(len(pairs))
+        n_rules += len(pairs)
     left = np.concatenate(lefts) if lefts else np.zeros(0, np.int64)
     right = np.concatenate(rights) if rights else np.zeros(0, np.int64)
-    sizes = np.ones(first + n_rules, np.int64)
+    sizes = np.ones(n_rules, np.int64)
+
+    def lengths(of: np.ndarray) -> np.ndarray:
+        found = np.ones(len(of), np.int64)
+        rule = of >= first
+        found[rule] = sizes[of[rule] - first]
+        return found
+
     start = 0
     for n in per_round:  # a rule's sides come from earlier rounds
         part = slice(start, start + n)
-        sizes[first + start : first + start + n] = sizes[left[part]] + sizes[right[part]]
+        sizes[part] = lengths(left[part]) + lengths(right[part])
         start += n
-    ends = np.cumsum(sizes[symbols]) if len(symbols) else np.zeros(0, np.int64)
+    ends = np.cumsum(lengths(symbols)) if len(symbols) else np.zeros(0, np.int64)
     positions = np.r_[0, ends][:-1][::STEP] if len(symbols) else ends
     width = 2 if first + n_rules <= 1 << 16 else 4
     return b"".join([
         _HEAD.pack(b"RPG2", first, n_rules, len(per_round), len(symbols), width, STEP, len(ids)),
         np.array(per_round, "<u4").tobytes(), left.astype(f"<u{width}").tobytes(),
-        right.astype(f"<u{width}").tobytes(), sizes[first:].astype("<u4").tobytes(),
+        right.astype(f"<u{width}").tobytes(), sizes.astype("<u4").tobytes(),
         positions.astype("<u8").tobytes(), symbols.astype(f"<u{width}").tobytes(),
     ])
 
@@ -166,18 +187,17 @@ class Grammar:
         self.positions = take(-(-n // self.step), "<u8").astype(np.int64)
         self.symbols = take(n, f"<u{width}")
 
-    def _expand(self, symbols: np.ndarray) -> np.ndarray:
+    def _expand(self, symbols: np.ndarray, longer: int = 0) -> np.ndarray:
+        """Symbols with their rules of more than ``longer`` ids replaced."""
         stop = self.first + len(self.left)
         for n in self.rounds[::-1]:
             low = stop - int(n)
-            rule = symbols >= low  # rules of later rounds are gone already
-            if rule.any():
-                at = np.flatnonzero(rule)
-                at += np.arange(len(at))
-                number = symbols[rule] - self.first
-                symbols = np.repeat(symbols, 1 + rule)
-                symbols[at] = self.left[number]
-                symbols[at + 1] = self.right[number]
+            at = np.flatnonzero((symbols >= low) & (symbols < stop))
+            at = at[self.sizes[symbols[at] - self.first] > longer]
+            if len(at):
+                number = symbols[at] - self.first
+                symbols = np.insert(symbols, at + 1, self.right[number])
+                symbols[at + np.arange(len(at))] = self.left[number]
             stop = low
         return symbols
 
@@ -191,7 +211,20 @@ class Grammar:
         high = int(np.searchsorted(self.positions, start + size, "left"))
         symbols = self.symbols[low * self.step : high * self.step].astype(np.int64)
         skip = start - int(self.positions[low])
-        return self._expand(symbols)[skip : skip + size].astype("<u4")
+        # long rules part by part, short ones copied from one list of what they stand for
+        if (self.sizes > SHORT).any():
+            symbols = self._expand(symbols, SHORT)
+        short = np.flatnonzero(self.sizes <= SHORT) if len(symbols) > len(self.sizes) else None
+        if short is None:
+            return self._expand(symbols)[skip : skip + size].astype("<u4")
+        begins = np.zeros(len(self.sizes), np.int64)
+        begins[short] = len(symbols) + np.cumsum(self.sizes[short]) - self.sizes[short]
+        begin, sizes = np.arange(len(symbols)), np.ones(len(symbols), np.int64)
+        rules = np.flatnonzero(symbols >= self.first)
+        number = symbols[rules] - self.first
+        begin[rules], sizes[rules] = begins[number], self.sizes[number]
+        pool = np.concatenate([symbols, self._expand(self.first + short)]).astype("<u4")
+        return taken(pool, begin, sizes)[skip : skip + size]
 
 
 # --- files --------------------------------------------------------------------------------------

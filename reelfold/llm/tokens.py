@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import os
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MEMORY_PIECES = 250_000  # pieces remembered by one Python worker
 RUN_CHARS = 3_000_000  # texts of about so many characters are tokenised together
@@ -21,7 +22,9 @@ RUN_CHARS = 3_000_000  # texts of about so many characters are tokenised togethe
 _UNSURE = frozenset("\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff")
 # Latin-1 letters, then ASCII marks: after a letter these begin a new token in both vocabularies, but for
 # the apostrophe.
-_WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)((?:[!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?)")
+_LETTERS = "".join(c for c in map(chr, range(0x41, 0x100)) if c.isalpha() and c not in "\xaa\xb5\xba")
+_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
+_STOPS = re.compile(r"(?:[!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?")
 
 
 def vocabulary_path(name: str) -> str:
@@ -54,6 +57,7 @@ class Encoder:
         self._whole = Tokenizer.from_file(path)
         self._limit = memory
         self._letters = _byte_letters()
+        self._spelling = {b: c for b, c in self._letters.items() if b != ord("\n")}
         self._drops_space = not self._ids(" ")
         self._lowers = self._ids("A") == self._ids("a")
         # the same model, for words that are spelt in its letters already
@@ -76,11 +80,10 @@ class Encoder:
             return []
         text = "\n".join(words)
         text = text.lower() if self._lowers else text
+        spelt = text if text.isascii() else text.encode().decode("latin-1").translate(self._spelling)
         if not self._drops_space:
-            text = " " + text.replace("\n", "\n ")
-        spelt = "\n".join(
-            line.translate(self._letters) for line in text.encode().decode("latin-1").split("\n")
-        )
+            space = self._letters[ord(" ")]
+            spelt = space + spelt.replace("\n", "\n" + space)
         ids = np.array(self._words.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, "<u4")
         edges = np.flatnonzero(self._edge[ids])
         if len(edges) != len(words):
@@ -97,69 +100,118 @@ class Encoder:
             self._stops[stops] = self._ids("a" + stops)[len(self._ids("a")) :]
         return self._stops[stops]
 
-    def _learn(self, pieces: Iterable[str]) -> dict[str, bytes | None]:
-        """Ids of pieces after a space; None where the text must not be cut there."""
-        known, learned = self._known, {}
-        words: dict[str, bytes | None] = {}
-        parts = []
-        for piece in pieces:
-            m = _WORD.fullmatch(piece)
-            if m:
-                word, stops = m.groups()
-                parts.append((piece, word, stops))
-                words[word] = known.get(word)
-            elif not _UNSURE.isdisjoint(piece):
-                learned[piece] = None
-            elif self._drops_space:
-                learned[piece] = self._ids(" " + piece)
-            elif piece[-1:].isspace() or not piece or piece[1 if piece[0] == "\n" else 0].isspace():
-                learned[piece] = None
-            else:
-                learned[piece] = self._ids(piece if piece[0] == "\n" else " " + piece)
-        new = [w for w, ids in words.items() if ids is None]
-        words.update(zip(new, self._word_ids(new)))
-        for piece, word, stops in parts:
-            learned[piece] = words[word] + self._stop_ids(stops) if stops else words[word]
-        return learned
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, in the order given."""
+    def _odd_ids(self, piece: str) -> bytes | None:
+        """Ids of a piece after a space that is no plain word; None where the text must not be cut there."""
+        if not _UNSURE.isdisjoint(piece):
+            return None
+        if self._drops_space:
+            return self._ids(" " + piece)
+        if not piece or piece[-1].isspace() or piece[1 if piece[0] == "\n" else 0].isspace():
+            return None
+        return self._ids(piece if piece[0] == "\n" else " " + piece)
+
+    def _piece_ids(self, pieces: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, one after another, the number of each one's, and which must not be cut off.
+
+        A piece is a word and marks, remembered apart, or odd and remembered whole.
+        """
         known = self._known
-        heads, cut, found, gaps = [], [], [], []
-        missing: list[str] = []
-        seen = 0
-        for text in texts:
-            pieces = text.replace("\n", " " if self._drops_space else " \n").split(" ")
-            heads.append(pieces[0])
-            pieces[0] = ""
-            ids = list(map(known.get, pieces))
-            ids[0] = b""
-            seen += len(pieces)
-            gap = [k for k, i in enumerate(ids) if i is None] if None in ids else []
-            missing += [pieces[k] for k in gap]
-            cut.append(pieces)
-            found.append(ids)
-            gaps.append(gap)
-        counts = Counter(missing)
-        learned = self._learn(counts)
-        out: list[bytes] = []
-        for text, head, pieces, ids, gap in zip(texts, heads, cut, found, gaps):
-            for k in gap:
-                ids[k] = learned[pieces[k]]
-            if None in ids or not _UNSURE.isdisjoint(head) or not head or head[-1].isspace():
-                out.append(self._ids(text))
-            else:
-                ids[0] = self._ids(head)
-                out.append(b"".join(ids))
-        if len(missing) > 0.4 * seen:
+        marks = pc.utf8_ltrim(pieces, characters=_LETTERS).dictionary_encode()
+        tails = _strings(marks.dictionary)
+        ending = np.array([bool(_STOPS.fullmatch(t)) for t in tails], bool)
+        tail = _numbers(marks.indices)
+        word = pc.utf8_rtrim(pieces, characters=_MARKS)
+        plain = ending[tail] & (_numbers(pc.binary_length(word)) > 0)
+        named = pc.if_else(pa.array(plain), pc.utf8_lower(word) if self._lowers else word, pieces).dictionary_encode()
+        names, name = _strings(named.dictionary), _numbers(named.indices)
+        found = list(map(known.get, names))
+        gaps = [k for k, ids in enumerate(found) if ids is None]
+        a_word = np.zeros(len(names), bool)
+        a_word[name] = plain
+        spelt = [k for k in gaps if a_word[k]]
+        for k, ids in zip(spelt, self._word_ids([names[k] for k in spelt])):
+            found[k] = ids
+        for k in gaps:
+            if not a_word[k]:
+                found[k] = self._odd_ids(names[k])
+        uncut = np.array([ids is None for ids in found], bool)[name]
+        often = np.bincount(name, counts, len(names))
+        if often[gaps].sum() > 0.4 * counts.sum():
             known.clear()  # other texts than before, or the first ones
         # the second half of the memory is for pieces that come more than once
         least = 1 if len(known) < self._limit // 2 else 2
         if len(known) < self._limit:
-            known.update((p, i) for p, i in learned.items() if i is not None and counts[p] >= least)
+            kept = (often >= least).tolist()
+            known.update((names[k], found[k]) for k in gaps if kept[k] and found[k] is not None)
+        used = np.zeros(len(tails), bool)
+        used[tail[plain]] = True
+        stops = [self._stop_ids(t) if t and u else b"" for t, u in zip(tails, used.tolist())]
+        entry = np.stack([name, np.where(plain, len(names) + tail, len(names) + len(tails))], 1).ravel()
+        ids, sizes = _gathered([i or b"" for i in found] + stops + [b""], entry)
+        return ids, sizes.reshape(-1, 2).sum(1), uncut
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, in the order given."""
+        if not texts:
+            return []
+        lines = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " " if self._drops_space else " \n")
+        rows = pc.split_pattern(lines, " ")
+        starts = _numbers(rows.offsets)
+        first = starts[:-1]
+        coded = rows.values.dictionary_encode()
+        which = _numbers(coded.indices)
+        later = np.ones(len(which), bool)
+        later[first] = False
+        counts = np.bincount(which[later], minlength=len(coded.dictionary))
+        used = np.flatnonzero(counts)
+        ids, sizes, uncut = self._piece_ids(coded.dictionary.take(pa.array(used)), counts[used])
+        # texts that go to the library whole, and the heads of the others
+        unsafe = np.zeros(len(counts), bool)
+        unsafe[used] = uncut
+        whole = np.logical_or.reduceat(unsafe[which] & later, first)
+        heads = _strings(rows.values.take(pa.array(first)))
+        whole |= [not _UNSURE.isdisjoint(h) or not h or h[-1].isspace() for h in heads]
+        cut = np.flatnonzero(~whole)
+        opened = self._whole.encode_batch_fast([heads[k] for k in cut], add_special_tokens=False)
+        opened = [np.array(e.ids, "<u4") for e in opened]
+        begins, sizes = np.r_[0, np.cumsum(sizes)][:-1], np.r_[sizes, [len(i) for i in opened], 0].astype(np.int64)
+        begins = np.r_[begins, len(ids) + np.cumsum(sizes[len(begins):]) - sizes[len(begins):]]
+        place = np.zeros(len(counts), np.int64)
+        place[used] = np.arange(len(used))
+        entry = place[which]
+        entry[first[cut]] = len(used) + np.arange(len(cut))
+        entry[np.repeat(whole, np.diff(starts))] = len(sizes) - 1
+        ends = 4 * np.r_[0, np.cumsum(sizes[entry])][starts]
+        view = memoryview(taken(np.concatenate([ids, *opened]), begins[entry], sizes[entry]).tobytes())
+        out = [bytes(view[a:b]) for a, b in zip(ends.tolist(), ends[1:].tolist())]
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = self._ids(texts[k]) if texts[k] else b""
         return out
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy().astype(np.int64)
+
+
+def taken(pool: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of the pool, one after another."""
+    ends = np.cumsum(sizes)
+    source = np.repeat(begins - (ends - sizes), sizes)
+    source += np.arange(len(source))
+    return pool[source]
+
+
+def _gathered(values: list[bytes], entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the values that ``entry`` names, one after another, and the number of each one's."""
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    pool = np.frombuffer(b"".join(values), "<u4")
+    return taken(pool, (np.cumsum(sizes) - sizes)[entry], sizes[entry]), sizes[entry]
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

@@ -266,6 +266,36 @@ def test_grammar_leaves_no_pair_that_pays():
     assert whole.sizes.max() >= 700
 
 
+def test_the_more_frequent_of_two_overlapping_pairs_is_replaced():
+    ids = np.r_[np.tile([1, 2, 3], 10), np.ravel([[2, 3, 9 + n] for n in range(10)])].astype("<u4")
+    grammar = repair.Grammar(repair.compress(ids))
+    assert (grammar.ids() == ids).all()
+    rules = set(zip(grammar.left.tolist(), grammar.right.tolist()))
+    assert (2, 3) in rules and (1, 2) not in rules
+
+
+def test_long_and_short_rules_are_expanded():
+    rng = np.random.default_rng(5)
+    long, short = rng.integers(0, 70_000, 500), rng.integers(0, 70_000, 9)
+    ids = np.concatenate([p for n in range(40) for p in (long, short, [n], short, np.full(n, 3))]).astype("<u4")
+    grammar = repair.Grammar(repair.compress(ids))
+    assert grammar.sizes.max() > repair.SHORT and (grammar.ids() == ids).all()
+    for start in range(0, len(ids), 997):
+        assert (grammar.ids(start, min(600, len(ids) - start)) == ids[start : start + 600]).all()
+
+
+@pytest.mark.parametrize("name", VOCABULARIES)
+def test_words_are_remembered_without_their_marks(name):
+    words = Encoder(vocabulary_path(name))
+    text = "so tree trees, tree. tree!? tree; Tree d'or d', don't (tree) x2\nend. end\nend, \xc9t\xe9s. \xc9t\xe9s"
+    whole = Tokenizer.from_file(vocabulary_path(name))
+    for _ in range(2):
+        assert words.encode([text, "", text])[2] == np.array(
+            whole.encode(text, add_special_tokens=False).ids, "<u4"
+        ).tobytes()
+    assert not {"trees,", "tree.", "tree;", "tree!?"} & set(words._known)
+
+
 def test_grammar_random_access():
     rng = np.random.default_rng(0)
     for n in (0, 1, 2, 3, 1000, 5000):
