@@ -8,13 +8,28 @@ from reelfold import schemas as S
 from reelfold.sources.file_source import EMPTY_FILES, register
 from reelfold.sources.files import BINARY_FILE
 
+# Spark looks up the files of a micro-batch one by one, in up to 10,000 tasks, and counts 4 MB for opening each,
+# so that about 30 small files make a task: for many small files nearly all of the time goes into tasks.
+SMALL_FILES = {
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": ("10000", "200"),
+    "spark.sql.files.openCostInBytes": ("4194304", "65536"),
+}
+
+
+def _for_small_files(spark: SparkSession) -> None:
+    """Settings of the session, since a stream reads them when it starts; one that was set is kept."""
+    for key, (usual, ours) in SMALL_FILES.items():
+        if spark.conf.get(key).removesuffix("b") == usual:
+            spark.conf.set(key, ours)
+
 
 def intake_stream(
     spark: SparkSession, path: str, max_files_per_trigger: int = 1000, glob: str | None = None
 ) -> DataFrame:
     """New files below ``path``, those of no bytes included; ``max_files_per_trigger`` is the back-pressure.
 
-    Empty files come from a listing of their own, since Spark's leaves them out; they have no bytes to hold
+    Files are looked up in 200 tasks at most and about 2,000 small ones are read by a task; for that two
+    settings of the session are lowered where they have Spark's defaults. Empty files come from a listing of their own, since Spark's leaves them out; they have no bytes to hold
     back. Each of the two keeps its own offset. A file is taken as it is found, so uploads should be
     written under another name (a leading ``_`` or ``.``) and renamed when they are complete.
     """
@@ -27,6 +42,7 @@ def intake_stream(
     if glob:
         reader, empty = reader.option("pathGlobFilter", glob), empty.option("glob", glob)
     register(spark)
+    _for_small_files(spark)
     filled = reader.load(path).withColumnRenamed("modificationTime", "modification_time")
     return filled.unionByName(empty.load())
 

@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from reelfold import schemas as S
 from reelfold.session import scratch_path
 from reelfold.sources import files as FS
-from reelfold.streaming import buffer as SB, state as SS
+from reelfold.streaming import buffer as SB, intake, state as SS
 
 AT = dt.datetime(2024, 1, 1)
 
@@ -33,6 +33,25 @@ def test_many_small_files_are_few_tasks(spark, tmp_path):
     assert rows == {name: (len(data), data) for name, data in contents.items()}
 
 
+def test_many_small_uploads_are_few_tasks_of_a_stream(spark, tmp_path):
+    contents = {f"d{n % 3}/f{n}": b"x" * (n % 7) for n in range(800)}
+    put(tmp_path / "in", contents)
+    tasks, found = [], []
+
+    def take(df, _):
+        tasks.append(df.rdd.getNumPartitions())
+        found.extend((r.path, r.length, bytes(r.content)) for r in df.collect())
+
+    stream = intake.intake_stream(spark, str(tmp_path / "in"))
+    stream.writeStream.foreachBatch(take).option("checkpointLocation", scratch_path(spark, "t-few")).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    assert sorted((os.path.relpath(p[5:], tmp_path / "in"), n, data) for p, n, data in found) == sorted(
+        (name, len(data), data) for name, data in contents.items()
+    )
+    assert sum(tasks) < 20  # Spark's packing alone makes 22 of the filled ones and 4 of the empty ones
+
+
 def test_contents_come_in_bounded_pieces(spark, tmp_path):
     """Files larger and smaller than what is held at once, in the order of their rows."""
     contents = {f"f{n}": bytes([n]) * (3_000_000 if n % 3 else n) for n in range(12)}
