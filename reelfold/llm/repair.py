@@ -6,8 +6,9 @@ grammar: frequent neighbouring ids are replaced by a new symbol (a nonterminal),
 until no pair occurs ``MIN_COUNT`` times without overlap, from where on a rule pays for its own bytes.
 A round takes up to ``ROUND_RULES`` of the most frequent pairs at once; of two overlapping occurrences the
 more frequent pair's is replaced, and pairs that lost too many to others wait for a later round. A round
-counts the pairs that may have changed since the last one, not the whole segment. The rules, the length that each rule expands to and
-the position at every ``STEP``-th symbol are stored, so any range of ids is decoded without the rest.
+counts the pairs that may have changed since the last one, not the whole segment, and symbols know their
+neighbours, so that the segment is copied only when much of it is gone. The rules, the length that each rule
+expands to and the position at every ``STEP``-th symbol are stored, so any range of ids is decoded without the rest.
 
 The files are rows of a Parquet table (shard, segment, before, doc_ids, sizes, grammar), written
 through Spark's committer: a task that is run again replaces its own rows only. Bytes of ``grammar``,
@@ -33,15 +34,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from reelfold.llm.tables import in_batches, stored, totals_before
-from reelfold.llm.tokens import encoder, taken, text_runs
+from reelfold.llm.tokens import encoder, taken
 
 SEGMENT_IDS = 500_000
 ROUND_RULES = 1 << 16
 MIN_COUNT = 5  # a rule takes 8 bytes at two bytes a symbol, and each use of it saves 2
 STEP = 256
+RUN_CHARS = 8_000_000  # at most so many characters, or one text, are tokenised together
+RUN_ROWS = 20_000
 SHORT = 64  # rules of up to so many ids are expanded once for all their uses
 _HEAD = struct.Struct("<4s6IQ")
 _HASH_BITS = 18
+_FEW = 1 << 15  # pairs that are sorted without hashing them first
 
 
 # --- one grammar --------------------------------------------------------------------------------
@@ -52,13 +56,13 @@ def _slots(pairs: np.ndarray) -> np.ndarray:
     return (mixed >> (64 - _HASH_BITS)) + (1 << (_HASH_BITS - 1))
 
 
-def _second(at: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def _second(pairs: np.ndarray, meet: np.ndarray) -> np.ndarray:
     """Which pairs overlap one of their kind: in a run of one symbol every second one."""
-    again = np.zeros(len(at), bool)
-    again[1:] = (pairs[1:] == pairs[:-1]) & (at[1:] == at[:-1] + 1)
+    again = np.zeros(len(pairs), bool)
+    again[1:] = (pairs[1:] == pairs[:-1]) & meet
     if not again.any():
         return again
-    places = np.arange(len(at))
+    places = np.arange(len(pairs))
     return (places - np.maximum.accumulate(np.where(again, 0, places))) % 2 == 1
 
 
@@ -73,51 +77,63 @@ def _order(pairs: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _round(
-    symbols: np.ndarray, live: np.ndarray, most: int
+    symbols: np.ndarray, after: np.ndarray, live: np.ndarray, bits: int, most: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """Up to ``most`` pairs (left << 32 | right), the positions to replace and the index of each one's pair.
 
-    Only pairs that begin at ``live`` positions are looked at; those that occur too seldom are taken out
-    of it for good, since no occurrence of two old symbols is ever added.
+    ``after`` is the position of the next symbol, ``bits`` what a symbol takes. Only pairs that begin at ``live``
+    positions are looked at; those that occur too seldom are taken out of it for good, since no occurrence
+    of two old symbols is ever added.
     """
     at = np.flatnonzero(live)
-    key = symbols[at] << 32 | symbols[at + 1]
-    slot = _slots(key)
-    full = (np.bincount(slot, minlength=1 << _HASH_BITS) >= MIN_COUNT)[slot]
-    live[at[~full]] = False
-    at, key = at[full], key[full]
+    following = after[at]
+    key = symbols[at] << 32 | symbols[following]
+    if len(at) > _FEW:
+        slot = _slots(key)
+        live[at] = often = (np.bincount(slot, minlength=1 << _HASH_BITS) >= MIN_COUNT)[slot]
+        full = np.flatnonzero(often)
+        at, key, following = at[full], key[full], following[full]
     if not len(at):
         return None
-    second = _second(at, key)
-    order = _order(key, int(symbols.max()).bit_length())
+    second = _second(key, at[1:] == following[:-1])
+    order = _order(key, bits)
     ordered = key[order]
-    new = np.r_[True, ordered[1:] != ordered[:-1]]
-    group = np.empty(len(key), np.int64)
-    group[order] = np.cumsum(new) - 1
-    pairs = ordered[new]
-    counts = np.bincount(group[~second], minlength=len(pairs))
+    begins = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    sizes = np.diff(begins, append=len(ordered))
+    counts = sizes - np.add.reduceat(second[order], begins, dtype=np.int64) if second.any() else sizes
     pays = counts >= MIN_COUNT
-    live[at[~pays[group]]] = False
+    pairs, counts = ordered[begins[pays]], counts[pays]
+    group = np.empty(len(key), np.int64)
+    group[order] = np.repeat(np.where(pays, np.cumsum(pays) - 1, -1), sizes)
+    live[at] = paid = group >= 0
     # the rank of a pair: where two overlap, the more frequent one is replaced
     ranked = np.argsort(counts, kind="stable")
     rank = np.empty(len(pairs), np.int64)
     rank[ranked] = np.arange(len(pairs))
-    pays[ranked[:-most]] = False
-    free = pays[group] & ~second
-    at, group = at[free], group[free]
+    free = np.flatnonzero(paid & ~second)
+    at, group, following = at[free], group[free], following[free]
+    if most < len(pairs):
+        free = np.flatnonzero(rank[group] >= len(pairs) - most)
+        at, group, following = at[free], group[free], following[free]
     if not len(at):
         return None
     strength = rank[group]
-    meet, left = at[1:] == at[:-1] + 1, strength[1:] < strength[:-1]
+    meet, left = at[1:] == following[:-1], strength[1:] < strength[:-1]
     wins = np.ones(len(at), bool)
     wins[1:] &= ~(meet & left)
     wins[:-1] &= ~(meet & ~left)
+    wins = np.flatnonzero(wins)
     at, group = at[wins], group[wins]
     kept = np.bincount(group, minlength=len(pairs)) >= MIN_COUNT  # the most frequent pair always is
-    stay = kept[group]
+    stay = np.flatnonzero(kept[group])
     return pairs[kept], at[stay], (np.cumsum(kept) - 1)[group[stay]]
 
 
+def _neighbours(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions before and after each of ``n`` symbols, -1 and ``n`` at the ends; the latter has one before it, too."""
+    return np.arange(-1, n), np.arange(1, n + 1)
+
+
 def compress(ids: np.ndarray, round_rules: int = ROUND_RULES) -> bytes:
     """The grammar of ``ids`` (unsigned 32-bit integers below 2**31) in the format above."""
     symbols = ids.astype(np.int64)
@@ -126,19 +142,30 @@ def compress(ids: np.ndarray, round_rules: int = ROUND_RULES) -> bytes:
     n_rules = 0
     live = np.ones(len(symbols), bool)  # the pair that begins here may still pay for a rule
     live[-1:] = False
-    while (found := _round(symbols, live, round_rules)) is not None:
+    stays = np.ones(len(symbols), bool)
+    n_gone = 0
+    before, after = _neighbours(len(symbols))
+    while (found := _round(symbols, after, live, (first + n_rules).bit_length(), round_rules)) is not None:
         pairs, at, number = found
         lefts.append(pairs >> 32)
         rights.append(pairs & 0xFFFFFFFF)
+        gone = after[at]
         symbols[at] = first + n_rules + number
-        live[at] = True
-        live[at[at > 0] - 1] = True
-        stays = np.ones(len(symbols), bool)
-        stays[at + 1] = False
-        symbols, live = symbols[stays], live[stays]
-        live[-1:] = False
+        live[gone] = stays[gone] = False
+        after[at] = following = after[gone]
+        before[following] = at
+        live[at] = following < len(symbols)
+        previous = before[at]
+        live[previous[previous >= 0]] = True
+        n_gone += len(gone)
+        if 8 * n_gone > len(symbols):
+            symbols, live = symbols[stays], live[stays]
+            stays = np.ones(len(symbols), bool)
+            n_gone = 0
+            before, after = _neighbours(len(symbols))
         per_round.append(len(pairs))
         n_rules += len(pairs)
+    symbols = symbols[stays]
     left = np.concatenate(lefts) if lefts else np.zeros(0, np.int64)
     right = np.concatenate(rights) if rights else np.zeros(0, np.int64)
     sizes = np.ones(n_rules, np.int64)
@@ -192,8 +219,10 @@ class Grammar:
         stop = self.first + len(self.left)
         for n in self.rounds[::-1]:
             low = stop - int(n)
-            at = np.flatnonzero((symbols >= low) & (symbols < stop))
-            at = at[self.sizes[symbols[at] - self.first] > longer]
+            at = np.zeros(0, np.int64)
+            if (self.sizes[low - self.first : stop - self.first] > longer).any():
+                at = np.flatnonzero((symbols >= low) & (symbols < stop))
+                at = at[self.sizes[symbols[at] - self.first] > longer]
             if len(at):
                 number = symbols[at] - self.first
                 symbols = np.insert(symbols, at + 1, self.right[number])
@@ -230,6 +259,23 @@ class Grammar:
 # --- files --------------------------------------------------------------------------------------
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str], pa.DataType]]:
+    """Keys, texts and the keys' type of neighbouring rows, across batches, to be tokenised together."""
+    keys, texts, held, kind = [], [], 0, None
+    for batch in batches:
+        kind = batch.column(0).type
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            text = text or ""
+            if texts and (held + len(text) > RUN_CHARS or len(texts) >= RUN_ROWS):
+                yield keys, texts, kind
+                keys, texts, held = [], [], 0
+            keys.append(key)
+            texts.append(text)
+            held += len(text)
+    if texts:
+        yield keys, texts, kind
+
+
 def file_rows(
     docs: DataFrame, vocabulary: str, end_id: int = 0, shards: int | None = None,
     id_col: str = "doc_id", text_col: str = "text", segment_ids: int = SEGMENT_IDS,
@@ -257,20 +303,16 @@ def file_rows(
                 names=[f.name for f in schema.fields],
             )
 
-        for batch in batches:
-            kind = batch.column(0).type
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            keys = batch.column(0).to_pylist()
-            for start, stop in text_runs(texts):
-                for key, found in zip(keys[start:stop], words.encode(texts[start:stop])):
-                    size = len(found) // 4 + 1
-                    if held and held + size > segment_ids:
-                        yield row()
-                        segment, before, held = segment + 1, before + held, 0
-                        doc_ids, ids = [], []
-                    doc_ids.append(key)
-                    ids.append(found + end)
-                    held += size
+        for keys, texts, kind in _runs(batches):
+            for key, found in zip(keys, words.encode(texts)):
+                size = len(found) // 4 + 1
+                if held and held + size > segment_ids:
+                    yield row()
+                    segment, before, held = segment + 1, before + held, 0
+                    doc_ids, ids = [], []
+                doc_ids.append(key)
+                ids.append(found + end)
+                held += size
         if held:
             yield row()
 

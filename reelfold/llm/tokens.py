@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,9 @@ class Encoder:
         self._whole = Tokenizer.from_file(path)
         self._limit = memory
         self._letters = _byte_letters()
-        self._spelling = {b: c for b, c in self._letters.items() if b != ord("\n")}
+        # a letter beyond ASCII in the model's letters; the first is the only one that others are spelt with
+        wide = sorted((c for c in _LETTERS if not c.isascii()), key=lambda c: c != "\xc3")
+        self._spelling = {c: "".join(self._letters[b] for b in c.encode()) for c in wide}
         self._drops_space = not self._ids(" ")
         self._lowers = self._ids("A") == self._ids("a")
         # the same model, for words that are spelt in its letters already
@@ -68,30 +71,34 @@ class Encoder:
         edge = str.endswith if self._drops_space else str.startswith
         mark = "</w>" if self._drops_space else self._letters[ord(" ")]
         self._edge[[i for token, i in vocabulary.items() if edge(token, mark)]] = True
-        self._known: dict[str, bytes] = {}  # by piece, without the space that it follows
+        self._known = pa.array([], pa.large_string())  # pieces, without the space that they follow
+        self._known_ids = _Stretches.of([])  # the ids of each
         self._stops: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word_ids(self, words: list[str]) -> list[bytes]:
+    def _word_ids(self, words: list[str]) -> _Stretches:
         """Ids of words of Latin-1 letters after a space: one pre-token each, so the model alone."""
         if not words:
-            return []
-        text = "\n".join(words)
-        text = text.lower() if self._lowers else text
-        spelt = text if text.isascii() else text.encode().decode("latin-1").translate(self._spelling)
+            return _Stretches.of([])
+        spelt = "\n".join(words)
+        spelt = spelt.lower() if self._lowers else spelt
+        if not spelt.isascii():
+            for letter, letters in self._spelling.items():
+                spelt = spelt.replace(letter, letters)
         if not self._drops_space:
             space = self._letters[ord(" ")]
             spelt = space + spelt.replace("\n", "\n" + space)
-        ids = np.array(self._words.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, "<u4")
+        lines = spelt.split("\n")
+        parts = ["\n".join(lines[k : k + 200]) for k in range(0, len(lines), 200)]
+        found = self._words.encode_batch_fast(parts, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in found])
         edges = np.flatnonzero(self._edge[ids])
         if len(edges) != len(words):
-            return [self._ids(" " + w) for w in words]
-        cuts = (4 * (edges + 1 if self._drops_space else edges)).tolist()
-        cuts = [0, *cuts] if self._drops_space else [*cuts, 4 * len(ids)]
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+            return _Stretches.of([self._ids(" " + w) for w in words])
+        begins = np.r_[0, edges[:-1] + 1] if self._drops_space else edges
+        return _Stretches(ids, begins, np.diff(begins, append=len(ids)))
 
     def _stop_ids(self, stops: str) -> bytes:
         if stops not in self._stops:
@@ -100,22 +107,28 @@ class Encoder:
             self._stops[stops] = self._ids("a" + stops)[len(self._ids("a")) :]
         return self._stops[stops]
 
-    def _odd_ids(self, piece: str) -> bytes | None:
-        """Ids of a piece after a space that is no plain word; None where the text must not be cut there."""
+    def _odd_text(self, piece: str) -> str | None:
+        """What has the ids of a piece after a space that is no plain word; None where the text must not be cut there."""
         if not _UNSURE.isdisjoint(piece):
             return None
         if self._drops_space:
-            return self._ids(" " + piece)
+            return " " + piece
         if not piece or piece[-1].isspace() or piece[1 if piece[0] == "\n" else 0].isspace():
             return None
-        return self._ids(piece if piece[0] == "\n" else " " + piece)
+        return piece if piece[0] == "\n" else " " + piece
+
+    def _odd_ids(self, pieces: list[str]) -> tuple[_Stretches, np.ndarray]:
+        """Ids of pieces that are no plain words, and which of them must not be cut off."""
+        texts = [self._odd_text(p) for p in pieces]
+        uncut = np.array([t is None for t in texts], bool)
+        found = self._whole.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+        return _Stretches.of([np.array(e.ids, "<u4").tobytes() for e in found]), uncut
 
     def _piece_ids(self, pieces: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of distinct pieces, one after another, the number of each one's, and which must not be cut off.
 
         A piece is a word and marks, remembered apart, or odd and remembered whole.
         """
-        known = self._known
         marks = pc.utf8_ltrim(pieces, characters=_LETTERS).dictionary_encode()
         tails = _strings(marks.dictionary)
         ending = np.array([bool(_STOPS.fullmatch(t)) for t in tails], bool)
@@ -123,32 +136,45 @@ class Encoder:
         word = pc.utf8_rtrim(pieces, characters=_MARKS)
         plain = ending[tail] & (_numbers(pc.binary_length(word)) > 0)
         named = pc.if_else(pa.array(plain), pc.utf8_lower(word) if self._lowers else word, pieces).dictionary_encode()
-        names, name = _strings(named.dictionary), _numbers(named.indices)
-        found = list(map(known.get, names))
-        gaps = [k for k, ids in enumerate(found) if ids is None]
+        names, name = named.dictionary, _numbers(named.indices)
+        entry = _numbers(pc.index_in(names, value_set=self._known).fill_null(-1))
+        gap = entry < 0
         a_word = np.zeros(len(names), bool)
         a_word[name] = plain
-        spelt = [k for k in gaps if a_word[k]]
-        for k, ids in zip(spelt, self._word_ids([names[k] for k in spelt])):
-            found[k] = ids
-        for k in gaps:
-            if not a_word[k]:
-                found[k] = self._odd_ids(names[k])
-        uncut = np.array([ids is None for ids in found], bool)[name]
-        often = np.bincount(name, counts, len(names))
-        if often[gaps].sum() > 0.4 * counts.sum():
-            known.clear()  # other texts than before, or the first ones
-        # the second half of the memory is for pieces that come more than once
-        least = 1 if len(known) < self._limit // 2 else 2
-        if len(known) < self._limit:
-            kept = (often >= least).tolist()
-            known.update((names[k], found[k]) for k in gaps if kept[k] and found[k] is not None)
+        spelt, odd = np.flatnonzero(gap & a_word), np.flatnonzero(gap & ~a_word)
+        new = np.r_[spelt, odd]
+        odd_ids, odd_uncut = self._odd_ids(_strings(names.take(pa.array(odd))))
+        new_ids = self._word_ids(_strings(names.take(pa.array(spelt)))).and_then(odd_ids)
+        uncut = np.zeros(len(names), bool)
+        uncut[odd] = odd_uncut
+        entry[new] = len(self._known) + np.arange(len(new))
         used = np.zeros(len(tails), bool)
         used[tail[plain]] = True
         stops = [self._stop_ids(t) if t and u else b"" for t, u in zip(tails, used.tolist())]
-        entry = np.stack([name, np.where(plain, len(names) + tail, len(names) + len(tails))], 1).ravel()
-        ids, sizes = _gathered([i or b"" for i in found] + stops + [b""], entry)
-        return ids, sizes.reshape(-1, 2).sum(1), uncut
+        known_ids = self._known_ids.and_then(new_ids)
+        found = known_ids.and_then(_Stretches.of([*stops, b""]))
+        after = len(known_ids.sizes) + np.where(plain, tail, len(tails))
+        both = np.stack([entry[name], after], 1).ravel()
+        sizes = found.sizes[both]
+        self._remember(names, new, new_ids, uncut, np.bincount(name, counts, len(names)))
+        return taken(found.pool, found.begins[both], sizes), sizes.reshape(-1, 2).sum(1), uncut[name]
+
+    def _remember(
+        self, names: pa.Array, new: np.ndarray, ids: _Stretches, uncut: np.ndarray, often: np.ndarray
+    ) -> None:
+        """Keep the new pieces, ``often`` of all names telling how many times each came."""
+        if often[new].sum() > 0.4 * often.sum():  # other texts than before, or the first ones
+            self._known, self._known_ids = self._known[:0], _Stretches.of([])
+        if len(self._known) >= self._limit:
+            return
+        # the second half of the memory is for pieces that come more than once
+        least = 1 if len(self._known) < self._limit // 2 else 2
+        kept = np.flatnonzero((often[new] >= least) & ~uncut[new])
+        kept = kept[: self._limit - len(self._known)]
+        self._known = pa.concat_arrays([self._known, names.take(pa.array(new[kept]))])
+        pool = taken(ids.pool, ids.begins[kept], ids.sizes[kept])
+        sizes = ids.sizes[kept]
+        self._known_ids = self._known_ids.and_then(_Stretches(pool, np.cumsum(sizes) - sizes, sizes))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, in the order given."""
@@ -200,16 +226,31 @@ def _numbers(column: pa.Array) -> np.ndarray:
 def taken(pool: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Stretches of the pool, one after another."""
     ends = np.cumsum(sizes)
-    source = np.repeat(begins - (ends - sizes), sizes)
-    source += np.arange(len(source))
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64
+    source = np.repeat((begins - (ends - sizes)).astype(kind), sizes)
+    source += np.arange(total, dtype=kind)
     return pool[source]
 
 
-def _gathered(values: list[bytes], entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the values that ``entry`` names, one after another, and the number of each one's."""
-    sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-    pool = np.frombuffer(b"".join(values), "<u4")
-    return taken(pool, (np.cumsum(sizes) - sizes)[entry], sizes[entry]), sizes[entry]
+class _Stretches(NamedTuple):
+    """Many short arrays of ids: stretches of a pool."""
+
+    pool: np.ndarray
+    begins: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, values: list[bytes]) -> _Stretches:
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        return cls(np.frombuffer(b"".join(values), "<u4"), np.cumsum(sizes) - sizes, sizes)
+
+    def and_then(self, more: _Stretches) -> _Stretches:
+        return _Stretches(
+            np.concatenate([self.pool, more.pool]),
+            np.concatenate([self.begins, len(self.pool) + more.begins]),
+            np.concatenate([self.sizes, more.sizes]),
+        )
 
 
 _ENCODERS: dict[str, Encoder] = {}
