@@ -29,7 +29,8 @@ def test_ids_do_not_depend_on_what_is_remembered(name, memory):
     words = Encoder(vocabulary_path(name), memory)
     whole = Tokenizer.from_file(vocabulary_path(name))
     wide = "".join(chr(c) for c in range(0xC0, 0x100))
-    texts = ["a tree, \xc3\xc4 \xc3\xa9t\xc3 tree.", f"so {wide} {wide[::-1]} x", "", "a  b\n\nc ​ d", "so tree x9 x9\ntree", "1"]
+    texts = ["a tree, \xc3\xc4 \xc3\xa9t\xc3 tree.", f"so {wide} {wide[::-1]} x"]
+    texts += ["", "a  b\n\nc ​ d", "so tree x9 x9\ntree", "1"]
     for k in range(4):
         for run in (texts[k:], texts[:k], [texts[k]]):
             want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in run]
