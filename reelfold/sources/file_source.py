@@ -1,14 +1,13 @@
-"""Data sources for file bytes: empty files, planned byte ranges, and a writer that commits as one.
+"""Data sources for file bytes: planned byte ranges, and a writer that commits as one.
 
-Spark's own file sources list no files of 0 bytes, cut no binary file into ranges and commit no file of a
-caller's name. These three fill that in; register them with :func:`register`. :func:`list_files` lists many
-files in tasks. A path without a scheme is of the local file system; names that start with ``_`` or ``.``
+Spark's own file sources cut no binary file into ranges and commit no file of a caller's name. These two fill
+that in; register them with :func:`register`. :func:`list_files` lists many files in tasks, those of 0 bytes
+included, which Spark's sources leave out. A path without a scheme is of the local file system; names that start with ``_`` or ``.``
 are not listed.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 import fnmatch
 import json
 import posixpath
@@ -21,13 +20,12 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import (
-    DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition,
-    WriterCommitMessage,
+    DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage,
 )
 
 from reelfold.session import scratch_path
 
-EMPTY_FILES, FILE_RANGES, FILE_PARTS = "reelfold_empty_files", "reelfold_file_ranges", "reelfold_file_parts"
+FILE_RANGES, FILE_PARTS = "reelfold_file_ranges", "reelfold_file_parts"
 LISTED = "path string, modification_time timestamp, length bigint, content binary"
 RANGED = "path string, chunk_no int, length bigint, data binary"
 PARTED = "file_id string, part bigint, chunk_no int, data binary"
@@ -44,7 +42,7 @@ _RANGED = pa.schema([("path", pa.string()), ("chunk_no", pa.int32()), ("length",
 
 
 def register(spark: SparkSession) -> None:
-    for source in (EmptyFiles, FileRanges, FileParts):
+    for source in (FileRanges, FileParts):
         spark.dataSource.register(source)
 
 
@@ -65,34 +63,13 @@ def _shown(base: str, name: str) -> bool:
     return not any(part[:1] in ("_", ".") for part in posixpath.relpath(name, base).split("/"))
 
 
-def listed(uri: str, folders: list[str] | None = None, glob: str | None = None) -> Iterator[pafs.FileInfo]:
-    """Files below ``uri``, or of the given folders of it: with a leading ``/`` those of the folder alone."""
+def listed(uri: str, glob: str | None = None) -> Iterator[pafs.FileInfo]:
+    """Files below ``uri``."""
     system, base = _opened(uri)
-    selectors = [pafs.FileSelector(base, recursive=True, allow_not_found=True)] if folders is None else [
-        pafs.FileSelector(f.removeprefix("/flat:"), recursive=not f.startswith("/flat:"), allow_not_found=True)
-        for f in folders
-    ]
-    for selector in selectors:
-        for info in system.get_file_info(selector):
-            if info.type == pafs.FileType.File and _shown(base, info.path):
-                if not glob or fnmatch.fnmatchcase(info.base_name, glob):
-                    yield info
-
-
-@dataclass
-class Folders(InputPartition):
-    """Folders that one task lists."""
-
-    names: list[str]
-
-
-def folders(uri: str, tasks: int = LISTING_TASKS) -> list[Folders]:
-    """The folders right below ``uri`` dealt to tasks, and ``uri`` itself without what is below."""
-    system, base = _opened(uri)
-    infos = system.get_file_info(pafs.FileSelector(base, allow_not_found=True))
-    names = sorted(i.path for i in infos if i.type == pafs.FileType.Directory and _shown(base, i.path))
-    dealt = [names[k::tasks] for k in range(min(tasks, len(names)))]
-    return [Folders([f"/flat:{base}"]), *map(Folders, dealt)]
+    for info in system.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True)):
+        if info.type == pafs.FileType.File and _shown(base, info.path):
+            if not glob or fnmatch.fnmatchcase(info.base_name, glob):
+                yield info
 
 
 # --- listing in tasks ---------------------------------------------------------------------------
@@ -208,84 +185,6 @@ def contents(uri: str) -> Column:
     return read("path", "length")
 
 
-# --- empty files, once and as a stream ----------------------------------------------------------
-
-
-def _empty_rows(uri: str, infos: Iterator[pafs.FileInfo]) -> Iterator[pa.RecordBatch]:
-    found = [i for i in infos if i.size == 0]
-    if found:
-        times = [dt.datetime.fromtimestamp(i.mtime_ns / 1e9, dt.timezone.utc) for i in found]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([_named(uri, i.path) for i in found]), pa.array(times, _LISTED.field(1).type),
-                pa.array([0] * len(found), pa.int64()), pa.array([b""] * len(found), pa.binary()),
-            ],
-            schema=_LISTED,
-        )
-
-
-class EmptyFiles(DataSource):
-    """Files of 0 bytes below ``path``, of names like ``glob``; each folder is listed by a task."""
-
-    @classmethod
-    def name(cls) -> str:
-        return EMPTY_FILES
-
-    def schema(self) -> str:
-        return LISTED
-
-    def reader(self, schema) -> DataSourceReader:
-        return EmptyFileReader(self.options["path"], self.options.get("glob"))
-
-    def streamReader(self, schema) -> DataSourceStreamReader:
-        return EmptyFileStream(self.options["path"], self.options.get("glob"))
-
-
-class EmptyFileReader(DataSourceReader):
-    def __init__(self, uri: str, glob: str | None):
-        self.uri, self.glob = uri, glob
-
-    def partitions(self) -> list[Folders]:
-        return folders(self.uri)
-
-    def read(self, partition: Folders) -> Iterator[pa.RecordBatch]:
-        yield from _empty_rows(self.uri, listed(self.uri, partition.names, self.glob))
-
-
-@dataclass
-class FoldersSince(InputPartition):
-    names: list[str]
-    after: tuple[int, str]
-    until: tuple[int, str]
-
-
-class EmptyFileStream(DataSourceStreamReader):
-    """New empty files. An offset is the time and path of the last one taken, so a restart goes on there; a
-    file that appears with an older time than that is not seen, as with a file moved in from elsewhere."""
-
-    def __init__(self, uri: str, glob: str | None):
-        self.uri, self.glob = uri, glob
-
-    def initialOffset(self) -> dict:
-        return {"time": -1, "path": ""}
-
-    def latestOffset(self) -> dict:
-        last = (-1, "")
-        for info in listed(self.uri, None, self.glob):
-            if info.size == 0:
-                last = max(last, (info.mtime_ns, info.path))
-        return {"time": last[0], "path": last[1]}
-
-    def partitions(self, start: dict, end: dict) -> list[FoldersSince]:
-        after, until = ((o["time"], o["path"]) for o in (start, end))
-        return [FoldersSince(f.names, after, until) for f in folders(self.uri)] if until > after else []
-
-    def read(self, partition: FoldersSince) -> Iterator[pa.RecordBatch]:
-        infos = listed(self.uri, partition.names, self.glob)
-        after, until = tuple(partition.after), tuple(partition.until)
-        yield from _empty_rows(self.uri, (i for i in infos if after < (i.mtime_ns, i.path) <= until))
-
-
 # --- byte ranges --------------------------------------------------------------------------------
 
 
@@ -325,7 +224,7 @@ class RangeReader(DataSourceReader):
 
     def partitions(self) -> list[Ranges]:
         plans, pieces, held = [], [], 0
-        for info in sorted(listed(self.uri, None, self.glob), key=lambda i: i.path):
+        for info in sorted(listed(self.uri, self.glob), key=lambda i: i.path):
             starts = range(0, info.size, self.range) if info.size else range(1 if self.keep_empty else 0)
             for start in starts:
                 end = min(info.size, start + self.range)

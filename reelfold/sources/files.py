@@ -18,7 +18,6 @@ ASSEMBLE_BYTES = 256 * 1024 * 1024
 ASSEMBLE_CHUNKS = 100_000
 PART_CHUNKS = 1024  # chunks of a file that one task writes
 _BATCH_BYTES = 4 * 1024 * 1024
-BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reelfold import schemas as S
-from reelfold.sources.file_source import EMPTY_FILES, register
-from reelfold.sources.files import BINARY_FILE
+from reelfold.sources.file_source import contents
+from reelfold.sources.inventory import ARRIVALS, FOUND, PORTION, Arrivals, open_inventory
 
 # Spark looks up the files of a micro-batch one by one, in up to 10,000 tasks, and counts 4 MB for opening each,
-# so that about 30 small files make a task: for many small files nearly all of the time goes into tasks.
+# so that about 30 small files make a task: for many portions nearly all of the time would go into tasks.
 SMALL_FILES = {
     "spark.sql.sources.parallelPartitionDiscovery.parallelism": ("10000", "200"),
     "spark.sql.files.openCostInBytes": ("4194304", "65536"),
@@ -24,27 +24,32 @@ def _for_small_files(spark: SparkSession) -> None:
 
 
 def intake_stream(
-    spark: SparkSession, path: str, max_files_per_trigger: int = 1000, glob: str | None = None
+    spark: SparkSession, path: str, max_files_per_trigger: int = 1000, glob: str | None = None, log: str | None = None
 ) -> DataFrame:
     """New files below ``path``, those of no bytes included; ``max_files_per_trigger`` is the back-pressure.
 
-    Files are looked up in 200 tasks at most and about 2,000 small ones are read by a task; for that two
-    settings of the session are lowered where they have Spark's defaults. Empty files come from a listing of their own, since Spark's leaves them out; they have no bytes to hold
-    back. Each of the two keeps its own offset. A file is taken as it is found, so uploads should be
-    written under another name (a leading ``_`` or ``.``) and renamed when they are complete.
+    The stream's source is an inventory (``sources.inventory``) that is brought up to date at each trigger: files
+    in portions, so the driver holds portions and the names of some folders. Contents are read by a column
+    function only where they are selected, dealt to as many tasks as a shuffle has. The inventory is in ``log``,
+    or else in a hidden folder below ``path``, which must be writable then; it belongs to the checkpoints of the
+    queries that read it, and without it they stop. Portions have ``max_files_per_trigger`` files, 1,000 at most,
+    and are taken whole: a lower limit counts for files that are found after it was set. A file is taken as it is
+    found, so uploads should be written under another name (a leading ``_`` or ``.``) and renamed when they are
+    complete.
     """
-    reader = (
-        spark.readStream.format("binaryFile").schema(S.struct_type(BINARY_FILE))
-        .option("maxFilesPerTrigger", str(max_files_per_trigger))
-        .option("recursiveFileLookup", "true")
-    )
-    empty = spark.readStream.format(EMPTY_FILES).option("path", path)
-    if glob:
-        reader, empty = reader.option("pathGlobFilter", glob), empty.option("glob", glob)
-    register(spark)
+    portion = max(1, min(max_files_per_trigger, PORTION))
+    each = max(1, max_files_per_trigger // portion)
+    log, portions = open_inventory(path, glob, log)
+    spark.dataSource.register(Arrivals)
     _for_small_files(spark)
-    filled = reader.load(path).withColumnRenamed("modificationTime", "modification_time")
-    return filled.unionByName(empty.load())
+    arrivals = spark.readStream.format(ARRIVALS).option("path", path).option("log", log)
+    arrivals = arrivals.option("portion", str(portion)).option("each", str(each))
+    if glob:
+        arrivals = arrivals.option("glob", glob)
+    found = spark.readStream.schema(FOUND).option("maxFilesPerTrigger", str(each)).parquet(portions)
+    # a portion is a small table, its files may be large
+    spread = arrivals.load().unionByName(found).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spread.withColumn("content", contents(path))
 
 
 def chunk_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1000) -> DataFrame:
